@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Character classes equal to Python's str.isspace / \w / letters-without-digits, written out
@@ -86,7 +87,7 @@ def _nfc_unstable_pattern() -> str:
     return "[" + "".join(ranges) + "]"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
