@@ -448,7 +448,7 @@ def latency_summary(samples: DataFrame) -> DataFrame:
     at = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
     n = F.col("n")
     low, high = F.floor((n - 1) / 2), F.floor(n / 2)
-    p90 = F.least(n - 1, F.floor(n * 9 / 10))
+    p90 = F.least(n - 1, F.floor(F.lit(0.9) * n))
     return ranked.groupBy("name", "n", "lo", "hi").agg(
         at(low).alias("a"), at(high).alias("b"), at(p90).alias("p90")
     ).select(
