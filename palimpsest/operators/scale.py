@@ -102,6 +102,51 @@ def bucketed_running_sum(
     )
 
 
+def bucketed_islands(
+    df: DataFrame,
+    group: Sequence[str],
+    bucket: Column,
+    at: str,
+    gap: int,
+    name: str = "island",
+) -> DataFrame:
+    """Number runs of rows whose ``at`` values (long) are at most ``gap`` apart.
+
+    ``bucket`` must follow ``at``. Buckets exchange only their largest value and their number
+    of run starts.
+    """
+    group = list(group)
+    rows = df.withColumn("_bucket", bucket)
+    buckets = Window.partitionBy(*group).orderBy("_bucket")
+    inside = Window.partitionBy(*group, "_bucket").orderBy(at)
+    carried = (
+        rows.groupBy(*group, "_bucket")
+        .agg(F.max(at).alias("_top"))
+        .withColumn("_carry", F.lag("_top").over(buckets))
+        .drop("_top")
+    )
+    prev = F.coalesce(F.lag(at).over(inside), F.col("_carry"))
+    flagged = (
+        rows.join(carried, [*group, "_bucket"])
+        .withColumn("_new", (prev.isNull() | (F.col(at) - prev > gap)).cast("long"))
+        .drop("_carry")
+    )
+    starts = (
+        flagged.groupBy(*group, "_bucket")
+        .agg(F.sum("_new").alias("_n"))
+        .withColumn(
+            "_before",
+            F.coalesce(F.sum("_n").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        )
+        .drop("_n")
+    )
+    return (
+        flagged.join(starts, [*group, "_bucket"])
+        .withColumn(name, F.col("_before") + F.sum("_new").over(inside))
+        .drop("_bucket", "_before", "_new")
+    )
+
+
 def top_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank"
 ) -> DataFrame:

@@ -33,13 +33,8 @@ def parent_name(path: Column) -> Column:
 def relative_path(path: Column, root: str) -> Column:
     """Part of ``path`` below ``root``."""
     base = root.rstrip("/")
-    return F.regexp_replace(
-        F.expr("substring(`path`, locate('" + base.replace("'", "''") + "', `path`) + " + str(len(base)) + ")")
-        if path is None
-        else F.substr(path, F.locate(base, path) + len(base), F.lit(1 << 20)),
-        "^/",
-        "",
-    )
+    tail = F.substr(path, F.locate(base, path) + len(base), F.lit(1 << 20))
+    return F.regexp_replace(tail, "^/", "")
 
 
 def estimate_rows(
