@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from palimpsest.plans import corpus_queries, text_queries  # noqa: F401
+from palimpsest.plans import corpus_queries, text_queries, training_queries  # noqa: F401
 from palimpsest.plans.registry import ORACLES, QUERIES  # noqa: F401
