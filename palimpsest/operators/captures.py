@@ -112,16 +112,15 @@ def route_captures(
     (corpus / context / discarded / none), status, error, register, speaker_is_me, speaker_score.
     """
     audio = F.col("kind") == "audio"
-    judged = verify(captures, profile, threshold, min_samples)
-    text = clean_text(F.col("text"), compose)
+    cleaned = captures.withColumn("text", clean_text(F.col("text"), compose))
+    judged = verify(cleaned, profile, threshold, min_samples)
     me = F.when(audio, F.col("is_me"))
     other = audio & F.coalesce(~F.col("is_me"), F.lit(False))
     reason = F.when(other & F.lit(policy == "discard"), "other speaker").when(
-        audio & (text == ""), "no speech"
+        audio & (F.col("text") == ""), "no speech"
     )
     out = (
-        judged.withColumn("text", text)
-        .withColumn("error", reason)
+        judged.withColumn("error", reason)
         .withColumn(
             "route",
             F.when(F.col("error").isNotNull(), "discarded")

@@ -105,7 +105,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
         key = ["term", "_salt"]
         matched = matched.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(TERM_SALTS)))
         weights = weights.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))).cast("long")
+            "_salt", F.explode(F.expr(f"sequence(0L, {TERM_SALTS - 1}L)"))
         )
     length = 1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_dl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * length)
@@ -187,7 +187,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             ),
             "qblock int, query_ids array<bigint>, queries binary",
         )
-        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("long"))
+        .withColumn("lane", F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")))
     )
     pairs = left.join(right, ["qblock", "lane"]).select("ids", "block", "query_ids", "queries")
     scored = pairs.mapInPandas(_block_scores(k), "query_id bigint, id bigint, score double")

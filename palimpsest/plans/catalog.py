@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from palimpsest.plans import corpus_queries, text_queries, training_queries  # noqa: F401
+from palimpsest.plans import (  # noqa: F401
+    corpus_queries,
+    evaluation_queries,
+    memory_queries,
+    search_queries,
+    text_queries,
+    training_queries,
+)
 from palimpsest.plans.registry import ORACLES, QUERIES  # noqa: F401
