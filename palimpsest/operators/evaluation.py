@@ -249,27 +249,31 @@ def text_features(text: Column) -> Column:
     """Word 1-2-grams, character 3-5-grams and a length bucket."""
     folded = casefold(text)
     words = F.regexp_extract_all(folded, F.lit(rf"[{WORD}_]+|[^{WORD}_{WS}]"), F.lit(0))
-    padded = F.concat(F.lit(" "), folded, F.lit(" "))
+    chars = F.split(F.concat(F.lit(" "), folded, F.lit(" ")), "")
 
-    def grams(n: int) -> Column:
-        last = F.length(padded) - n + 1
-        at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.concat(F.lit(f"c{n}:"), F.substr(padded, i, F.lit(n))))
+    def char_grams(c: Column, n: int) -> Column:
+        starts = F.slice(c, F.lit(1), F.greatest(F.lit(0), F.size(c) - n + 1))
+        return F.transform(
+            starts, lambda _, i: F.concat(F.lit(f"c{n}:"), *[F.get(c, i + j) for j in range(n)])
+        )
 
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 1)),
-        F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 1)),
-        lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b),
-    )
-    length = F.least(F.floor(F.size(words) / 5), F.lit(20)).cast("string")
-    return F.concat(
-        F.transform(words, lambda w: F.concat(F.lit("w:"), w)),
-        pairs,
-        grams(3),
-        grams(4),
-        grams(5),
-        F.array(F.concat(F.lit("len:"), length)),
-    )
+    def grams(x: Column) -> Column:
+        w, c = x["w"], x["c"]
+        firsts = F.slice(w, F.lit(1), F.greatest(F.lit(0), F.size(w) - 1))
+        pairs = F.transform(
+            firsts, lambda a, i: F.concat(F.lit("b:"), a, F.lit("_"), F.get(w, i + 1))
+        )
+        length = F.least(F.floor(F.size(w) / 5), F.lit(20)).cast("string")
+        return F.concat(
+            F.transform(w, lambda t: F.concat(F.lit("w:"), t)),
+            pairs,
+            *[char_grams(c, n) for n in (3, 4, 5)],
+            F.array(F.concat(F.lit("len:"), length)),
+        )
+
+    # Bound once per row: inside a lambda a plain expression would run for every element.
+    both = F.array(F.struct(words.alias("w"), chars.alias("c")))
+    return F.get(F.transform(both, grams), F.lit(0))
 
 
 def hashed_features(df: DataFrame, dim: int = FEATURE_DIM) -> DataFrame:

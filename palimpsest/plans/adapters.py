@@ -29,8 +29,18 @@ STATUS_OF_EVENT = {
 }
 
 
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Text tables that come as fewer splits than there are cores are spread by
+    key: a small file is one split, and text work is bound by CPU. Large inputs are left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, TEXT_KEYS[name])
+    return df
 
 
 def pick(values: list[str], index: Column) -> Column:

@@ -340,20 +340,20 @@ RULES = SegmentRules(
     threshold=0.5, min_speech_s=0.064, silence_end_s=0.128, max_segment_s=0.32, pad_s=0.064
 )
 _MACHINE = f"""
-  f AS (SELECT device, frame_no, prob > {RULES.threshold} AS loud, max(frame_no) OVER (PARTITION BY device) AS last FROM frame),
+  f AS (SELECT device, frame_no, prob > {RULES.threshold} AS loud, max(frame_no) OVER (PARTITION BY device) AS final_no FROM frame),
   m AS (
     SELECT device, -1::BIGINT AS frame_no, false AS is_open, 0::BIGINT AS first, 0::BIGINT AS n, 0::BIGINT AS speech, 0::BIGINT AS quiet,
       NULL::BIGINT AS o_first, NULL::BIGINT AS o_n, NULL::BIGINT AS o_speech FROM (SELECT DISTINCT device FROM f)
     UNION ALL
     SELECT device, frame_no,
-      CASE WHEN closing THEN false WHEN full THEN true ELSE n1 > 0 END,
-      CASE WHEN full AND NOT closing THEN frame_no + 1 ELSE first1 END,
-      CASE WHEN closing OR full THEN 0 ELSE n1 END, CASE WHEN closing OR full THEN 0 ELSE speech1 END, quiet1,
+      CASE WHEN closing THEN false WHEN filled THEN true ELSE n1 > 0 END,
+      CASE WHEN filled AND NOT closing THEN frame_no + 1 ELSE first1 END,
+      CASE WHEN closing OR filled THEN 0 ELSE n1 END, CASE WHEN closing OR filled THEN 0 ELSE speech1 END, quiet1,
       CASE WHEN emits THEN first1 END, CASE WHEN emits THEN kept END, CASE WHEN emits THEN speech1 END
-    FROM (SELECT *, (closing OR full) AND kept > 0 AND speech1 >= {RULES.min_speech} AS emits FROM
+    FROM (SELECT *, (closing OR filled) AND kept > 0 AND speech1 >= {RULES.min_speech} AS emits FROM
       (SELECT *, CASE WHEN closing AND quiet1 > {RULES.pad} THEN greatest(0, n1 - (quiet1 - {RULES.pad})) ELSE n1 END AS kept FROM
         (SELECT *, was_open AND NOT loud AND quiet1 >= {RULES.silence} AS closing,
-           (n1 > 0 OR was_open) AND n1 >= {RULES.longest} AS full FROM
+           (n1 > 0 OR was_open) AND n1 >= {RULES.longest} AS filled FROM
           (SELECT m.device, f.frame_no, m.is_open AS was_open, f.loud,
              CASE WHEN m.is_open THEN m.first WHEN f.loud THEN greatest(0, f.frame_no - {RULES.pad}) ELSE 0 END AS first1,
              CASE WHEN m.is_open THEN m.n + 1 WHEN f.loud THEN least(f.frame_no, {RULES.pad}) + 1 ELSE 0 END AS n1,
@@ -361,7 +361,7 @@ _MACHINE = f"""
              CASE WHEN f.loud THEN 0 WHEN m.is_open THEN m.quiet + 1 ELSE m.quiet END AS quiet1
            FROM m JOIN f ON f.device = m.device AND f.frame_no = m.frame_no + 1))))),
   flushed AS (SELECT device, first, CASE WHEN quiet > {RULES.pad} THEN greatest(0, n - (quiet - {RULES.pad})) ELSE n END AS n, speech
-    FROM m JOIN (SELECT DISTINCT device, last FROM f) USING (device) WHERE frame_no = last AND is_open)"""
+    FROM m JOIN (SELECT DISTINCT device, final_no FROM f) USING (device) WHERE frame_no = final_no AND is_open)"""
 
 
 @query(
