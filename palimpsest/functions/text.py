@@ -67,24 +67,23 @@ STYLE_STOP_WORDS = ENGLISH_WORDS + (
 
 @lru_cache(maxsize=1)
 def _nfc_unstable_pattern() -> str:
-    """Class of characters whose presence means NFC might change the text (by rule)."""
+    """A short class that covers every character whose presence means NFC might change a text.
+
+    Derived by rule; close ranges are merged, so it also covers some stable characters.
+    """
     composing_jamo = [(0x1161, 0x1175), (0x11A8, 0x11C2)]
-    points = [
-        cp
-        for cp in range(0x300, sys.maxunicode + 1)
-        if not 0xD800 <= cp <= 0xDFFF
-        and (
-            unicodedata.category(chr(cp)).startswith("M")
-            or not unicodedata.is_normalized("NFC", chr(cp))
-            or any(lo <= cp <= hi for lo, hi in composing_jamo)
-        )
-    ]
-    ranges, start = [], points[0]
-    for prev, cp in zip(points, points[1:] + [None]):
-        if cp != prev + 1:
-            ranges.append(f"\\x{{{start:X}}}-\\x{{{prev:X}}}")
-            start = cp
-    return "[" + "".join(ranges) + "]"
+    ranges: list[list[int]] = []
+    for cp in range(0x300, sys.maxunicode + 1):
+        if 0xD800 <= cp <= 0xDFFF or unicodedata.category(chr(cp)).startswith("M"):
+            continue
+        stable = unicodedata.is_normalized("NFC", chr(cp))
+        if stable and not any(lo <= cp <= hi for lo, hi in composing_jamo):
+            continue
+        if ranges and cp - ranges[-1][1] <= 0x80:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return r"[\p{M}" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges) + "]"
 
 
 @pandas_udf(T.StringType())
@@ -94,7 +93,8 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Canonical composition. Rows that are already composed never leave the JVM."""
-    return F.coalesce(_nfc(F.when(text.rlike(_nfc_unstable_pattern()), text)), text)
+    beyond_latin = text.rlike(r"[^\x00-\x{2FF}]")
+    return F.coalesce(_nfc(F.when(beyond_latin & text.rlike(_nfc_unstable_pattern()), text)), text)
 
 
 def strip(text: Column) -> Column:

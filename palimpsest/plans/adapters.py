@@ -253,7 +253,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(
         "device",
         (F.col("_r") - 1).alias("frame_no"),
-        F.timestamp_micros((F.lit(BASE_S) * 1_000_000 + (F.col("_r") - 1) * 32_000).cast("long")).alias("ts"),
+        F.timestamp_micros(F.lit(BASE_S * 1_000_000) + (F.col("_r") - 1) * 32_000).alias("ts"),
         F.least(F.lit(1.0), F.col("value") / 40).alias("prob"),
         (F.col("value") / 2 - 60).alias("level_db"),
     )

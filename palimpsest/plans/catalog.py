@@ -5,6 +5,8 @@ from palimpsest.plans import (  # noqa: F401
     evaluation_queries,
     memory_queries,
     search_queries,
+    source_queries,
+    stream_queries,
     text_queries,
     training_queries,
 )
