@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -97,6 +98,15 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(beyond_latin & text.rlike(_nfc_unstable_pattern()), text)), text)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used.
+
+    Spark shares common subexpressions only where they are sure to be evaluated; branches and
+    lambdas would compute them again.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only U+0020."""
     return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
@@ -125,8 +135,8 @@ def clean_text(text: Column, compose: bool = True) -> Column:
     t = unix_newlines(F.translate(t, ZERO_WIDTH, ""))
     t = F.regexp_replace(t, r"[ \t\xa0]+", " ")
     # (?d): only \n is a line end, so other separators are trimmed like spaces.
-    inner = r"[^\S\n]|[\x0b\x1c-\x1f\x85]|[\p{Z}]"
-    t = F.regexp_replace(t, rf"(?md)^(?:{inner})+|(?:{inner})+$", "")
+    inner = rf"[{WS}&&[^\n]]"
+    t = F.regexp_replace(t, rf"(?md)^{inner}+|{inner}+$", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return strip(t)
 
@@ -142,17 +152,32 @@ def strip_urls(text: Column) -> Column:
 
 def low_signal_reason(text: Column) -> Column:
     """Why a text carries no signal (empty / media_placeholder / url_only / emoji_only) or NULL."""
-    t = strip(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
-    holds_placeholder = F.lit(False)
-    for marker in MEDIA_PLACEHOLDERS:
-        holds_placeholder = holds_placeholder | low.contains(marker)
-    without_urls = strip_urls(t)
-    return (
-        F.when(t == "", "empty")
-        .when(holds_placeholder & (word_count(without_urls) <= 4), "media_placeholder")
-        .when(without_urls == "", "url_only")
-        .when(t.rlike(EMOJI_ONLY_PATTERN), "emoji_only")
+
+    def judge(s: Column) -> Column:
+        t, bare = s["t"], s["bare"]
+        low = F.lower(t)
+        holds_placeholder = F.lit(False)
+        for marker in MEDIA_PLACEHOLDERS:
+            holds_placeholder = holds_placeholder | low.contains(marker)
+        return (
+            F.when(t == "", "empty")
+            .when((word_count(bare) <= 4) & holds_placeholder, "media_placeholder")
+            .when(bare == "", "url_only")
+            .when(t.rlike(EMOJI_ONLY_PATTERN), "emoji_only")
+        )
+
+    def full(t: Column) -> Column:
+        return bind(F.struct(t.alias("t"), strip_urls(t).alias("bare")), judge)
+
+    # Five leading words without an address leave more than four words: neither of the two
+    # costly rules can apply, whatever follows. Most texts end here.
+    plain_word = rf"(?![^{WS}]*?(?:https?://|www\.))[^{WS}]++[{WS}]+"
+    wordy = rf"(?i)^(?:{plain_word}){{5}}[^{WS}]"
+    return bind(
+        strip(F.coalesce(text, F.lit(""))),
+        lambda t: F.when(
+            t.rlike(wordy), F.when(t.rlike(EMOJI_ONLY_PATTERN), F.lit("emoji_only"))
+        ).otherwise(full(t)),
     )
 
 
@@ -164,24 +189,25 @@ def collapse_burst(texts: Column) -> Column:
 def guess_lang(text: Column) -> Column:
     """``tr`` / ``en`` / NULL from stop-word hits and Turkish-only letters."""
     words = F.regexp_extract_all(F.lower(text), F.lit(rf"[{LETTERS}]+"), F.lit(0))
-    tr_letters = F.length(text) - F.length(F.translate(text, TURKISH_LETTERS, ""))
-    scores = F.struct(
-        F.size(words).alias("n"),
-        (F.size(F.filter(words, lambda w: w.isin(TURKISH_WORDS))) + tr_letters).alias("tr"),
-        F.size(F.filter(words, lambda w: w.isin(ENGLISH_WORDS))).alias("en"),
-        tr_letters.alias("letters"),
-    )
-    # A one-element transform names the scores once, so they are computed once per row.
-    return F.get(
-        F.transform(
-            F.array(scores),
-            lambda s: F.when((s["n"] == 0) | ((s["tr"] == 0) & (s["en"] == 0)), F.lit(None))
-            .when(s["tr"] > s["en"], "tr")
-            .when(s["en"] > s["tr"], "en")
-            .when(s["letters"] > 0, "tr")
-            .otherwise("en"),
+    letters = F.length(text) - F.length(F.translate(text, TURKISH_LETTERS, ""))
+    known = sorted({*TURKISH_WORDS, *ENGLISH_WORDS})
+    # Few words are stop words: one pass finds them, two short ones tell the languages apart.
+    hits = F.filter(words, lambda w: w.isin(known))
+    scores = bind(
+        hits,
+        lambda h: F.struct(
+            (F.size(F.filter(h, lambda w: w.isin(TURKISH_WORDS))) + letters).alias("tr"),
+            F.size(F.filter(h, lambda w: w.isin(ENGLISH_WORDS))).alias("en"),
+            letters.alias("letters"),
         ),
-        F.lit(0),
+    )
+    return bind(
+        scores,
+        lambda s: F.when((s["tr"] == 0) & (s["en"] == 0), F.lit(None))
+        .when(s["tr"] > s["en"], "tr")
+        .when(s["en"] > s["tr"], "en")
+        .when(s["letters"] > 0, "tr")
+        .otherwise("en"),
     )
 
 

@@ -12,6 +12,7 @@ from palimpsest.functions.prompts import STANDALONE_KINDS, setting, standalone_i
 from palimpsest.functions.text import low_signal_reason, word_count
 from palimpsest.operators.scale import bucketed_rank
 from palimpsest.operators.turns import CONV, alternate, build_turns, fit_context, with_context
+from palimpsest.session import materialize
 
 CHARS_PER_TOKEN = 4
 PROMPT_RESERVE = 600
@@ -228,8 +229,11 @@ def build_examples(
     cfg: ExampleConfig = ExampleConfig(),
     cutoff: str | None = None,
 ) -> DataFrame:
-    """The final examples (train and holdout)."""
-    rows = labelled_examples(messages, conversations, cfg, cutoff)
+    """The final examples (train and holdout).
+
+    The labelled rows are read twice by the cap, so they are checkpointed first.
+    """
+    rows = materialize(labelled_examples(messages, conversations, cfg, cutoff))
     return (
         cap_per_conversation(rows, cfg.max_per_conversation)
         .filter("skip_reason is null")
@@ -240,73 +244,54 @@ def build_examples(
 def dataset_stats(examples: DataFrame) -> DataFrame:
     """One row of totals from capped, labelled examples (see ``labelled_examples``).
 
-    Counted maps come from one small aggregate over (register, lang, reason, split).
+    Every row becomes a few (tag, key, value) entries which fold map-side; one final row is
+    built from the folded entries. Copies folded into an example count as duplicates.
     """
     kept = F.col("skip_reason").isNull()
+    capped = F.coalesce(F.col("skip_reason") == "conversation_cap", F.lit(False))
     train = kept & ~F.col("is_holdout")
-    rows = examples.withColumn("_lang", F.coalesce("lang", F.lit("unknown")))
-    small = rows.groupBy("register", "_lang", "skip_reason", "is_holdout").agg(
-        F.count("*").alias("rows"),
-        F.sum("n").alias("n"),
-        F.sum("n_words").alias("words"),
-        F.max("ts").alias("ts"),
-    )
+    one = F.lit(1).cast("long")
 
-    def counted(key: str, weight: Column, condition: Column) -> DataFrame:
-        return (
-            small.filter(condition)
-            .groupBy(key)
-            .agg(F.sum(weight).alias("_n"))
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "_n")))).alias(key))
+    def entry(tag: str, key: Column, value: Column, condition: Column) -> Column:
+        return F.when(
+            condition,
+            F.struct(F.lit(tag).alias("tag"), key.alias("key"), value.cast("long").alias("v")),
         )
 
-    capped = F.col("skip_reason") == "conversation_cap"
-    # Copies folded into an example are duplicates; a capped example counts itself as capped.
-    reasons = (
-        small.select(
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.col("skip_reason").alias("reason"),
-                        F.when(capped, F.col("rows")).otherwise(F.col("n")).alias("_n"),
-                    ),
-                    F.struct(
-                        F.lit("duplicate").alias("reason"),
-                        F.when(kept | capped, F.col("n") - F.col("rows"))
-                        .otherwise(0)
-                        .alias("_n"),
-                    ),
-                )
-            ).alias("x")
-        )
-        .select("x.*")
-        .filter("reason is not null and _n > 0")
-        .groupBy("reason")
-        .agg(F.sum("_n").alias("_n"))
-        .agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "_n")))).alias("skipped")
-        )
-    )
-    totals = small.agg(
-        F.coalesce(F.sum(F.when(train, F.col("rows"))), F.lit(0)).alias("n_examples"),
-        F.coalesce(F.sum(F.when(kept & F.col("is_holdout"), F.col("rows"))), F.lit(0)).alias(
-            "n_holdout"
-        ),
-        F.coalesce(F.sum(F.when(train, F.col("words"))), F.lit(0)).alias("n_words"),
-        F.max(F.when(kept, F.col("ts"))).alias("data_cutoff"),
+    entries = F.array(
+        entry("register", F.col("register"), one, train),
+        entry("lang", F.coalesce("lang", F.lit("unknown")), one, train),
+        entry("skip", F.col("skip_reason"), F.when(capped, one).otherwise(F.col("n")), ~kept),
+        entry("skip", F.lit("duplicate"), F.col("n") - 1, (kept | capped) & (F.col("n") > 1)),
+        entry("conversation", F.col(CONV).cast("string"), one, kept | capped),
+        entry("n", F.when(train, "train").otherwise("holdout"), one, kept),
+        entry("n", F.lit("words"), F.col("n_words"), train),
+        entry("ts", F.lit("ts"), F.unix_micros("ts"), kept),
     )
-    conversations = (
-        rows.filter(kept | capped).agg(F.count_distinct(CONV).alias("conversations"))
+    folded = (
+        examples.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+        .groupBy("e.tag", "e.key")
+        .agg(F.sum("e.v").alias("total"), F.max("e.v").alias("top"))
     )
-    by_register = counted("register", F.col("rows"), train).withColumnRenamed(
-        "register", "by_register"
+
+    def as_map(tag: str) -> Column:
+        pairs = F.collect_list(F.when(F.col("tag") == tag, F.struct("key", "total")))
+        return F.map_from_entries(F.array_sort(pairs))
+
+    def number(key: str) -> Column:
+        hit = (F.col("tag") == "n") & (F.col("key") == key)
+        return F.coalesce(F.sum(F.when(hit, F.col("total"))), F.lit(0))
+
+    return folded.agg(
+        number("train").alias("n_examples"),
+        number("holdout").alias("n_holdout"),
+        number("words").alias("n_words"),
+        F.timestamp_micros(F.max(F.when(F.col("tag") == "ts", F.col("top")))).alias("data_cutoff"),
+        F.count_if(F.col("tag") == "conversation").alias("conversations"),
+        as_map("register").alias("by_register"),
+        as_map("lang").alias("by_lang"),
+        as_map("skip").alias("skipped"),
     )
-    by_lang = counted("_lang", F.col("rows"), train).withColumnRenamed("_lang", "by_lang")
-    # Each side is a single aggregate row.
-    one = totals.withColumn("_one", F.lit(1))
-    for side in (conversations, by_register, by_lang, reasons):
-        one = one.join(side.withColumn("_one", F.lit(1)), "_one")
-    return one.drop("_one")
 
 
 def shuffled(examples: DataFrame, seed: int = 7) -> DataFrame:

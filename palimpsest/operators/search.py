@@ -72,18 +72,17 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
         F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl")
     )  # one row
     matched = (
-        tokens.filter("hit")
-        .select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        tokens.select("id", "hit", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(asked, "term", "left_semi")
         .repartition("id")
         .groupBy("id", "term")
-        .agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
+        .agg(F.first("dl").alias("dl"), F.first("hit").alias("hit"), F.count("*").alias("tf"))
     )
+    # `used` keeps the columns of both readers of `matched` equal, so its shuffle is shared.
     df = (
-        tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .join(asked, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
+        matched.groupBy("term")
+        .agg(F.count("*").alias("df"), F.max(F.col("dl") + F.col("hit").cast("int") + F.col("tf")).alias("used"))
+        .filter("used > 0")
     )
     idf = (
         df.withColumn("_one", F.lit(1))
@@ -109,7 +108,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
         )
     length = 1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_dl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * length)
-    scored = matched.join(weights, key).groupBy("id", "query_id").agg(F.sum(part).alias("score"))
+    scored = matched.filter("hit").join(weights, key).groupBy("id", "query_id").agg(F.sum(part).alias("score"))
     return top_per_group(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k).select(
         "query_id", "id", "score", "rank"
     )

@@ -21,6 +21,7 @@ from palimpsest.plans.adapters import (
     turn_conversations,
 )
 from palimpsest.plans.registry import query
+from palimpsest.session import materialize
 
 CONFIG = examples.ExampleConfig(name="Sam", holdout_fraction=0.2)
 
@@ -195,8 +196,9 @@ _EXAMPLE_SQL = q.with_tables("chat_msg", "chat_conv", **_EXAMPLES)
 
 
 def labelled(spark, sf):
-    return examples.labelled_examples(
-        chat_messages(spark, sf), turn_conversations(spark, sf), CONFIG
+    """Checkpointed: the cap, the statistics and the hash all read it."""
+    return materialize(
+        examples.labelled_examples(chat_messages(spark, sf), turn_conversations(spark, sf), CONFIG)
     )
 
 
