@@ -269,7 +269,8 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
         entry("ts", F.lit("ts"), F.unix_micros("ts"), kept),
     )
     folded = (
-        examples.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+        examples.select(F.explode_outer(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+        .filter("e is not null")
         .groupBy("e.tag", "e.key")
         .agg(F.sum("e.v").alias("total"), F.max("e.v").alias("top"))
     )

@@ -136,24 +136,35 @@ def classify_batch(
         seq.cast("long").alias("seq"),
     )
     kept = F.col("reason").isNull()
+    # Keys that cannot be NULL: otherwise the join below would push an IS NOT NULL test, with the
+    # whole cleaning and hashing inlined, under everything and run it twice.
+    no_conv, no_text = F.lit(0).cast("long"), F.lit("")
     folded = (
         rows.groupBy(
-            F.when(kept, conv).alias("conversation_id"),
-            F.when(kept, F.col("content_hash")).otherwise(F.col("reason")).alias("content_hash"),
+            F.coalesce(F.when(kept, conv), no_conv).alias("conversation_id"),
+            F.coalesce(F.when(kept, F.col("content_hash")), F.col("reason"), no_text).alias(
+                "content_hash"
+            ),
             "reason",
         )
         .agg(
             F.min_by(F.when(kept, payload), F.struct(seq, F.col("external_id"))).alias("_m"),
             F.count("*").alias("n"),
+            # An aggregate, not the key: a filter on it stays above the aggregate.
+            F.bool_and(kept).alias("_kept"),
         )
-        .select("conversation_id", "content_hash", "reason", "n", "_m.*")
+        .select("conversation_id", "content_hash", "reason", "n", "_kept", "_m.*")
         .withColumn("source_id", src)
     )
-    known = stored.select("conversation_id", "content_hash", F.lit(True).alias("_known"))
+    known = stored.select(
+        F.coalesce("conversation_id", no_conv).alias("conversation_id"),
+        F.coalesce("content_hash", no_text).alias("content_hash"),
+        F.lit(True).alias("_known"),
+    )
     return (
         folded.join(known, ["conversation_id", "content_hash"], "left")
-        .withColumn("is_new", F.col("reason").isNull() & F.col("_known").isNull())
-        .drop("_known")
+        .withColumn("is_new", F.col("_kept") & F.col("_known").isNull())
+        .drop("_known", "_kept")
     )
 
 

@@ -88,7 +88,10 @@ def memory_ids_by_uid(memories: DataFrame, uids: DataFrame) -> DataFrame:
 
 def extract_memories(utterances: DataFrame) -> DataFrame:
     """Explicit requests to remember in (uid, text), at most one per utterance."""
-    found = utterances.select("uid", rule_memory(F.col("text")).alias("m")).filter("m is not null")
+    # A generator keeps the rule from being evaluated a second time inside a pushed-down filter.
+    found = utterances.select(
+        "uid", F.explode_outer(F.array(rule_memory(F.col("text")))).alias("m")
+    ).filter("m is not null")
     return found.select(
         hash_long(F.lit("explicit"), F.col("uid")).cast("string").alias("uid"),
         F.col("m.kind").alias("kind"),
@@ -107,7 +110,8 @@ def filter_candidates(replies: DataFrame, min_confidence: float = 0.5) -> DataFr
     """
     items = (
         replies.filter(word_count(F.col("source_text")) >= 4)
-        .select("source_ref", F.posexplode(reply_items(F.col("reply"))).alias("pos", "item"))
+        .select("source_ref", F.posexplode_outer(reply_items(F.col("reply"))).alias("pos", "item"))
+        .filter("item is not null")
         .select("source_ref", "pos", candidate(F.col("item")).alias("c"))
     )
     return items.select("source_ref", "pos", "c.*").filter(

@@ -68,7 +68,8 @@ def style_stats(rows: DataFrame) -> DataFrame:
 
 def _top(tokens: DataFrame, k: int, name: str) -> DataFrame:
     top = (
-        tokens.groupBy("token")
+        tokens.filter("token is not null")
+        .groupBy("token")
         .agg(F.count("*").alias("c"))
         .orderBy(F.col("c").desc(), "token")
         .limit(k)
@@ -82,10 +83,10 @@ def top_tokens(rows: DataFrame, words: int = TOP_WORDS, emoji: int = TOP_EMOJI)
     texts = _text_rows(rows)
     pattern = rf"[{LETTERS}]{{2,}}"
     word_rows = texts.select(
-        F.explode(F.regexp_extract_all(casefold(F.col("text")), F.lit(pattern), F.lit(0))).alias("token")
+        F.explode_outer(F.regexp_extract_all(casefold(F.col("text")), F.lit(pattern), F.lit(0))).alias("token")
     ).filter(~F.col("token").isin(STYLE_STOP_WORDS))
     emoji_rows = texts.select(
-        F.explode(F.regexp_extract_all("text", F.lit(EMOJI_PATTERN), F.lit(0))).alias("token")
+        F.explode_outer(F.regexp_extract_all("text", F.lit(EMOJI_PATTERN), F.lit(0))).alias("token")
     )
     a = _top(word_rows, words, "top_words").withColumn("_one", F.lit(1))
     b = _top(emoji_rows, emoji, "top_emojis").withColumn("_one", F.lit(1))

@@ -25,11 +25,16 @@ BROADCAST_CHARS = 32_000_000
 TERM_SALTS = 32
 
 
+# explode_outer, not explode: Spark would test "size(tokens) > 0" in a filter of its own below the
+# generator and tokenize every text twice for it.
+
+
 def query_term_table(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf): folded search tokens of every query."""
     tokens = F.flatten(F.transform(query_terms(F.col("text")), search_tokens))
     return (
-        queries.select("query_id", F.explode(tokens).alias("term"))
+        queries.select("query_id", F.explode_outer(tokens).alias("term"))
+        .filter("term is not null")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -39,7 +44,8 @@ def postings(docs: DataFrame) -> DataFrame:
     """(id, term, tf, dl): term counts with the length of the document in tokens."""
     tokens = docs.select("id", search_tokens(F.col("text")).alias("tokens"))
     return (
-        tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        tokens.select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        .filter("term is not null")
         .groupBy("id", "term")
         .agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
     )
@@ -72,7 +78,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
         F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl")
     )  # one row
     matched = (
-        tokens.select("id", "hit", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        tokens.select("id", "hit", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
         .join(asked, "term", "left_semi")
         .repartition("id")
         .groupBy("id", "term")

@@ -19,8 +19,8 @@ def document_messages(docs: DataFrame, root: str, max_words: int = MAX_CHUNK_WOR
     folder = F.regexp_extract("rel", r"(?s)^(.*)/[^/]*$", 1)
     base = root.rstrip("/")
     chunks = docs.select(
-        "rel", "ts", F.posexplode(chunk_paragraphs(prose(F.col("text")), max_words)).alias("i", "text")
-    )
+        "rel", "ts", F.posexplode_outer(chunk_paragraphs(prose(F.col("text")), max_words)).alias("i", "text")
+    ).filter("text is not null")
     return chunks.select(
         F.when(folder == "", F.lit(base))
         .otherwise(F.concat(F.lit(base + "/"), folder))
