@@ -347,7 +347,7 @@ def email_bodies(spark, sf):
     rows = table(spark, sf, "documents").filter(~F.col("text").contains("\r")).select(
         "doc_id",
         mail_rules.clean_email_body(
-            F.concat(F.lit("Hello\n"), "text", F.lit("\nOn Tue, A\nB wrote:\n> x\n-- \nsig"))
+            F.concat(F.lit("Hello\n"), "text", F.lit("\n\n\nOn Tue, A\nB wrote:\n> x\n-- \nsig"))
         ).alias("b"),
     )
     return rows.select("doc_id", F.md5("b").alias("body_md5"))
