@@ -23,7 +23,7 @@ CLASSES = 9
 MIN_WORDS = 20  # below it a document fails
 MIN_CLASS_CHARS = 200  # below it the character classes are not judged
 MIN_COMMON_WORDS = 200  # below it the common words are not judged
-MAX_CLASS_DISTANCE = 0.33
+MAX_CLASS_DISTANCE = 0.34
 MAX_COMMON_DISTANCE = 0.36
 COMMON_WORDS = 64  # words with a count of their own in each language
 WORD_CELLS = 1 << 14  # cells into which words are hashed to find the common ones

@@ -35,7 +35,7 @@ SAMPLE_ROWS = 20_000  # labelled rows the classifier is fitted on, at most
 FEATURE_CELLS = 1 << 18
 SELECTED = 4096  # features with a weight, at most
 MIN_TOXIC = 3  # toxic rows of a feature
-RIDGE = 1.0
+RIDGE = 0.05
 CUTOFF = 0.3
 CACHED_WORDS = 1_000_000  # a worker forgets its words beyond that
 SYMBOLS = 28  # 0: no letter, 1-26: a-z, 27: other letters
@@ -55,6 +55,7 @@ _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[0xC3:] = 27
+_APART = re.compile(f"[{re.escape(SEPARATORS)}]+")
 _EDGE = re.compile(r"^[^\w@$]+|(?:[^\w@$]|([@$])\1)+$")
 _NOISY = re.compile(r"[^\W\d_][^\w]*[\d@$!|+(.\-_*~'`^#,/:]|[\d@$!|+(][^\W\d_]|([^\W\d_])\1\1")
 
@@ -119,16 +120,21 @@ def restore(word: str, model: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
-def spelled(word: str, model: np.ndarray) -> str:
-    """Lower-cased word without the signs around it, restored where it is noisy."""
-    word = _EDGE.sub("", word.lower())
-    return restore(word, model) if _NOISY.search(word) else word
+def spelled(word: str, model: np.ndarray) -> list[str]:
+    """Lower-cased words without the signs around them, restored where they are noisy.
+
+    Separators part words of three or more letters; shorter parts are one word spelled apart.
+    """
+    parts = [_EDGE.sub("", p) for p in _APART.split(word.lower())]
+    if len(parts) > 1 and max(map(len, parts)) < 3:
+        parts = [_EDGE.sub("", word.lower())]
+    return [restore(p, model) if _NOISY.search(p) else p for p in parts]
 
 
-def features(word: str) -> list[int]:
-    """Feature cells of a restored word: itself and its beginnings."""
-    names = ["=" + word] + [word[:n] for n in (4, 5, 6, 7, 8) if len(word) >= n]
-    return [_cell(n) for n in names] if word else []
+def features(words: list[str]) -> list[int]:
+    """Feature cells of restored words: themselves and their beginnings."""
+    names = {"=" + w for w in words if w} | {w[:n] for w in words for n in (4, 5, 6, 7, 8) if len(w) >= n}
+    return [_cell(n) for n in sorted(names)]
 
 
 def _cell(name: str) -> int:
@@ -214,14 +220,13 @@ def select(counts: np.ndarray, totals: np.ndarray, limit: int) -> np.ndarray:
 
 
 def regress(rows: list[np.ndarray], labels: np.ndarray, size: int, ridge: float) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on present features, by accelerated gradient steps."""
+    """L2-regularised logistic regression on present features, by adaptive gradient steps."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cells = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
-    most = max((len(r) for r in rows), default=0) + 1
-    step = 1.0 / (0.25 * most * max(1, len(rows)) ** 0.5 + ridge)
+    # each coordinate has a step of its own
     w, b = np.zeros(size), math.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
     second_w, second_b = np.zeros(size), 0.0
-    for _ in range(400):  # each coordinate has a step of its own
+    for _ in range(400):
         z = np.bincount(at, weights=w[cells], minlength=len(rows)) + b
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
         grad_w = np.bincount(cells, weights=error[at], minlength=size) + ridge * w
@@ -229,7 +234,6 @@ def regress(rows: list[np.ndarray], labels: np.ndarray, size: int, ridge: float)
         second_b += error.sum() ** 2
         w -= 0.5 * grad_w / np.sqrt(second_w + 1e-8)
         b -= 0.5 * error.sum() / math.sqrt(second_b + 1e-8)
-    del step
     return w, b
 
 
