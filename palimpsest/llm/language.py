@@ -115,11 +115,16 @@ def learn(
     langs = [
         r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     ]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # slices first, so that a frequent language does not meet in one task as a whole
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    early = F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order))
     picked = (
         usable.filter(F.col("lang").isin(langs))
-        .select("doc_id", "lang")
-        .withColumn("turn", F.row_number().over(order))
+        .select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("slice"))
+        .withColumn("early", early)
+        .filter(F.col("early") <= per_language)
+        .withColumn("turn", turn)
         .filter(F.col("turn") <= per_language)
         .select("doc_id", "lang", "turn")
     )

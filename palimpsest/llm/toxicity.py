@@ -46,10 +46,11 @@ LOOKS_LIKE = {
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c",
 }
 SEPARATORS = ".-_*~'`^#,/:"
-READ_SIGN = -1.0  # log-probabilities of the channel
-DROP_SIGN = -3.0
-DROP_REPEAT = -0.2
-KEEP_REPEAT = -1.5
+READ_SIGN = -0.5  # log-probabilities of the channel
+DROP_SIGN = -8.0
+DROP_SEPARATOR = -0.2
+DROP_SECOND = -0.7
+KEEP_SECOND = -0.7
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -88,12 +89,14 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
 def readings(word: str, k: int) -> list[tuple[str, float]]:
     """What the k-th character may stand for, with the channel's log-probability."""
     c = word[k]
-    if k and c == word[k - 1] and c.isalpha():
-        return [("", DROP_REPEAT), (c, KEEP_REPEAT)]
     if c.isalpha():
-        return [(c, 0.0)]
+        if word[k - 1 : k] != c:
+            return [(c, 0.0)]
+        if word[k - 2 : k] == 2 * c:  # of three and more at most two stay
+            return [("", 0.0)]
+        return [("", DROP_SECOND), (c, KEEP_SECOND)] if word[k + 1 : k + 2] == c else [(c, 0.0)]
     found = [(letter, READ_SIGN) for letter in LOOKS_LIKE.get(c, "")]
-    return found + [("", DROP_REPEAT if c in SEPARATORS or not found else DROP_SIGN)]
+    return found + [("", DROP_SEPARATOR if c in SEPARATORS or not found else DROP_SIGN)]
 
 
 def restore(word: str, model: np.ndarray) -> str:
