@@ -8,12 +8,15 @@ The job, whose shuffles carry shingle hashes and never texts:
 2. ``shared_prefixes``: shingles are ordered by (sketch count, hash), rare first. Similar sets
    share a shingle among their first n - ceil(t n) + 1. Rows (shingle, class) are dealt by shingle;
    those with one class fall away. A shingle whose count stands out is dealt by (shingle, class).
-3. First round: every class meets one centre, the smallest class among its shingles, in a block of
-   bounded size. This connects large groups of near copies.
+3. First round: every class meets one centre, the smallest class among its shingles, if they share
+   a good part of their prefixes. This connects large groups of near copies.
 4. Second round: shingles whose classes are all connected by now fall away; the others make one
    block per distinct list of classes. Lists above the block size are cut into blocks and every
-   two blocks of a list meet, so no pair is left out.
-5. In a block the sets are stored in a trie and joined by traversal (``trie.similar``).
+   two blocks of a list meet, so no pair is left out. A block carries the shared prefix shingles of
+   its classes; pairs of unconnected classes pass if they share as many of them as a similar pair
+   must (``least_shared``).
+5. Classes that meet in the first round or pass in the second are stored with their sets in a trie
+   per centre and joined by traversal (``trie.similar``).
 6. Links become components by repeated minimum labels.
 
 Only links that join different components are emitted; every pair at or above the threshold is
@@ -207,11 +210,11 @@ def _shared(rows: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
     return rows[: turn[-1]][held[: turn[-1]]], tail
 
 
-def candidate_sets(docs: DataFrame, shared: DataFrame, words: int) -> DataFrame:
-    """(sig, grams) of every class in ``shared``, found by a fixed-size bitmap of class hashes."""
+def candidate_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(sig, grams) of every class in ``wanted``, found by a fixed-size bitmap of class hashes."""
     bit = F.expr("shiftleft(1L, cast(pmod(shiftright(sig, 16), 64) as int))")
     bits = (
-        shared.groupBy(F.pmod("sig", F.lit(FILTER_WORDS)).alias("word"))
+        wanted.groupBy(F.pmod("sig", F.lit(FILTER_WORDS)).alias("word"))
         .agg(F.bit_or(bit).alias("bits"))
         .collect()
     )
@@ -233,26 +236,23 @@ def candidate_sets(docs: DataFrame, shared: DataFrame, words: int) -> DataFrame:
             if sigs:
                 yield frame(_SET, sig=sigs, grams=grams)
 
-    found = over_texts(docs, fn, "sig long, grams binary").join(shared.select("sig").distinct(), "sig", "left_semi")
+    found = over_texts(docs, fn, "sig long, grams binary").join(wanted.select("sig").distinct(), "sig", "left_semi")
     return found.groupBy("sig").agg(F.first("grams").alias("grams"))
 
 
 def block_links(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) found inside each block of (bucket, i, j, sig, comp)."""
-    key = ["bucket", "i", "j"]
+    """Links (a, b) found inside each block of (bucket, part, sig)."""
 
     def fn(table: pa.Table) -> pa.Table:
         sigs = table.column("sig").to_pylist()
-        comps = table.column("comp").to_pylist()
         grams = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
-        place = {c: k for k, c in enumerate(sorted(set(comps)))}
-        links = similar(grams, [place[c] for c in comps], num, den) if len(place) > 1 else []
+        links = similar(grams, list(range(len(sigs))), num, den) if len(sigs) > 1 else []
         return pa.table(
             {"a": pa.array([sigs[x] for x, _ in links], pa.int64()),
              "b": pa.array([sigs[y] for _, y in links], pa.int64())}
         )
 
-    return blocks.join(sets, "sig").groupBy(*key).applyInArrow(fn, "a long, b long")
+    return blocks.join(sets, "sig").groupBy("bucket", "part").applyInArrow(fn, "a long, b long")
 
 
 def _sized(rows: DataFrame, limit: int) -> DataFrame:
@@ -263,20 +263,73 @@ def _sized(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def first_round(shared: DataFrame, limit: int = BLOCK_SETS) -> DataFrame:
-    """Blocks around centres: each class with the smallest class it shares a token with."""
-    lowest = shared.groupBy("token").agg(F.min("sig").alias("low"))
-    near = (
+def first_round(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(centre, sig): each class with the smallest class it shares a token with.
+
+    Pairs that share under a third of the prefix are left to the second round.
+    """
+    lowest = shared.groupBy("token").agg(F.min("sig").alias("centre"))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    return (
         shared.join(lowest, "token")
-        .filter(F.col("low") != F.col("sig"))
+        .filter(F.col("centre") != F.col("sig"))
+        .groupBy("sig", "centre")
+        .agg(F.count("*").alias("common"))
+        .join(sizes, "sig")
+        .filter(3 * F.col("common") >= prefix)
         .groupBy("sig")
-        .agg(F.min("low").alias("bucket"))
+        .agg(F.min("centre").alias("centre"))
     )
-    sized = _sized(near, limit)
-    others = sized.select("bucket", "part", "sig")
+
+
+def centre_blocks(pairs: DataFrame, limit: int = BLOCK_SETS) -> DataFrame:
+    """Blocks (bucket, part, sig) of each centre with its partners; the centre is in every part."""
+    sized = _sized(pairs.select(F.col("centre").alias("bucket"), "sig"), limit)
     centres = sized.groupBy("bucket", "part").agg(F.min("bucket").alias("sig"))
-    return others.unionByName(centres).select(
-        "bucket", F.col("part").alias("i"), F.col("part").alias("j"), "sig", F.col("sig").alias("comp")
+    return sized.select("bucket", "part", "sig").unionByName(centres)
+
+
+def least_shared(small: np.ndarray, large: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Prefix shingles that two similar sets of these sizes have in common at least.
+
+    Of the set whose prefix ends first in the order, all common prefix shingles lie in both
+    prefixes; its other ceil(t n) - 1 shingles can add no more than their number to the overlap.
+    """
+    overlap = -(-num * (small + large) // (num + den))
+    return np.maximum(1, overlap - (-(-num * large // den) - 1))
+
+
+def passing(shared: DataFrame, sizes: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (centre, sig) pairs of unconnected classes that share enough prefix shingles."""
+    held = (
+        shared.groupBy("sig")
+        .agg(F.collect_list("token").alias("tokens"))
+        .join(sizes, "sig")
+    )
+
+    def fn(table: pa.Table) -> pa.Table:
+        sigs, n = table.column("sig").to_numpy(), table.column("n").to_numpy()
+        comps = table.column("comp").to_numpy()
+        lists = table.column("tokens").combine_chunks()
+        counts = np.diff(lists.offsets.to_numpy())
+        _, place = np.unique(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], return_inverse=True)
+        row = np.repeat(np.arange(len(sigs)), counts)
+        common = np.zeros((len(sigs), len(sigs)), dtype=np.float32)
+        for at in range(0, int(place.max()) + 1, 4096):
+            inside = (place >= at) & (place < at + 4096)
+            part = np.zeros((len(sigs), 4096), dtype=np.float32)
+            part[row[inside], place[inside] - at] = 1
+            common += part @ part.T
+        small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
+        found = (common >= least_shared(small, large, num, den)) & (den * small >= num * large)
+        x, y = np.nonzero(found & (comps[:, None] != comps[None, :]) & (sigs[:, None] < sigs[None, :]))
+        return pa.table({"centre": pa.array(sigs[x]), "sig": pa.array(sigs[y])})
+
+    return (
+        blocks.join(held, "sig")
+        .groupBy("bucket", "i", "j")
+        .applyInArrow(fn, "centre long, sig long")
+        .distinct()
     )
 
 
@@ -357,10 +410,16 @@ def jaccard_components(
     sketch = gather_sketch(rows)
     rows = rows.filter(F.col("part").isNull()).select("doc_id", "n", "sig")
     shared = materialize(shared_prefixes(prefix_entries(docs, sketch, words, num, den)))
-    sets = materialize(candidate_sets(docs, shared, words))
-    near = materialize(block_links(first_round(shared, block), sets, num, den))
-    far = block_links(second_round(shared, components(near), block), sets, num, den)
-    comps = components(near.unionByName(materialize(far)))
+    sizes = rows.filter("sig is not null").groupBy("sig").agg(F.first("n").alias("n"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        blocks = centre_blocks(materialize(pairs), block)
+        return materialize(block_links(blocks, candidate_sets(docs, blocks, words), num, den))
+
+    near = verified(first_round(shared, sizes, num, den))
+    blocks = second_round(shared, components(near), block)
+    far = verified(passing(shared, sizes, blocks, num, den))
+    comps = components(near.unionByName(far))
     placed = rows.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     lowest = placed.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
     return placed.join(lowest, "comp", "left").select(
