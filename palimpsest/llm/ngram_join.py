@@ -36,8 +36,8 @@ from palimpsest.llm.arrays import frame, gram_hashes, mix, over_texts, slices, w
 from palimpsest.llm.trie import similar
 from palimpsest.session import materialize
 
-SKETCH_CELLS = 1 << 17  # counters of the shingle sketch, whatever the input
-SKETCH_BLOCK = 1 << 12  # counters in one row on their way to the sum
+SKETCH_CELLS = 1 << 20  # counters of the shingle sketch, whatever the input
+SKETCH_BLOCK = 1 << 14  # counters in one row on their way to the sum
 FILTER_WORDS = 1 << 16  # 64-bit words of the candidate bitmap, whatever the input
 BLOCK_SETS = 256  # sets of one side of a block
 
