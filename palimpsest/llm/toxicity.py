@@ -13,8 +13,10 @@ classifier is fitted on a bounded sample of the learning rows (``SAMPLE_ROWS``).
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,10 +143,7 @@ def features(words: list[str]) -> list[int]:
 
 
 def _cell(name: str) -> int:
-    h = 14695981039346656037
-    for b in name.encode("utf-8", "replace"):
-        h = (h ^ b) * 1099511628211 & (1 << 64) - 1
-    return (h ^ h >> 33) % FEATURE_CELLS
+    return zlib.crc32(name.encode("utf-8", "replace")) % FEATURE_CELLS
 
 
 class Reader:
@@ -194,6 +193,18 @@ class Reader:
         return [(pairs[a:b] % FEATURE_CELLS).astype(np.int32) for a, b in zip(marks[:-1], marks[1:], strict=True)]
 
 
+_READERS: dict[bytes, Reader] = {}
+
+
+def reader_of(model: np.ndarray, place: np.ndarray | None) -> Reader:
+    """The worker's reader for a model; it keeps its words from task to task."""
+    key = hashlib.sha256(model.tobytes() + (b"" if place is None else place.tobytes())).digest()
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = Reader(model, place)
+    return _READERS[key]
+
+
 @dataclass
 class Model:
     letters: np.ndarray  # trigram log-probabilities
@@ -264,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     schema = pa.schema([("cell", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
 
     def counted(batches):
-        reader, total = Reader(letters, None), np.zeros((FEATURE_CELLS + 1, 2), dtype=np.int64)
+        reader, total = reader_of(letters, None), np.zeros((FEATURE_CELLS + 1, 2), dtype=np.int64)
         for toxic, raw, off in slices(batches, "toxic"):
             for y, cells in zip(toxic.to_pylist(), reader.documents(raw, off), strict=True):
                 total[cells, y] += 1
@@ -289,7 +300,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     kind = pa.schema([("toxic", pa.int64()), ("cells", pa.list_(pa.int32()))])
 
     def designed(batches):
-        reader = Reader(letters, place)
+        reader = reader_of(letters, place)
         for toxic, raw, off in slices(batches, "toxic"):
             yield frame(kind, toxic=toxic.cast(pa.int64()), cells=reader.documents(raw, off))
 
@@ -310,7 +321,7 @@ def score(docs: DataFrame, model: Model | None, cutoff: float = CUTOFF) -> DataF
     place = model.place() if model else None
 
     def fn(batches):
-        reader = Reader(model.letters, place) if model else None
+        reader = reader_of(model.letters, place) if model else None
         for ids, raw, off in slices(batches):
             if reader:
                 z = [model.bias + model.weights[c].sum() for c in reader.documents(raw, off)]
