@@ -163,19 +163,36 @@ def prefix_entries(docs: DataFrame, sketch: np.ndarray, words: int, num: int, de
 
 
 def shared_prefixes(entries: DataFrame) -> DataFrame:
-    """Distinct (token, sig) of the tokens that more than one class holds."""
+    """Distinct (token, sig, centre) of the tokens that more than one class holds.
+
+    ``centre`` is one of the smallest classes of the token in this task, which holds all its
+    classes, or a share of them if the token is dealt by class.
+    """
 
     def fn(batches):
         # rows arrive by (token, sig); a row is held back until its successor is known
-        rest = np.empty((0, 3), dtype=np.int64)
+        rest, centre = np.empty((0, 3), dtype=np.int64), None
+
+        def led(out: np.ndarray) -> pa.RecordBatch:
+            nonlocal centre
+            turn = np.flatnonzero(np.r_[True, out[1:, 0] != out[:-1, 0]])
+            first = out[turn, 1]
+            if centre and centre[0] == out[0, 0]:  # the token goes on from the rows before
+                first[0] = centre[1]
+            centre = int(out[-1, 0]), int(first[-1])
+            lead = np.repeat(first, np.diff(np.r_[turn, len(out)]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(lead)], ["token", "sig", "centre"]
+            )
+
         for batch in batches:
             own = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             out, rest = _shared(np.concatenate([rest, own]), last=False)
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["token", "sig"])
+                yield led(out)
         out, _ = _shared(rest, last=True)
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["token", "sig"])
+            yield led(out)
 
     deal = F.when(F.col("hot"), F.xxhash64("token", "sig")).otherwise(F.col("token"))
     return (
@@ -183,7 +200,7 @@ def shared_prefixes(entries: DataFrame) -> DataFrame:
         .repartition("deal")
         .sortWithinPartitions("token", "sig")
         .select("token", "sig", "hot")
-        .mapInArrow(fn, "token long, sig long")
+        .mapInArrow(fn, "token long, sig long, centre long")
     )
 
 
@@ -264,15 +281,13 @@ def _sized(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def first_round(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """(centre, sig): each class with the smallest class it shares a token with.
+    """(centre, sig): each class with the smallest centre of its tokens.
 
     Pairs that share under a third of the prefix are left to the second round.
     """
-    lowest = shared.groupBy("token").agg(F.min("sig").alias("centre"))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     return (
-        shared.join(lowest, "token")
-        .filter(F.col("centre") != F.col("sig"))
+        shared.filter(F.col("centre") != F.col("sig"))
         .groupBy("sig", "centre")
         .agg(F.count("*").alias("common"))
         .join(sizes, "sig")
@@ -300,7 +315,11 @@ def least_shared(small: np.ndarray, large: np.ndarray, num: int, den: int) -> np
 
 
 def passing(shared: DataFrame, sizes: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (centre, sig) pairs of unconnected classes that share enough prefix shingles."""
+    """(centre, sig) pairs of unconnected classes that share enough prefix shingles, each once.
+
+    A pair is reported by the list of its smallest common shingle only. That shingle names its
+    list: all shingles with the same classes are common to the pair as well.
+    """
     held = (
         shared.groupBy("sig")
         .agg(F.collect_list("token").alias("tokens"))
@@ -309,33 +328,39 @@ def passing(shared: DataFrame, sizes: DataFrame, blocks: DataFrame, num: int, de
 
     def fn(table: pa.Table) -> pa.Table:
         sigs, n = table.column("sig").to_numpy(), table.column("n").to_numpy()
-        comps = table.column("comp").to_numpy()
+        comps, parts = table.column("comp").to_numpy(), table.column("part").to_numpy()
+        bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
         lists = table.column("tokens").combine_chunks()
         counts = np.diff(lists.offsets.to_numpy())
-        _, place = np.unique(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], return_inverse=True)
+        tokens = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        distinct, place = np.unique(tokens, return_inverse=True)
         row = np.repeat(np.arange(len(sigs)), counts)
         common = np.zeros((len(sigs), len(sigs)), dtype=np.float32)
+        earlier = np.zeros_like(common)  # common shingles below the bucket
+        below = int(np.searchsorted(distinct, bucket))
         for at in range(0, int(place.max()) + 1, 4096):
             inside = (place >= at) & (place < at + 4096)
             part = np.zeros((len(sigs), 4096), dtype=np.float32)
             part[row[inside], place[inside] - at] = 1
             common += part @ part.T
+            if at < below:
+                part[:, below - at :] = 0
+                earlier += part @ part.T
         small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
         found = (common >= least_shared(small, large, num, den)) & (den * small >= num * large)
+        found &= (earlier == 0) & ((i == j) | (parts[:, None] != parts[None, :]))
         x, y = np.nonzero(found & (comps[:, None] != comps[None, :]) & (sigs[:, None] < sigs[None, :]))
         return pa.table({"centre": pa.array(sigs[x]), "sig": pa.array(sigs[y])})
 
-    return (
-        blocks.join(held, "sig")
-        .groupBy("bucket", "i", "j")
-        .applyInArrow(fn, "centre long, sig long")
-        .distinct()
-    )
+    return blocks.join(held, "sig").groupBy("bucket", "i", "j").applyInArrow(fn, "centre long, sig long")
 
 
 def second_round(shared: DataFrame, comps: DataFrame, limit: int = BLOCK_SETS) -> DataFrame:
-    """Blocks of every list of classes that is not connected yet; every two parts of a list meet."""
-    known = shared.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    """Blocks of every list of classes that is not connected yet; every two parts of a list meet.
+
+    A list is named by the smallest token (``bucket``) that has exactly these classes.
+    """
+    known = shared.select("token", "sig").join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     lists = (
         known.groupBy("token")
         .agg(
@@ -359,6 +384,7 @@ def second_round(shared: DataFrame, comps: DataFrame, limit: int = BLOCK_SETS) -
             "bucket",
             F.least("part", "other").alias("i"),
             F.greatest("part", "other").alias("j"),
+            "part",
             "sig",
             "comp",
         )
