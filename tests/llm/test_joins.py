@@ -191,3 +191,24 @@ def test_leaks_of_odd_rows(spark, odd, empty):
     assert D.find_leaks(odd, items.limit(0)).count() == 0
     kept = D.clean_documents(odd, items)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 2
+
+
+def test_candidate_pairs_come_once(spark):
+    """Classes that meet in several lists, and in several blocks of one list."""
+    rnd = np.random.default_rng(3)
+    held = {s: set(rnd.choice(12, 6, replace=False).tolist()) for s in range(1, 10)}
+    rows = [(t, s) for s, tokens in held.items() for t in tokens]
+    shared = spark.createDataFrame(rows, "token long, sig long")
+    sizes = spark.createDataFrame([(s, 20) for s in held], "sig long, n long")
+    comps = spark.createDataFrame([(1, 1), (2, 1)], "sig long, comp long")
+    want = {
+        (a, b)
+        for a in held
+        for b in held
+        if a < b and (a, b) != (1, 2) and len(held[a] & held[b]) >= J.least_shared(20, 20, 75, 100)
+    }
+    assert want
+    for limit in (2, 256):
+        blocks = J.second_round(shared, comps, limit)
+        found = [(r["centre"], r["sig"]) for r in J.passing(shared, sizes, blocks, 75, 100).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
