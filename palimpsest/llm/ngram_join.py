@@ -29,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrays import frame, gram_hashes, mix, over_texts, slices, word_bounds, word_hashes
@@ -40,12 +41,13 @@ SKETCH_CELLS = 1 << 20  # counters of the shingle sketch, whatever the input
 SKETCH_BLOCK = 1 << 14  # counters in one row on their way to the sum
 FILTER_WORDS = 1 << 16  # 64-bit words of the candidate bitmap, whatever the input
 BLOCK_SETS = 256  # sets of one side of a block
+HOT = np.uint64(1)  # bit of a token whose count stands out
 
 _PROFILE = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("part", pa.int64()),
      ("cells", pa.binary())]
 )
-_ENTRY = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("hot", pa.bool_())])
+_ENTRY = pa.schema([("token", pa.int64()), ("sig", pa.int64())])
 _SET = pa.schema([("sig", pa.int64()), ("grams", pa.binary())])
 
 
@@ -93,10 +95,11 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                 cells=[None] * len(sets),
             )
         held = [k for k in range(SKETCH_CELLS // SKETCH_BLOCK) if sketch[_span(k)].any()]
+        packer = zstandard.ZstdCompressor(level=1)
         none = [None] * len(held)
         yield frame(
             _PROFILE, doc_id=none, n=none, sig=none, part=held,
-            cells=[sketch[_span(k)].tobytes() for k in held],
+            cells=[packer.compress(sketch[_span(k)].tobytes()) for k in held],
         )
 
     return over_texts(docs, fn, "doc_id long, n long, sig long, part long, cells binary")
@@ -113,7 +116,7 @@ def gather_sketch(rows: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(cells, dtype=np.uint32).astype(np.uint64)
+                own = np.frombuffer(zstandard.decompress(cells), dtype=np.uint32).astype(np.uint64)
                 total[part] = total[part] + own if part in total else own
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int64()),
@@ -134,13 +137,16 @@ def gather_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def prefix_entries(docs: DataFrame, sketch: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """(token, sig, hot): the rarest shingles of every set; equal sets once per task."""
+    """(token, sig): the rarest shingles of every set; equal sets once per task.
+
+    The lowest bit of a token tells whether its count stands out (``HOT``), the others are its hash.
+    """
     hot_from = int(2 * sketch.mean()) + 1000
 
     def fn(batches):
         seen: set[int] = set()
         for _, sets in document_sets(batches, words):
-            tokens, sigs, hot = [], [], []
+            tokens, sigs = [], []
             for grams in sets:
                 if not len(grams) or (sig := set_hash(grams)) in seen:
                     continue
@@ -148,18 +154,16 @@ def prefix_entries(docs: DataFrame, sketch: np.ndarray, words: int, num: int, de
                 counts = sketch[_cells(grams)]
                 need = -(-num * len(grams) // den)
                 order = np.lexsort((grams, counts))[: len(grams) - need + 1]
-                tokens.append(grams[order])
+                tokens.append(grams[order] & ~HOT | (counts[order] > hot_from).astype(np.uint64))
                 sigs.append(np.full(len(order), sig, dtype=np.int64))
-                hot.append(counts[order] > hot_from)
             if tokens:
                 yield frame(
                     _ENTRY,
                     token=np.concatenate(tokens).view(np.int64),
                     sig=np.concatenate(sigs),
-                    hot=np.concatenate(hot),
                 )
 
-    return over_texts(docs, fn, "token long, sig long, hot boolean")
+    return over_texts(docs, fn, "token long, sig long")
 
 
 def shared_prefixes(entries: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def shared_prefixes(entries: DataFrame) -> DataFrame:
 
     def fn(batches):
         # rows arrive by (token, sig); a row is held back until its successor is known
-        rest, centre = np.empty((0, 3), dtype=np.int64), None
+        rest, centre = np.empty((0, 2), dtype=np.int64), None
 
         def led(out: np.ndarray) -> pa.RecordBatch:
             nonlocal centre
@@ -186,7 +190,7 @@ def shared_prefixes(entries: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            own = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            own = np.column_stack([c.to_numpy() for c in batch.columns])
             out, rest = _shared(np.concatenate([rest, own]), last=False)
             if len(out):
                 yield led(out)
@@ -194,12 +198,10 @@ def shared_prefixes(entries: DataFrame) -> DataFrame:
         if len(out):
             yield led(out)
 
-    deal = F.when(F.col("hot"), F.xxhash64("token", "sig")).otherwise(F.col("token"))
+    hot = F.col("token").bitwiseAND(F.lit(int(HOT))) == 1
     return (
-        entries.withColumn("deal", deal)
-        .repartition("deal")
+        entries.repartition(F.when(hot, F.xxhash64("token", "sig")).otherwise(F.col("token")))
         .sortWithinPartitions("token", "sig")
-        .select("token", "sig", "hot")
         .mapInArrow(fn, "token long, sig long, centre long")
     )
 
@@ -213,11 +215,11 @@ def _shared(rows: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
     if not len(rows):
         return rows, rows
     fresh = np.ones(len(rows), dtype=bool)
-    fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
     rows = rows[fresh]
     turn = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
     sizes = np.diff(np.r_[turn, len(rows)])
-    held = (np.repeat(sizes, sizes) > 1) | (rows[:, 2] == 1)
+    held = (np.repeat(sizes, sizes) > 1) | (rows[:, 0] & 1 == 1)
     if last:
         return rows[held], rows[:0]
     tail = rows[turn[-1] :]
@@ -275,9 +277,12 @@ def block_links(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 def _sized(rows: DataFrame, limit: int) -> DataFrame:
     """Add ``parts``, the blocks of each bucket, and ``part``, the block of each row."""
     counts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("parts"))
-    return rows.join(counts, "bucket").withColumn(
-        "part", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int")
-    )
+    return rows.join(counts, "bucket").withColumn("part", _part())
+
+
+def _part() -> Column:
+    """The block of a class among the ``parts`` of its bucket."""
+    return F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int")
 
 
 def first_round(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
@@ -360,9 +365,12 @@ def second_round(shared: DataFrame, comps: DataFrame, limit: int = BLOCK_SETS) -
 
     A list is named by the smallest token (``bucket``) that has exactly these classes.
     """
-    known = shared.select("token", "sig").join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    held = shared.select("token", "sig")
+    comp = F.coalesce("comp", "sig").alias("comp")
     lists = (
-        known.groupBy("token")
+        held.join(comps, "sig", "left")
+        .select("token", "sig", comp)
+        .groupBy("token")
         .agg(
             F.min("comp").alias("lo"),
             F.max("comp").alias("hi"),
@@ -373,13 +381,16 @@ def second_round(shared: DataFrame, comps: DataFrame, limit: int = BLOCK_SETS) -
         .filter(F.col("lo") < F.col("hi"))
         .groupBy("n", "x", "y")
         .agg(F.min("token").alias("token"))
-        .select("token")
+        .select("token", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("parts"))
+    )
+    rows = (
+        held.join(lists, "token")
+        .join(comps, "sig", "left")
+        .select(F.col("token").alias("bucket"), "sig", comp, "parts", _part().alias("part"))
     )
-    rows = known.join(lists, "token").select(F.col("token").alias("bucket"), "sig", "comp")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     return (
-        _sized(rows, limit)
-        .select("bucket", "sig", "comp", "part", other)
+        rows.select("bucket", "sig", "comp", "part", other)
         .select(
             "bucket",
             F.least("part", "other").alias("i"),
