@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import WS, clean_text, guess_lang, strip, word_count
+from palimpsest.operators.scale import folded_patches
 from palimpsest.operators.voice import verify
 
 MAX_CLIP_CANDIDATES = 200
@@ -51,8 +52,9 @@ def create_captures(captures: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.withColumn("status", F.lit("pending"))
 
 
-def update_captures(captures: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patch fields override where they are not NULL."""
+def update_captures(captures: DataFrame, patches: DataFrame, order: str | None = None) -> DataFrame:
+    """Patch fields override where they are not NULL; later patches of a uid win over earlier ones."""
+    patches = folded_patches(patches, order=order)
     fields = [c for c in patches.columns if c != "uid"]
     side = patches.select("uid", *[F.col(c).alias(f"_{c}") for c in fields])
     return captures.join(side, "uid", "left").select(

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions.identity import hash_long
 from palimpsest.functions.memory_rules import candidate, reply_items, rule_memory
 from palimpsest.functions.text import comparison_tokens, jaccard, strip, word_count
+from palimpsest.operators.scale import folded_patches
 from palimpsest.operators.search import keyword_search
 
 SIMILAR = 0.7
 COMPARED_HITS = 5
-EXPORT_LIMIT = 100_000
 
 
 def list_memories(
@@ -36,7 +36,8 @@ def list_memories(
 
 
 def memory_export(memories: DataFrame) -> DataFrame:
-    return list_memories(memories, limit=EXPORT_LIMIT, include_archived=True)
+    """Every memory, archived ones too, each once."""
+    return list_memories(memories, limit=None, include_archived=True)
 
 
 def write_memory_export(memories: DataFrame, path: str) -> None:
@@ -44,10 +45,15 @@ def write_memory_export(memories: DataFrame, path: str) -> None:
 
 
 def create_memories(memories: DataFrame, new: DataFrame, now) -> DataFrame:
-    """Add memories whose uid is unknown; texts are trimmed, both stamps are ``now``."""
+    """Add memories whose uid is unknown; texts are trimmed, both stamps are ``now``.
+
+    Of several rows with one uid the first in row order counts.
+    """
     at = F.lit(now).cast("timestamp")
-    first = new.groupBy("uid").agg(
-        F.min_by(F.struct(*[c for c in new.columns if c != "uid"]), strip(F.col("text"))).alias("_m")
+    first = (
+        new.withColumn("_order", F.monotonically_increasing_id())
+        .groupBy("uid")
+        .agg(F.min_by(F.struct(*[c for c in new.columns if c != "uid"]), "_order").alias("_m"))
     )
     fresh = (
         first.join(memories.select("uid"), "uid", "left_anti")
@@ -60,8 +66,12 @@ def create_memories(memories: DataFrame, new: DataFrame, now) -> DataFrame:
     return memories.unionByName(fresh, allowMissingColumns=True)
 
 
-def update_memories(memories: DataFrame, patches: DataFrame, now) -> DataFrame:
-    """Non-NULL patch fields override; ``updated_at`` moves for every patched uid."""
+def update_memories(memories: DataFrame, patches: DataFrame, now, order: str | None = None) -> DataFrame:
+    """Non-NULL patch fields override; ``updated_at`` moves for every patched uid.
+
+    Several patches of one uid apply one after the other (see ``folded_patches``).
+    """
+    patches = folded_patches(patches, order=order)
     fields = [c for c in patches.columns if c != "uid"]
     side = patches.select(
         "uid", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fields]

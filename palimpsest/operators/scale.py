@@ -170,3 +170,17 @@ def top_per_group(
 
 def _hashable(df: DataFrame) -> list[Column]:
     return [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() != "map"]
+
+
+def folded_patches(patches: DataFrame, key: str = "uid", order: str | None = None) -> DataFrame:
+    """One row per key with the last non-NULL value of each field.
+
+    ``order`` names the column that tells which patch is later; without it the order of rows does.
+    """
+    fields = [c for c in patches.columns if c not in (key, order)]
+    at = F.monotonically_increasing_id() if order is None else F.col(order)
+    return (
+        patches.withColumn("_order", at)
+        .groupBy(key)
+        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in fields])
+    )

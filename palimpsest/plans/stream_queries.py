@@ -12,7 +12,8 @@ from palimpsest.functions.vectors import hash_embedder
 from palimpsest.plans import sql as q
 from palimpsest.plans.adapters import SALT, captures, chat_messages, frames, turn_conversations, vectors
 from palimpsest.plans.evaluation_queries import RULES
-from palimpsest.plans.registry import query
+from palimpsest.plans.registry import ORACLES, query
+from palimpsest.plans.training_queries import _TURN_SQL
 from palimpsest.session import checkpoint_dir
 from palimpsest.streaming import captures as cs
 from palimpsest.streaming import state as st
@@ -46,7 +47,7 @@ def stream_capture_dedup(spark, sf):
     """Captures that arrive twice come out once."""
     home = work_dir(spark, "dedup")
     stream = as_stream(spark, _arrived(spark, sf), f"{home}/in")
-    cs.write_available(cs.dedup_captures(stream, "60 days"), f"{home}/out", f"{home}/ckpt")
+    cs.write_available(cs.dedup_captures(stream), f"{home}/out", f"{home}/ckpt")
     return spark.read.parquet(f"{home}/out").select("uid", to_iso(F.col("client_ts")).alias("at"))
 
 
@@ -63,7 +64,7 @@ def stream_capture_corpus(spark, sf):
     stream = as_stream(spark, _arrived(spark, sf), f"{home}/in")
     tables = cs.CaptureTables(f"{home}/tables")
     cs.run_available(
-        cs.dedup_captures(stream, "60 days"), cs.capture_writer(tables, SALT, embedder=hash_embedder(16)), f"{home}/ckpt"
+        cs.dedup_captures(stream), cs.capture_writer(tables, SALT, embedder=hash_embedder(16)), f"{home}/ckpt"
     )
     seen = spark.read.parquet(f"{home}/tables/captures")
     texts = seen.filter("kind = 'text'").select(F.col("uid").alias("source_ref"))
@@ -140,12 +141,20 @@ def stream_noise_floor(spark, sf):
     )
 
 
-@query("stream_segments")
+@query(
+    "stream_segments",
+    f"SELECT CAST(device AS VARCHAR) AS device, first_frame, last_frame, n_frames FROM ({ORACLES['speech_segments']})",
+)
 def stream_segments(spark, sf):
-    """Closed segments; those still open at the end of the stream are not out yet."""
+    """Segments of the whole stream; a closing row per device lets out what is still open."""
     st.use_rocksdb(spark)
     home = work_dir(spark, "segments")
     rows = _device_frames(spark, sf).select("device", "frame_no", "ts", "prob")
+    rows = rows.unionByName(
+        rows.groupBy("device").agg(
+            (F.max("frame_no") + 1).alias("frame_no"), F.max("ts").alias("ts"), F.lit(None).cast("double").alias("prob")
+        )
+    )
     rows.write.parquet(f"{home}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
     cs.write_available(st.stream_segments(stream, RULES), f"{home}/out", f"{home}/ckpt")
@@ -164,14 +173,18 @@ def stream_gate(spark, sf):
     return spark.read.parquet(f"{home}/out")
 
 
-@query("stream_turns")
+@query("stream_turns", _TURN_SQL + "SELECT conversation_id, turn_no, role, md5(text) AS text_md5, n_messages FROM turn")
 def stream_turns(spark, sf):
-    """Closed turns of the live twin of turn building."""
+    """The live twin of turn building; a closing row per conversation lets out its last turn."""
     st.use_rocksdb(spark)
     home = work_dir(spark, "turns")
     rows = chat_messages(spark, sf).join(
         turn_conversations(spark, sf).select("conversation_id", "is_group"), "conversation_id"
     ).select("conversation_id", "id", "ts", "is_me", "is_group", "sender_name", "text")
+    ends = rows.groupBy("conversation_id").agg(
+        (F.max("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), F.max("id").alias("id")
+    )
+    rows = rows.unionByName(ends, allowMissingColumns=True)
     rows.write.parquet(f"{home}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
     cs.write_available(st.stream_turns(stream), f"{home}/out", f"{home}/ckpt")

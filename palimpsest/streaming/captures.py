@@ -22,12 +22,12 @@ from palimpsest.session import materialize
 CAPTURE_SOURCE = SourceRef("capture", "Captures", "captures")
 
 
-def dedup_captures(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Drop captures whose uid was seen within ``delay``; nothing is dropped as late.
+def dedup_captures(stream: DataFrame) -> DataFrame:
+    """The first arrival of each uid, however late it comes or is repeated.
 
-    Older repeats are caught by the table when the batch is written.
+    There is no watermark: one uid per capture stays in the state store, dealt by uid.
     """
-    return stream.withWatermark("client_ts", delay).dropDuplicatesWithinWatermark(["uid"])
+    return stream.dropDuplicates(["uid"])
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,9 @@ class CaptureTables:
     def read(self, spark: SparkSession, table: str, schema, before: int | None = None) -> DataFrame:
         try:
             rows = spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             if isinstance(schema, str):
                 schema = T.StructType.fromDDL(schema)
             return spark.createDataFrame([], schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,6 @@ class _Keyed(StatefulProcessor):
     def load(self) -> tuple | None:
         return tuple(self.value.get()) if self.value.exists() else None
 
-    def wake_at(self, ms: int) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(ms)
-
     def close(self) -> None:
         pass
 
@@ -113,150 +109,154 @@ def speech_probability(frames: DataFrame, **rules) -> DataFrame:
 
 
 class Segments(_Keyed):
-    """Open, confirm, close and split utterances frame by frame.
+    """Utterances as runs of speech frames, cut into pieces of bounded length.
 
-    ``held`` is the number of frames in the pre-roll ring; a segment is known by its first frame
-    and length only.
+    State: first frame and last speech frame of the open utterance, its unfinished piece with the
+    speech frames in it, and the last frame seen. The rules are those of ``segment_frames``. A row
+    without ``prob`` ends the device's stream and closes the utterance; frames at or before the
+    last one seen are repeats and change nothing.
     """
 
-    schema = "held bigint, open boolean, first bigint, start timestamp, len bigint, speech bigint, quiet bigint"
+    schema = "start bigint, last bigint, piece bigint, speech bigint, seen bigint"
+    empty = (None, None, None, 0, -1)
 
     def __init__(self, rules: SegmentRules = SegmentRules()):
         self.rules = rules
-        self.limits = (rules.min_speech, rules.silence, rules.longest, rules.pad)
-
-    def _close(self, s: dict, trim: bool) -> list[tuple]:
-        min_speech, _, _, pad = self.limits
-        n = s["len"]
-        if trim and s["quiet"] > pad:
-            n = max(0, n - (s["quiet"] - pad))
-        ok = n > 0 and s["speech"] >= min_speech
-        out = [(s["first"], s["start"], n, s["speech"])] if ok else []
-        s.update(open=False, first=None, start=None, len=0, speech=0)
-        return out
-
-    def _feed(self, s: dict, frame: int, at: pd.Timestamp, prob: float) -> list[tuple]:
-        _, silence, longest, pad = self.limits
-        step = pd.Timedelta(seconds=self.rules.frame_s)
-        loud = prob > self.rules.threshold
-        s["held"] = min(s["held"] + 1, pad + 1)
-        if not s["open"]:
-            if not loud:
-                return []
-            n = s["held"]
-            s.update(open=True, first=frame - n + 1, start=at - (n - 1) * step, len=n, speech=1, quiet=0)
-        else:
-            s["len"] += 1
-            s["speech"] += int(loud)
-            s["quiet"] = 0 if loud else s["quiet"] + 1
-            if not loud and s["quiet"] >= silence:
-                return self._close(s, trim=True)
-        if s["len"] < longest:
-            return []
-        out = self._close(s, trim=False)
-        s.update(open=True, first=frame + 1, start=at + step)
-        return out
-
-    def _emit(self, device: str, found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=["first_frame", "started_at", "n_frames", "speech_frames"])
-        out.insert(0, "device", device)
-        out["last_frame"] = out["first_frame"] + out["n_frames"] - 1
-        out["duration_s"] = out["n_frames"] * self.rules.frame_s
-        return out
 
-    def _state(self) -> dict:
-        names = ("held", "open", "first", "start", "len", "speech", "quiet")
-        return dict(zip(names, self.load() or (0, False, None, None, 0, 0, 0)))
-
-    def _save(self, s: dict) -> None:
-        start = s["start"]
-        plain = None if start is None else pd.Timestamp(start).to_pydatetime()
-        self.value.update((s["held"], s["open"], s["first"], plain, s["len"], s["speech"], s["quiet"]))
+    def _settle(self, start, last, counts, seen, closed) -> tuple[list[tuple], tuple]:
+        """Pieces (first frame, frames, speech frames) that are final, and the unfinished one."""
+        rules = self.rules
+        quiet_end = last + rules.silence
+        stop = min(seen, quiet_end)
+        final, rest = [], (None, 0)
+        for piece, speech in sorted(counts.items()):
+            first = start + piece * rules.longest
+            end = first + rules.longest - 1
+            if end > stop or end == stop == quiet_end:
+                if not closed:
+                    rest = (piece, speech)
+                    continue
+                end = min(stop, last + rules.pad)
+            if speech >= rules.min_speech and end >= first:
+                final.append((first, end - first + 1, speech))
+        return final, rest
+
+    def advance(self, state: tuple, numbers: np.ndarray, probs: np.ndarray) -> tuple[tuple, list[tuple]]:
+        """The state after these frames, in frame order, and the pieces that became final."""
+        start, last, piece, speech, seen = state
+        new = numbers > seen
+        numbers, probs = numbers[new], probs[new]
+        if not len(numbers):
+            return state, []
+        ended = bool(np.isnan(probs[-1]))
+        seen = int(numbers[-1])
+        loud = numbers[probs > self.rules.threshold]
+        if start is not None:
+            loud = np.r_[last, loud]
+        if not len(loud):
+            return (None, None, None, 0, seen), []
+        found: list[tuple] = []
+        runs = np.split(loud, np.flatnonzero(np.diff(loud) > self.rules.silence) + 1)
+        reach = seen - 1 if ended else seen  # the closing row is no frame
+        for k, run in enumerate(runs):
+            if k == 0 and start is not None:
+                counts, run = ({piece: speech} if speech else {}), run[1:]
+            else:
+                start, counts = max(0, int(run[0]) - self.rules.pad), {}
+            for own, n in zip(*np.unique((run - start) // self.rules.longest, return_counts=True)):
+                counts[int(own)] = counts.get(int(own), 0) + int(n)
+            last = int(run[-1]) if len(run) else last
+            closed = ended or k + 1 < len(runs) or reach >= last + self.rules.silence
+            final, (piece, speech) = self._settle(start, last, counts, reach, closed)
+            found += final
+        return ((None, None, None, 0, seen) if closed else (start, last, piece, speech, seen)), found
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = _ordered(rows, "frame_no")
         if not len(frames):
             return
-        s, found = self._state(), []
-        for frame, at, prob in zip(frames["frame_no"], frames["ts"], frames["prob"]):
-            found += self._feed(s, int(frame), at, float(prob))
-        self._save(s)
-        if s["open"]:
-            quiet_ms = int(1000 * self.rules.silence_end_s)
-            self.wake_at(int(frames["ts"].iloc[-1].timestamp() * 1000) + quiet_ms)
-        if found:
-            yield self._emit(key[0], found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = self._state()
-        found = self._close(s, trim=True) if s["open"] else []
-        self._save(s)
+        numbers = frames["frame_no"].to_numpy(np.int64)
+        state, found = self.advance(self.load() or self.empty, numbers, frames["prob"].to_numpy(float))
+        self.value.update(state)
         if found:
-            yield self._emit(key[0], found)
+            out = pd.DataFrame(found, columns=["first_frame", "n_frames", "speech_frames"])
+            back = (numbers[-1] - out["first_frame"]) * self.rules.frame_s
+            out["started_at"] = frames["ts"].iloc[-1] - pd.to_timedelta(back, unit="s")
+            out["last_frame"] = out["first_frame"] + out["n_frames"] - 1
+            out["duration_s"] = out["n_frames"] * self.rules.frame_s
+            out["device"] = key[0]
+            yield out[["device", "first_frame", "started_at", "n_frames", "speech_frames", "last_frame", "duration_s"]]
 
 
-def stream_segments(
-    frames: DataFrame, rules: SegmentRules = SegmentRules(), delay: str = "1 minute"
-) -> DataFrame:
+def stream_segments(frames: DataFrame, rules: SegmentRules = SegmentRules()) -> DataFrame:
     """Confirmed speech segments of a stream of (device, frame_no, ts, prob).
 
-    A segment left open is closed once the watermark passes its silence limit.
+    Frames of a device arrive in frame order, repeats aside; none is dropped for its time. A row
+    with the next frame number and no ``prob`` ends a device's stream.
     """
     schema = (
         "device string, first_frame bigint, started_at timestamp, n_frames bigint, "
         "speech_frames bigint, last_frame bigint, duration_s double"
     )
-    return (
-        frames.withWatermark("ts", delay)
-        .groupBy("device")
-        .transformWithStateInPandas(Segments(rules), schema, "append", "eventtime")
-    )
+    return frames.groupBy("device").transformWithStateInPandas(Segments(rules), schema, "append", "none")
 
 
 # --- loudness gate ----------------------------------------------------------------------
 
 
 class Gate(_Keyed):
-    """Fixed-threshold gate with hangover, pre-roll and a length cap (times in ms)."""
+    """Spans of loud frames with hangover, pre-roll and a length cap (times in ms).
 
-    schema = "since bigint, open boolean, begun bigint, voiced bigint, preroll bigint"
+    A span runs from a loud frame to the first frame more than ``hangover_ms`` after its last loud
+    one, or to the first at ``max_ms``; if that one is loud, the next span begins there without
+    pre-roll. A row without level closes the span. State: end of the previous span (or first
+    frame), begin, last loud frame and pre-roll of the open span.
+    """
+
+    schema = "since bigint, begun bigint, voiced bigint, preroll bigint"
 
     def __init__(self, threshold_db, hangover_ms=300, preroll_ms=250, max_ms=30_000, min_ms=500):
         self.threshold = threshold_db
         self.hangover, self.preroll = hangover_ms, preroll_ms
-        self.max, self.min = max_ms, min_ms
-
-    def _finish(self, s: dict, now: int) -> list[tuple]:
-        s["open"], s["since"] = False, now
-        if now - s["begun"] - self.hangover < self.min:
-            return []
-        return [(s["begun"] - s["preroll"], now)]
-
-    def _begin(self, s: dict, now: int, with_preroll: bool) -> None:
-        kept = min(self.preroll, now - s["since"]) if with_preroll else 0
-        s.update(open=True, begun=now, voiced=now, preroll=kept)
+        self.max, self.min = max(1, max_ms), min_ms
+
+    def advance(self, state: tuple | None, at: np.ndarray, level: np.ndarray) -> tuple[tuple, list[tuple]]:
+        since, begun, voiced, preroll = state or (int(at[0]), None, None, 0)
+        loud = level >= self.threshold
+        far = np.iinfo(np.int64).min // 2
+        heard = np.maximum.accumulate(np.where(loud, at, far))
+        heard = np.maximum(heard, far if voiced is None else voiced)
+        onsets = np.flatnonzero(loud)
+        quiet = np.flatnonzero(~loud & ((at - heard > self.hangover) | np.isnan(level)))
+        found, i = [], 0
+        while i < len(at):
+            if begun is None:
+                k = int(np.searchsorted(onsets, i))
+                if k == len(onsets):
+                    break
+                i = int(onsets[k])
+                begun, preroll = int(at[i]), min(self.preroll, int(at[i]) - since)
+            k = int(np.searchsorted(quiet, i))
+            fades = int(quiet[k]) if k < len(quiet) else len(at)
+            fills = max(i, int(np.searchsorted(at, begun + self.max)))
+            i = min(fades, fills)
+            if i == len(at):
+                break
+            since = int(at[i])
+            if since - begun - self.hangover >= self.min:
+                found.append((begun - preroll, since))
+            begun, preroll = (since, 0) if fills < fades and loud[i] else (None, 0)
+            i += begun is None
+        last = int(heard[-1])
+        return (since, begun, last if last > far else None, preroll), found
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = _ordered(rows, "ts")
         if not len(frames):
             return
-        at = [int(t.value // 1_000_000) for t in frames["ts"]]
-        names = ("since", "open", "begun", "voiced", "preroll")
-        s = dict(zip(names, self.load() or (at[0], False, 0, 0, 0)))
-        found = []
-        for now, db in zip(at, frames["level_db"]):
-            loud = db >= self.threshold
-            if loud:
-                s["voiced"] = now
-                if not s["open"]:
-                    self._begin(s, now, True)
-            elif s["open"] and now - s["voiced"] > self.hangover:
-                found += self._finish(s, now)
-            if s["open"] and now - s["begun"] >= self.max:
-                found += self._finish(s, now)
-                if loud:
-                    self._begin(s, now, False)
-        self.value.update(tuple(s[n] for n in names))
+        at = np.array([int(t.value // 1_000_000) for t in frames["ts"]], dtype=np.int64)
+        state, found = self.advance(self.load(), at, frames["level_db"].to_numpy(float))
+        self.value.update(state)
         if found:
             out = pd.DataFrame(found, columns=["from_ms", "to_ms"])
             out.insert(0, "device", key[0])
@@ -277,14 +277,14 @@ def stream_gate(levels: DataFrame, threshold_db: float, **rules) -> DataFrame:
 class LiveTurns(_Keyed):
     """The streaming twin of burst-to-turn merging, keyed by conversation.
 
-    An open turn is emitted when the other side writes, when the gap is exceeded, or when the
-    watermark passes its gap.
+    An open turn is emitted when the other side writes, when the gap is exceeded, or when a row
+    without ``is_me`` ends the conversation. Messages count in order of arrival between
+    micro-batches and of (ts, id) within one; none is dropped as late.
     """
 
     schema = "no bigint, role string, text string, ts timestamp, names array<string>, n bigint"
 
     def __init__(self, gap_s: int = BURST_GAP_S):
-        self.gap_s = gap_s
         self.gap = pd.Timedelta(seconds=gap_s)
 
     def _emit(self, key, turns: list[tuple]) -> pd.DataFrame:
@@ -300,8 +300,15 @@ class LiveTurns(_Keyed):
         messages = _ordered(rows, "ts", "id")
         done: list[tuple] = []
         turn = self.load()
+        lines: list[str] = []  # of the open turn, since the last micro-batch
         for m in messages.itertuples():
-            line = m.text.strip()
+            if m.is_me is None:
+                if turn and turn[5] > 0:
+                    done.append(self._joined(turn, lines))
+                    # An empty remainder keeps the numbering.
+                    turn, lines = (turn[0], "", "", turn[3], [], 0), []
+                continue
+            line = (m.text or "").strip()
             if not line:
                 continue
             role = "assistant" if m.is_me else "user"
@@ -312,28 +319,28 @@ class LiveTurns(_Keyed):
             if turn and turn[1] == role and m.ts - pd.Timestamp(turn[3]) <= self.gap:
                 known = list(turn[4])
                 merged = known + [x for x in names if x not in known]
-                turn = (turn[0], role, f"{turn[2]}\n{line}", m.ts, merged, turn[5] + 1)
+                turn = (turn[0], role, turn[2], m.ts, merged, turn[5] + 1)
+                lines.append(line)
                 continue
             if turn and turn[5] > 0:
-                done.append(turn)
-            turn = ((turn[0] if turn else 0) + 1, role, line, m.ts, names, 1)
+                done.append(self._joined(turn, lines))
+            turn, lines = ((turn[0] if turn else 0) + 1, role, "", m.ts, names, 1), [line]
         if turn:
-            self._save(turn)
-            if turn[5] > 0:
-                self.wake_at(int(pd.Timestamp(turn[3]).timestamp() * 1000) + 1000 * self.gap_s + 1)
+            self._save(self._joined(turn, lines))
         if done:
             yield self._emit(key, done)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        turn = self.load()
-        if turn and turn[5] > 0:
-            # Emitted; an empty remainder keeps the numbering.
-            self._save((turn[0], "", "", turn[3], [], 0))
-            yield self._emit(key, [turn])
+    @staticmethod
+    def _joined(turn: tuple, lines: list[str]) -> tuple:
+        no, role, text, *rest = turn
+        return (no, role, "\n".join([text, *lines] if text else lines), *rest)
 
 
-def stream_turns(messages: DataFrame, gap_s: int = BURST_GAP_S, delay: str = "1 hour") -> DataFrame:
-    """Turns of a message stream (conversation_id, id, ts, is_me, is_group, sender_name, text)."""
+def stream_turns(messages: DataFrame, gap_s: int = BURST_GAP_S) -> DataFrame:
+    """Turns of a message stream (conversation_id, id, ts, is_me, is_group, sender_name, text).
+
+    A row without ``is_me`` ends a conversation and lets its open turn out.
+    """
     schema = T.StructType(
         [
             T.StructField("conversation_id", messages.schema["conversation_id"].dataType),
@@ -346,16 +353,6 @@ def stream_turns(messages: DataFrame, gap_s: int = BURST_GAP_S, delay: str = "1
         ]
     )
     return (
-        messages.withWatermark("ts", delay)
-        .groupBy("conversation_id")
-        .transformWithStateInPandas(LiveTurns(gap_s), schema, "append", "eventtime")
-    )
-
-
-def one_sided_bursts(messages: DataFrame, gap: str = "20 minutes", delay: str = "1 hour") -> DataFrame:
-    """Bursts of sources in which only one side writes: plain session windows."""
-    return (
-        messages.withWatermark("ts", delay)
-        .groupBy("conversation_id", F.session_window("ts", gap))
-        .agg(F.count("*").alias("n_messages"), F.max("ts").alias("ts"))
+        messages.groupBy("conversation_id")
+        .transformWithStateInPandas(LiveTurns(gap_s), schema, "append", "none")
     )

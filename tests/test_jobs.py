@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import evaluation, examples, ingest, search, snapshot
+from palimpsest.operators import captures, evaluation, examples, ingest, memories, search, snapshot
 from palimpsest.operators.captures import assemble_reference
 from palimpsest.operators.segments import SegmentRules, segment_frames
 from palimpsest.operators.turns import build_turns, with_context
 from palimpsest.schema import CANONICAL
-from palimpsest.streaming.state import Segments
+from palimpsest.streaming.captures import dedup_captures, write_available
+from palimpsest.streaming.state import Gate, Segments
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -125,18 +126,20 @@ def test_segments_equal_the_state_machine(spark):
             rows.append((device, i, 0.9 if speaking else 0.1))
     frames = spark.createDataFrame(rows, "device string, frame_no long, prob double")
     got = sorted(tuple(r) for r in segment_frames(frames, rules).select("device", "first_frame", "n_frames", "speech_frames").collect())
-    import pandas as pd
-
     want, machine = [], Segments(rules)
     for device in ("a", "b", "c"):
-        s = dict(held=0, open=False, first=None, start=None, len=0, speech=0, quiet=0)
-        found = []
-        for d, i, p in rows:
-            if d == device:
-                found += machine._feed(s, i, pd.Timestamp(0), p)
-        if s["open"]:
-            found += machine._close(s, trim=True)
-        want += [(device, first, n, speech) for first, _, n, speech in found]
+        own = [(i, p) for d, i, p in rows if d == device]
+        own.append((len(own), float("nan")))  # end of the stream
+        for size in (1, 7, len(own)):
+            state, found = machine.empty, []
+            for k in range(0, len(own), size):
+                part = own[max(0, k - 3) : k + size]  # the last frames come twice
+                state, more = machine.advance(
+                    state, np.array([i for i, _ in part]), np.array([p for _, p in part], dtype=float)
+                )
+                found += more
+            assert sorted(found) == sorted((f, n, sp) for d, f, n, sp in got if d == device)
+        want += [(device, *f) for f in found]
     assert got == sorted(want) and len(want) > 20
 
 
@@ -184,3 +187,48 @@ def test_discriminator_tells_fakes(spark):
     assert evaluation.discriminator_result(folds).first()["value"] >= 0.9
     with pytest.raises(ValueError):
         evaluation.discriminate(evaluation.labelled_union(make(real), make(fake[:2])))
+
+
+def test_gate_spans_do_not_depend_on_micro_batches():
+    rng = np.random.default_rng(3)
+    gate = Gate(-50.0, hangover_ms=100, preroll_ms=64, max_ms=1000, min_ms=30)
+    at = np.cumsum(rng.integers(20, 45, 600)).astype(np.int64)
+    level = np.where(np.repeat(rng.random(60) < 0.5, 10), -30.0, -70.0)
+    level[rng.integers(0, 600, 40)] = -30.0
+    level[-1] = np.nan  # end of the stream
+    want = []
+    for size in (600, 1, 13):
+        state, found = None, []
+        for k in range(0, 600, size):
+            state, more = gate.advance(state, at[k : k + size], level[k : k + size])
+            found += more
+        want = want or found
+        assert found == want and len(found) > 10 and state[1] is None
+    assert all(b - a <= 1000 + 64 + 45 for a, b in want)
+
+
+def test_late_and_repeated_captures_come_out_once(spark, tmp_path):
+    rows = [("a", minutes(0)), ("b", minutes(5)), ("a", minutes(0)), ("old", T0 - dt.timedelta(days=90)), ("b", minutes(5))]
+    for k, row in enumerate(rows):  # one micro-batch each
+        spark.createDataFrame([row], "uid string, client_ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("uid string, client_ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    write_available(dedup_captures(stream), f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    assert sorted(r["uid"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "old"]
+
+
+def test_two_patches_of_one_uid_fold_into_one_row(spark):
+    rows = spark.createDataFrame([("a", "x", "p"), ("b", "y", "q")], "uid string, text string, status string")
+    patches = spark.createDataFrame(
+        [("a", "late", None, 2), ("a", "early", "done", 1), ("c", "none", None, 1)], "uid string, text string, status string, no int"
+    )
+    got = sorted(map(tuple, captures.update_captures(rows, patches, order="no").collect()))
+    assert got == [("a", "late", "done"), ("b", "y", "q")]
+    plain = memories.update_memories(rows.withColumn("updated_at", F.lit(None).cast("timestamp")), patches.drop("no"), "2025-01-01")
+    assert sorted((r["uid"], r["status"], r["updated_at"] is None) for r in plain.collect()) == [("a", "done", False), ("b", "q", True)]
+
+
+def test_the_first_of_repeated_new_memories_is_kept(spark):
+    empty = spark.createDataFrame([], "uid string, text string")
+    new = spark.createDataFrame([("a", " second letter "), ("a", "another"), ("b", "only")], "uid string, text string").coalesce(1)
+    made = memories.create_memories(empty, new, "2025-01-01")
+    assert sorted((r["uid"], r["text"]) for r in made.collect()) == [("a", "second letter"), ("b", "only")]

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.sources.mail import split_mailbox
 from palimpsest.sources import SINKS, SOURCES, read_source, register_sink, register_source, run_import
 from palimpsest.sources.chat_export import estimate_chat_export
 from palimpsest.sources.mail import estimate_mbox, read_mbox
@@ -182,3 +183,13 @@ def test_batches_and_plugins(spark, tmp_path):
 
     assert tuple(run_import(spark, "tests_source", "/p", "tests_sink").first()) == ("tests_source", 1)
     SOURCES.pop("tests_source"), SINKS.pop("tests_sink")
+
+
+def test_mailbox_keeps_bytes_of_any_charset(spark, tmp_path):
+    head = b"From me@x.org Mon Jan  1 10:00:00 2024\nFrom: Me <me@x.org>\nTo: you@x.org\nSubject: s\nMessage-ID: <%d@x>\nDate: Mon, 1 Jan 2024 10:00:0%d +0000\n"
+    latin = head % (1, 1) + b"Content-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: 8bit\n\nGr\xfc\xdfe\xa0an alle hier\n\n"
+    plain = head % (2, 2) + b"Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n" + "Grüße noch einmal".encode() + b"\n"
+    (tmp_path / "a.mbox").write_bytes(latin + plain)
+    rows = split_mailbox(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [bytes(r["data"]).count(b"\xfc\xdf") for r in rows] == [1, 0]
+    assert "Grüße".encode() in bytes(rows[1]["data"]) and rows[0]["envelope"] == "Mon Jan  1 10:00:00 2024"
