@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import to_iso
 from palimpsest.functions.vectors import hash_embedder
+from palimpsest.operators.examples import training_rows
 from palimpsest.plans import sql as q
 from palimpsest.plans.adapters import SALT, captures, chat_messages, frames, turn_conversations, vectors
 from palimpsest.plans.evaluation_queries import RULES
@@ -178,7 +179,7 @@ def stream_turns(spark, sf):
     """The live twin of turn building; a closing row per conversation lets out its last turn."""
     st.use_rocksdb(spark)
     home = work_dir(spark, "turns")
-    rows = chat_messages(spark, sf).join(
+    rows = training_rows(chat_messages(spark, sf)).join(
         turn_conversations(spark, sf).select("conversation_id", "is_group"), "conversation_id"
     ).select("conversation_id", "id", "ts", "is_me", "is_group", "sender_name", "text")
     ends = rows.groupBy("conversation_id").agg(
