@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import decontamination as D
@@ -171,6 +172,27 @@ def test_leaks_against_brute_force(spark, table):
     assert exact <= set(found) and all(found[p] == 0 for p in exact)
 
 
+@pytest.mark.parametrize("length", [60, 120, 300, 600])
+def test_long_items_are_found_at_the_bound(length):
+    rnd = random.Random(length)
+    items = [(k, [f"v{k}x{rnd.randrange(3000)}" for _ in range(length)]) for k in range(10)]
+    rows, wanted = [], set()
+    for n in range(40):
+        k, w = n % 10, list(items[n % 10][1])
+        for _ in range(length // 4):
+            at = rnd.randrange(len(w))
+            w[at : at + 1] = rnd.choice([[], ["other"], [w[at], "other"]])
+        text = [f"a{rnd.randrange(99)}" for _ in range(60)] + w + [f"b{rnd.randrange(99)}" for _ in range(60)]
+        rows.append((n, " ".join(text)))
+        if brute_edits(items[k][1], text) <= length // 4:
+            wanted.add((n, k))
+    built = D.Items.build([(k, " ".join(w)) for k, w in items], D.MAX_RATE, D.RECALL, D.SAMPLES)
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+    found = {(r["doc_id"], r["item_id"]) for out in D.leaks(iter([batch]), built) for r in out.to_pylist()}
+    assert len(wanted) == 40 and found <= wanted
+    assert len(found) >= 39
+
+
 def test_best_stretch_equals_dynamic_programme():
     rnd = random.Random(4)
     for _ in range(200):
