@@ -2,9 +2,11 @@
 
 A word with signs or digits among its letters, or with a letter three times in a row, opens a
 lattice: a sign may stand for the letters it looks like, a separator for nothing, a repeated letter
-for one or two. A run of three or more single letters is one word spelled with spaces. Viterbi
-decoding picks the likeliest spelling under a letter trigram model whose counts come from all
-documents. Other words have one spelling.
+for one or two. Viterbi decoding picks the likeliest spelling under a letter trigram model whose
+counts come from all documents. Other words have one spelling. Words with separators inside are
+read parted and joined. A run of three or more tokens of one or two letters or signs, two of them
+single, is a lattice of its own: each space is a word's end or nothing; all readings that are
+close to the likeliest count.
 
 Features of a document are its restored words and their beginnings, present or absent. Those
 that tell toxic from other learning rows best are selected and weighed by logistic regression. The
@@ -53,11 +55,20 @@ DROP_SIGN = -8.0
 DROP_SEPARATOR = -0.2
 DROP_SECOND = -0.7
 KEEP_SECOND = -0.7
+DROP_SPACE = -0.7
+KEEP_SPACE = -0.7
+CLOSE = 6.0  # log-probability by which a reading of a spaced run may be behind
+READINGS = 4  # of a spaced run, kept in each state
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[0xC3:] = 27
+_SHORT = np.zeros(256, dtype=bool)  # bytes of tokens that may be parts of a spaced word
+_SHORT[0x80:] = True
+_SHORT[[c for c in range(128) if chr(c).isalnum() or chr(c) in SEPARATORS or chr(c) in LOOKS_LIKE]] = True
+_TRIMMED = np.zeros(256, dtype=bool)  # signs around a token
+_TRIMMED[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$_"]] = True
 _APART = re.compile(f"[{re.escape(SEPARATORS)}]+")
 _EDGE = re.compile(r"^[^\w@$]+|(?:[^\w@$]|([@$])\1)+$")
 _NOISY = re.compile(r"[^\W\d_][^\w]*[\d@$!|+(.\-_*~'`^#,/:]|[\d@$!|+(][^\W\d_]|([^\W\d_])\1\1")
@@ -125,14 +136,52 @@ def restore(word: str, model: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
+def spaced(run: str, model: np.ndarray) -> list[str]:
+    """Words of the likeliest readings of a lower-cased run of short tokens, from three letters up."""
+    code = lambda c: 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
+    dense = run.replace(" ", "")
+    states: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {(0, 0): [(0.0, None)]}
+    k = 0
+    for c in run:
+        if c == " ":
+            choices = [("", DROP_SPACE), (" ", KEEP_SPACE)]
+        else:
+            choices, k = readings(dense, k), k + 1
+        after: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {}
+        for (a, b), kept in states.items():
+            for letter, channel in choices:
+                if letter == " " and b == 0:  # two ends of words are one
+                    continue
+                gain = channel + (model[a, b, code(letter)] if letter else 0.0)
+                key = (b, code(letter)) if letter else (a, b)
+                after.setdefault(key, []).extend(
+                    (score + gain, (letter, path) if letter else path) for score, path in kept
+                )
+        states = {key: sorted(found, key=lambda x: -x[0])[:READINGS] for key, found in after.items()}
+    ended = [(score + (model[a, b, 0] if b else 0.0), path) for (a, b), kept in states.items() for score, path in kept]
+    best = max(score for score, _ in ended)
+    words = set()
+    for score, path in ended:
+        if score >= best - CLOSE:
+            letters = []
+            while path is not None:
+                letters.append(path[0])
+                path = path[1]
+            words.update(w for w in "".join(reversed(letters)).split(" ") if len(w) >= 3)
+    return sorted(words)
+
+
 def spelled(word: str, model: np.ndarray) -> list[str]:
     """Lower-cased words without the signs around them, restored where they are noisy.
 
-    Separators part words of three or more letters; shorter parts are one word spelled apart.
+    Parts between separators are words and so are all of them together; where no part has three
+    letters, only the whole is.
     """
     parts = [_EDGE.sub("", p) for p in _APART.split(word.lower())]
     if len(parts) > 1 and max(map(len, parts)) < 3:
         parts = [_EDGE.sub("", word.lower())]
+    elif len(parts) > 1:
+        parts.append(_EDGE.sub("", _APART.sub("", word.lower())))
     return [restore(p, model) if _NOISY.search(p) else p for p in parts]
 
 
@@ -146,6 +195,33 @@ def _cell(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % FEATURE_CELLS
 
 
+def short_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray):
+    """(first token, tokens without signs around them, joined by spaces) of the runs to be read."""
+    s, e = starts.copy(), ends.copy()
+    near = np.flatnonzero(ends - starts <= 16)
+    for _ in range(3):
+        e[near] -= (e[near] - s[near] > 1) & _TRIMMED[raw[e[near] - 1]]
+        s[near] += (e[near] - s[near] > 1) & _TRIMMED[raw[s[near]]]
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    other = np.concatenate([[0], np.cumsum(~_SHORT[raw])])
+    n = chars[e] - chars[s]
+    short = (n >= 1) & (n <= 2) & (other[e] == other[s])
+    first = short.copy()
+    first[1:] &= ~short[:-1] | (doc[1:] != doc[:-1])
+    runs = np.flatnonzero(first)
+    if not len(runs):
+        return
+    held = np.flatnonzero(short)
+    cut = np.searchsorted(held, runs)
+    count = np.diff(np.append(cut, len(held)))
+    single = np.add.reduceat((n[held] == 1).astype(np.int64), cut)
+    letter = np.add.reduceat((_SYMBOL[raw[s[held]]] > 0).astype(np.int64), cut)
+    data = raw.tobytes()
+    for k in np.flatnonzero((count >= 3) & (single >= 2) & (letter >= 1)):
+        a = int(runs[k])
+        yield a, b" ".join(data[s[t] : e[t]] for t in range(a, a + int(count[k])))
+
+
 class Reader:
     """Feature cells of documents, word by word; distinct words are restored once."""
 
@@ -156,7 +232,9 @@ class Reader:
     def make(self, words: list[bytes]) -> list[np.ndarray]:
         out = []
         for word in words:
-            cells = np.array(features(spelled(word.decode("utf-8", "replace"), self.model)), dtype="<i4")
+            text = word.decode("utf-8", "replace")
+            read = spaced(text.lower(), self.model) if " " in text else spelled(text, self.model)
+            cells = np.array(features(read), dtype="<i4")
             if self.place is not None:  # only selected cells, by their rank
                 cells = self.place[cells]
                 cells = cells[cells >= 0]
@@ -169,19 +247,15 @@ class Reader:
         doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
         if not len(starts):
             return [np.empty(0, np.int32)] * (len(off) - 1)
-        # runs of single letters become further words behind the text
-        single = (ends - starts == 1) & (_SYMBOL[raw[starts]] > 0)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
+        # runs of short tokens become further words behind the text
         extra, at = [raw], len(raw)
         more_s, more_e, more_d = [], [], []
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            for part in np.split(np.arange(a, b), np.flatnonzero(np.diff(doc[a:b])) + 1):
-                if len(part) >= 3:
-                    extra.append(raw[starts[part]])
-                    more_s.append(at)
-                    more_e.append(at + len(part))
-                    more_d.append(doc[part[0]])
-                    at += len(part)
+        for a, pieces in short_runs(raw, starts, ends, doc):
+            extra.append(np.frombuffer(pieces, dtype=np.uint8))
+            more_s.append(at)
+            more_e.append(at + len(pieces))
+            more_d.append(doc[a])
+            at += len(pieces)
         raw = np.concatenate(extra)
         starts = np.concatenate([starts, np.array(more_s, np.int64)])
         ends = np.concatenate([ends, np.array(more_e, np.int64)])

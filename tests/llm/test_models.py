@@ -139,6 +139,17 @@ def test_restored_spellings(letters, word, wanted):
     assert T.spelled(word, letters) == [wanted]
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [("you are a l o s e r", "loser"), ("i d 1 o t", "idiot"), ("you s c u m. go", "scum"), ("mor-on", "moron"),
+     ("stu.pid", "stupid"), ("lo*ser", "loser"), ("l. 0 - s e r!", "loser"), ("so m o ro n", "moron")],
+)
+def test_spaces_and_separators_are_read(letters, text, wanted):
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    cells = T.Reader(letters, None).documents(raw, np.array([0, len(raw)]))[0]
+    assert T._cell("=" + wanted) in cells.tolist()
+
+
 def test_letter_counts(table):
     texts = ["ab Ba", "", None, "éa"]
     counts = T.letter_counts(table(list(enumerate(texts))))
