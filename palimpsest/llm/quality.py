@@ -4,8 +4,9 @@ A profile has two histograms: character classes of the words (lower and upper ca
 digits, and the punctuation families below) and common words (each of the most frequent words of a
 language, and all others). References are sums over all documents of a language; documents that
 fail the base rules do not enter them. A document is compared with every language and keeps the
-best. It is rejected when it has enough words and even the best distance exceeds a threshold.
-Short documents have noisy histograms, so a minimum length guards each comparison.
+best. It is rejected when it exceeds the threshold of every language. Short documents have noisy
+histograms: below a full length a threshold grows as the distance of seeded draws from the language
+itself does. A language with too few words for a reference leaves its documents unjudged.
 """
 
 from __future__ import annotations
@@ -16,13 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.llm.arrays import frame, gram_hashes, slices, word_bounds, word_hashes
+from palimpsest.session import materialize
 
 CLASSES = 9
 MIN_WORDS = 20  # below it a document fails
-MIN_CLASS_CHARS = 200  # below it the character classes are not judged
-MIN_COMMON_WORDS = 200  # below it the common words are not judged
+FULL_CLASS_CHARS = 200  # below it the threshold of the character classes grows
+FULL_COMMON_WORDS = 200  # below it the threshold of the common words grows
+MIN_REFERENCE_WORDS = 2000  # words of a language that has a reference, whatever the table's size
+DRAWS = 400  # seeded draws per length
+DRAWN_SHARE = 0.99  # of the draws that a threshold allows for
 MAX_CLASS_DISTANCE = 0.34
 MAX_COMMON_DISTANCE = 0.36
 COMMON_WORDS = 64  # words with a count of their own in each language
@@ -125,14 +131,12 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     """Language -> class histogram, cells of its common words, their histogram (others last).
 
     Every document with a language that passes the base rules is counted. The driver receives
-    CLASSES + WORD_CELLS sums per language; languages that hold under one in a thousand of the
-    counted documents are noise and have no reference.
+    CLASSES + COMMON_WORDS + 1 sums per language; a language under MIN_REFERENCE_WORDS has none.
     """
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int64()), ("n", pa.int64())])
 
     def fn(batches):
         sums: dict[str, np.ndarray] = {}
-        docs_of: dict[str, int] = {}
         for batch in batches:
             langs = iter(batch.column(2).to_pylist())
             for ids, counts, classes, cells, edges in measured(iter([batch])):
@@ -143,15 +147,9 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
                     own = sums.setdefault(lang, np.zeros(CLASSES + WORD_CELLS, dtype=np.int64))
                     own[:CLASSES] += classes[k]
                     np.add.at(own, CLASSES + cells[edges[k] : edges[k + 1]], 1)
-                    docs_of[lang] = docs_of.get(lang, 0) + 1
         for lang, own in sums.items():
             at = np.flatnonzero(own)
-            yield frame(
-                schema,
-                lang=[lang] * (len(at) + 1),
-                kind=np.concatenate([at, [-1]]),
-                n=np.concatenate([own[at], [docs_of[lang]]]),
-            )
+            yield frame(schema, lang=[lang] * len(at), kind=at, n=own[at])
 
     rows = (
         docs.select(
@@ -161,62 +159,95 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
         .groupBy("lang", "kind")
         .agg(F.sum("n").alias("n"))
     )
-    seen = {r["lang"]: r["n"] for r in rows.filter("kind = -1").collect()}
-    kept = [k for k, n in seen.items() if 1000 * n >= sum(seen.values())]
-    made = {}
-    wanted = rows.filter((F.col("kind") >= 0) & F.col("lang").isin(kept))
-    sums = {lang: np.zeros(CLASSES + WORD_CELLS) for lang in kept}
-    for row in wanted.collect():
-        sums[row["lang"]][row["kind"]] = row["n"]
-    for lang, own in sums.items():
-        words = own[CLASSES:]
-        common = np.argsort(-words, kind="stable")[:COMMON_WORDS]
-        histogram = np.append(words[common], words.sum() - words[common].sum())
-        made[lang] = (own[:CLASSES] / own[:CLASSES].sum(), common, histogram / words.sum())
-    return made
+    rows = materialize(rows)
+    word = F.col("kind") >= CLASSES
+    totals = {
+        r["lang"]: r["n"]
+        for r in rows.filter(word).groupBy("lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_REFERENCE_WORDS).collect()
+    }
+    turn = F.row_number().over(Window.partitionBy("lang", word).orderBy(F.desc("n"), "kind"))
+    made = {lang: (np.zeros(CLASSES), [], []) for lang in totals}
+    # a language has at most CLASSES + WORD_CELLS rows
+    for r in rows.withColumn("turn", turn).filter(~word | (F.col("turn") <= COMMON_WORDS)).orderBy("lang", "turn").toLocalIterator():
+        if r["lang"] in made:
+            classes, common, counts = made[r["lang"]]
+            if r["kind"] < CLASSES:
+                classes[r["kind"]] = r["n"]
+            else:
+                common.append(r["kind"] - CLASSES)
+                counts.append(r["n"])
+    return {
+        lang: (classes / classes.sum(), np.array(common), np.append(counts, totals[lang] - sum(counts)) / totals[lang])
+        for lang, (classes, common, counts) in made.items()
+    }
+
+
+def thresholds(histogram: np.ndarray, full: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, thresholds): ``most`` from ``full`` on, below it more by what draws from
+    ``histogram`` are farther from it than at ``full``; squared distances add up."""
+    lengths = np.unique(np.geomspace(MIN_WORDS, full, 12).astype(int))
+    rnd = np.random.default_rng(full)
+    drawn = [
+        np.quantile(divergence(rnd.multinomial(n, histogram, DRAWS).astype(float), histogram) ** 2, DRAWN_SHARE)
+        for n in lengths
+    ]
+    return lengths, np.sqrt(most**2 + np.maximum(0, np.array(drawn) - drawn[-1]))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Base counts, distances and the verdict of every row of ``docs``.
 
     Columns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    class_distance, common_distance (null where a guard stops the comparison or no language has a
-    reference). A null text has no words and fails. Repeated rows are judged each. Reads doc_id,
-    text and lang; lang only says which reference a document feeds.
+    class_distance, common_distance (null below MIN_WORDS words, where the own language or every one
+    lacks a reference). A null text has no words and fails. Repeated rows are judged each. Reads
+    doc_id, text and lang; lang says which reference a document feeds, null feeds none.
     """
     known = references(docs)
+    bounds = {
+        lang: (
+            thresholds(reference, FULL_CLASS_CHARS, MAX_CLASS_DISTANCE),
+            thresholds(histogram, FULL_COMMON_WORDS, MAX_COMMON_DISTANCE),
+        )
+        for lang, (reference, _, histogram) in known.items()
+    }
     schema = pa.schema(
         [("doc_id", pa.int64()), *_COUNT_FIELDS, ("kept", pa.bool_()),
          ("class_distance", pa.float64()), ("common_distance", pa.float64())]
     )
 
     def fn(batches):
-        for ids, counts, classes, cells, edges in measured(batches):
-            n = len(ids)
-            near = np.full((2, n), np.inf)
-            doc_of = np.repeat(np.arange(n), np.diff(edges))
-            for reference, common, histogram in known.values():
-                near[0] = np.minimum(near[0], divergence(classes.astype(float), reference))
-                place = np.full(WORD_CELLS, len(common))
-                place[common] = np.arange(len(common))
-                words = np.bincount(
-                    doc_of * (len(common) + 1) + place[cells], minlength=n * (len(common) + 1)
-                ).reshape(n, -1)
-                near[1] = np.minimum(near[1], divergence(words.astype(float), histogram))
-            near[0][classes.sum(axis=1) < MIN_CLASS_CHARS] = np.inf
-            near[1][counts["n_words"] < MIN_COMMON_WORDS] = np.inf
-            judged = np.isfinite(near)
-            off = (judged[0] & (near[0] > MAX_CLASS_DISTANCE)) | (judged[1] & (near[1] > MAX_COMMON_DISTANCE))
-            yield frame(
-                schema,
-                doc_id=ids,
-                **counts,
-                kept=~counts["base_failed"] & ~off,
-                class_distance=pa.array(near[0], mask=~judged[0]),
-                common_distance=pa.array(near[1], mask=~judged[1]),
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        for batch in batches:
+            langs, at = batch.column(2).to_pylist(), 0
+            for ids, counts, classes, cells, edges in measured(iter([batch])):
+                n = len(ids)
+                own, at = langs[at : at + n], at + n
+                near, fits = np.full((2, n), np.inf), np.zeros((2, n), dtype=bool)
+                doc_of = np.repeat(np.arange(n), np.diff(edges))
+                for lang, (reference, common, histogram) in known.items():
+                    place = np.full(WORD_CELLS, len(common))
+                    place[common] = np.arange(len(common))
+                    words = np.bincount(
+                        doc_of * (len(common) + 1) + place[cells], minlength=n * (len(common) + 1)
+                    ).reshape(n, -1)
+                    for k, (held, wanted, size) in enumerate(
+                        [(classes, reference, classes.sum(axis=1)), (words, histogram, counts["n_words"])]
+                    ):
+                        far = divergence(held.astype(float), wanted)
+                        near[k] = np.minimum(near[k], far)
+                        fits[k] |= far <= np.interp(size, *bounds[lang][k])
+                unknown = np.array([x is not None and x not in known for x in own], dtype=bool)
+                near[:, unknown | (counts["n_words"] < MIN_WORDS)] = np.inf
+                judged = np.isfinite(near)
+                yield frame(
+                    schema,
+                    doc_id=ids,
+                    **counts,
+                    kept=~counts["base_failed"] & ~(judged & ~fits).any(axis=0),
+                    class_distance=pa.array(near[0], mask=~judged[0]),
+                    common_distance=pa.array(near[1], mask=~judged[1]),
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(
         fn,
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, base_failed boolean, kept boolean, class_distance double, "

@@ -246,6 +246,21 @@ def test_quality_verdict(table):
     assert all(found[k]["kept"] for k, _ in clean if not found[k]["base_failed"])
 
 
+def test_quality_of_a_rare_language(table):
+    """Under one in a thousand of the documents, and documents under 200 words."""
+    rnd = random.Random(9)
+    en, xx = "the of and to in cat dog runs over small".split(), "ka lo mi nu pe ra si to vu za".split()
+    say = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [(k, say(en, 25), "en") for k in range(10_500)]
+    rows += [(20_000 + k, say(xx, 260), "xx") for k in range(10)] + [(30_000, say(["qu", "ix"], 300), "yy")]
+    rows += [(40_000 + n, " ".join(f"q{i}" for i in range(n)), "en") for n in (60, 120, 190)]
+    found = {r["doc_id"]: r for r in Q.quality(table(rows)).collect()}
+    assert all(found[20_000 + k]["kept"] for k in range(10))
+    assert found[30_000]["common_distance"] is None  # too few words of yy for a reference
+    assert not any(found[40_000 + n]["kept"] or found[40_000 + n]["base_failed"] for n in (60, 120, 190))
+    assert sum(found[k]["kept"] for k in range(10_500)) >= 0.95 * sum(not found[k]["base_failed"] for k in range(10_500))
+
+
 def test_quality_of_odd_rows(odd, empty):
     found = Q.quality(odd).filter("doc_id <> 6 and doc_id <> 7").collect()
     assert all(not r["kept"] and r["base_failed"] for r in found)
