@@ -1,8 +1,8 @@
 """Language identification with a string kernel, Nystroem landmarks and ridge regression.
 
 The kernel counts the character n-grams (n = 1, 2, 3) that occur in both texts, however often,
-and is normalised to 1 for a text with itself. Kernel values against a fixed number of landmark
-texts give Nystroem features; one ridge regression per language separates it from the rest. The
+and is normalised to 1 for a text with itself. Kernel values against landmark texts, a number
+of each language, give Nystroem features; one ridge regression per language separates it from the rest. The
 model is fitted on a bounded sample of the learning rows; scoring multiplies batches of presence
 vectors of whole texts with the landmark matrix.
 """
@@ -24,8 +24,7 @@ SYMBOLS = 48  # 0: no letter, 1-26: a-z, 27-47: other letters, by code point
 TRIGRAM_CELLS = 1 << 15
 FEATURES = SYMBOLS + SYMBOLS**2 + TRIGRAM_CELLS
 ROWS_PER_LANGUAGE = 400  # learning rows of each language, at most
-LANGUAGES = 64  # languages that are learned, the most frequent ones
-LANDMARKS = 64
+LANDMARKS = 16  # of each language
 RIDGE = 0.01
 SHARPNESS = 6.0  # of the softmax that turns margins into a score
 BATCH = 64  # documents per matrix product
@@ -68,10 +67,16 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / np.maximum(size, 1)
 
 
+def near(x: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Kernel between rows of ``x`` and packed landmarks, some landmarks at a time."""
+    blocks = (np.unpackbits(packed[a : a + BATCH], axis=1, count=FEATURES) for a in range(0, len(packed), BATCH))
+    return np.concatenate([kernel(x, b.astype(np.float32)) for b in blocks], axis=1)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    landmarks: np.ndarray
+    landmarks: np.ndarray  # presence vectors, eight n-grams a byte
     weights: np.ndarray  # landmarks x languages, the Nystroem map included
 
     @classmethod
@@ -80,22 +85,28 @@ class Model:
         # landmarks take turns over the languages
         turn: dict[str, int] = {}
         rank = [turn.update({g: turn.get(g, 0) + 1}) or turn[g] for g in langs]
-        chosen = sorted(range(len(texts)), key=lambda i: (rank[i], langs[i]))[:landmarks]
-        marks = vectors([texts[i] for i in chosen])
-        values, basis = np.linalg.eigh(kernel(marks, marks).astype(float))
+        order = sorted(range(len(texts)), key=lambda i: (rank[i], langs[i]))
+        chosen = order[: landmarks * len(names)]
+        blocks = [chosen[a : a + BATCH] for a in range(0, len(chosen), BATCH)]
+        marks = np.concatenate([np.packbits(vectors([texts[i] for i in b]) > 0, axis=1) for b in blocks])
+        between = np.concatenate([near(vectors([texts[i] for i in b]), marks) for b in blocks])
+        values, basis = np.linalg.eigh(between.astype(float))
         root = basis @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ basis.T
-        rows = [kernel(vectors(texts[a : a + BATCH]), marks) for a in range(0, len(texts), BATCH)]
-        phi = np.concatenate(rows).astype(float) @ root
-        target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-        design = np.column_stack([phi, np.ones(len(phi))])
-        solved = np.linalg.solve(
-            design.T @ design + ridge * np.eye(design.shape[1]), design.T @ target
-        )
+        # sums over batches, as large as the landmarks and languages only
+        left = ridge * np.eye(len(marks) + 1)
+        right = np.zeros((len(marks) + 1, len(names)))
+        for a in range(0, len(texts), BATCH):
+            phi = near(vectors(texts[a : a + BATCH]), marks).astype(float) @ root
+            design = np.column_stack([phi, np.ones(len(phi))])
+            target = np.where(np.array(langs[a : a + BATCH])[:, None] == np.array(names)[None, :], 1.0, -1.0)
+            left += design.T @ design
+            right += design.T @ target
+        solved = np.linalg.solve(left, right)
         weights = np.vstack([root @ solved[:-1], solved[-1:]])
         return cls(names, marks, weights)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        k = kernel(vectors(texts), self.landmarks)
+        k = near(vectors(texts), self.landmarks)
         margins = np.column_stack([k, np.ones(len(k))]) @ self.weights
         soft = np.exp(SHARPNESS * (margins - margins.max(axis=1, keepdims=True)))
         soft /= soft.sum(axis=1, keepdims=True)
@@ -109,26 +120,22 @@ def learn(
     """Fit on at most ``per_language`` rows of each language, those with the smallest id hash.
 
     ``rows`` has doc_id, text and lang. Rows without id, language or letters teach nothing; None
-    without any row left. At most LANGUAGES languages, the most frequent ones, are learned.
+    without any row left. Every language is learned, with ``landmarks`` landmark texts at most.
     """
     usable = rows.filter("doc_id is not null and lang is not null and text is not null")
-    langs = [
-        r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    ]
     # slices first, so that a frequent language does not meet in one task as a whole
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     early = F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order))
     picked = (
-        usable.filter(F.col("lang").isin(langs))
-        .select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("slice"))
+        usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("slice"))
         .withColumn("early", early)
         .filter(F.col("early") <= per_language)
         .withColumn("turn", turn)
         .filter(F.col("turn") <= per_language)
         .select("doc_id", "lang", "turn")
     )
-    # at most per_language x LANGUAGES ids
+    # at most per_language ids of each language
     sample = (
         usable.select("doc_id", "text", "lang")
         .join(F.broadcast(picked), ["doc_id", "lang"])

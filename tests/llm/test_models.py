@@ -203,6 +203,18 @@ def test_kernel_equals_sets():
             assert found[i, j] == pytest.approx(len(a & b) / max(1, (len(a) * len(b)) ** 0.5), abs=1e-5)
 
 
+def test_more_languages_than_landmarks(table):
+    rnd = random.Random(6)
+    rows = []
+    for g in range(70):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        rows += [(10 * g + k, " ".join(rnd.choice(words) for _ in range(40)), f"l{g:02}") for k in range(6)]
+    docs = table(rows)
+    model = G.learn(docs)
+    found = {r["doc_id"]: r["lang_pred"] for r in G.identify(docs, model).collect()}
+    assert len(model.languages) == 70 and all(found[k] == lang for k, _, lang in rows)
+
+
 def test_languages_of_odd_rows(odd, empty):
     model = G.learn(odd)
     found = {r["doc_id"]: r for r in G.identify(odd, model).collect()}
