@@ -7,7 +7,8 @@ claimed sentences are not matched again. Between two sentences of a rule, unknow
 known ones of other rules may stand, up to ``GAP`` sentences.
 
 A sentence ends at one of . ! ? ; : before white space, or at a blank line. Line breaks inside a
-sentence are spaces; where the whole is not known, what starts at one of its lines may be.
+sentence are spaces; where the whole is not known, what starts at one of its lines may be, and so
+may what also ends with one. SPDX-License-Identifier lines name their licences themselves.
 """
 
 from __future__ import annotations
@@ -53,25 +54,74 @@ SENTENCES = {
     "ccbysa-mention": ["licensed under cc by sa 4 0", "released under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "ccbync-mention": ["licensed under cc by nc 4 0", "released under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "reserved": ["all rights reserved"],
+    "bsd-warranty": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "boost-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "agpl3-terms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3"],
 }
 
+# Names of licences in mentions, as normalised; "the" and "license" are as usual.
+NAMES = {
+    "mit-mention": ["mit license", "mit licence", "mit"],
+    "apache-mention": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0", "apache license v2 0"],
+    "bsd-mention": ["bsd license"],
+    "bsd2-mention": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license"],
+    "bsd3-mention": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"],
+    "gpl3-mention": ["gnu general public license version 3", "gnu general public license v3 0", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3", "gpl v3", "gplv3", "gpl version 3"],
+    "gpl2-mention": ["gnu general public license version 2", "gnu general public license v2 0", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2", "gpl v2", "gplv2", "gpl version 2"],
+    "lgpl3-mention": ["gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl v3", "lgpl v3", "lgplv3", "lgpl version 3"],
+    "lgpl21-mention": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl v2 1", "lgpl v2 1", "lgpl version 2 1"],
+    "agpl3-mention": ["gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl v3", "agpl v3", "agplv3", "agpl version 3"],
+    "mpl-mention": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mpl 2 0"],
+    "epl2-mention": ["eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v 2 0", "eclipse public license v2 0", "epl 2 0"],
+    "epl1-mention": ["eclipse public license version 1 0", "eclipse public license 1 0", "eclipse public license v1 0", "epl 1 0"],
+    "boost-mention": ["boost software license version 1 0", "boost software license 1 0", "boost software license"],
+    "zlib-mention": ["zlib license"],
+    "artistic-mention": ["artistic license 2 0", "artistic license version 2 0"],
+    "isc-mention": ["isc license"],
+}
+SUBJECTS = ["", *(f"{a} {b} is " for a in ("this", "the") for b in ("work", "file", "project", "software", "program", "library", "package", "code", "source code", "module"))]
+VERBS = ["licensed under", "released under", "distributed under", "available under", "made available under", "provided under", "published under"]
+for _name, _texts in NAMES.items():
+    SENTENCES[_name] = sorted(
+        {*SENTENCES.get(_name, ())}
+        | {f"{a}{b} {c}{d}" for a in SUBJECTS for b in VERBS for c in ("", "the ", "the terms of the ") for d in _texts}
+    )
+
 # Rules in order of precedence.
 RULES = [
     ("MIT", "text", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("ISC", "text", ["isc-grant", "isc-warranty"]),
     ("Apache-2.0", "header", ["apache-header", "apache-use", "apache-copy", "apache-warranty"]),
+    ("BSD-3-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"]),
     ("BSD-3-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-2-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
     ("BSD-2-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", "header", ["gpl-free", "gpl3-terms", "gpl-warranty"]),
     ("GPL-2.0-or-later", "header", ["gpl-free", "gpl2-terms", "gpl-warranty"]),
     ("LGPL", "header", ["gpl-free", "lgpl-terms"]),
+    ("AGPL-3.0", "header", ["gpl-free", "agpl3-terms"]),
     ("MPL-2.0", "header", ["mpl-header"]),
+    ("BSL-1.0", "text", ["boost-grant"]),
+    ("Zlib", "text", ["zlib-grant"]),
     ("Unlicense", "text", ["unlicense"]),
     ("MIT", "notice", ["mit-grant"]),
     ("MIT", "mention", ["mit-mention"]),
     ("Apache-2.0", "mention", ["apache-header"]),
     ("Apache-2.0", "mention", ["apache-mention"]),
     ("BSD", "mention", ["bsd-mention"]),
+    ("BSD-2-Clause", "mention", ["bsd2-mention"]),
+    ("BSD-3-Clause", "mention", ["bsd3-mention"]),
+    ("LGPL-3.0-only", "mention", ["lgpl3-mention"]),
+    ("LGPL-2.1-only", "mention", ["lgpl21-mention"]),
+    ("AGPL-3.0-only", "mention", ["agpl3-mention"]),
+    ("MPL-2.0", "mention", ["mpl-mention"]),
+    ("EPL-2.0", "mention", ["epl2-mention"]),
+    ("EPL-1.0", "mention", ["epl1-mention"]),
+    ("BSL-1.0", "mention", ["boost-mention"]),
+    ("Zlib", "mention", ["zlib-mention"]),
+    ("Artistic-2.0", "mention", ["artistic-mention"]),
+    ("ISC", "mention", ["isc-mention"]),
     ("GPL-3.0-only", "mention", ["gpl3-mention"]),
     ("GPL-2.0-only", "mention", ["gpl2-mention"]),
     ("CC0-1.0", "mention", ["cc0-mention"]),
@@ -82,8 +132,11 @@ RULES = [
 ]
 
 _KNOWN = {text: name for name, texts in SENTENCES.items() for text in texts}
+_BEGINNINGS = {text[:k] for text in _KNOWN for k, c in enumerate(text + " ") if c == " "}
+_SPDX = re.compile(r"SPDX-License-Identifier:[\x20\t]*([^\n]*)", re.I)
+_SPDX_NAME = re.compile(r"(?<![A-Za-z0-9.+-])(?!(?:AND|OR|WITH)\b)[A-Za-z0-9][A-Za-z0-9.+-]*")
 # every known sentence holds one of these, so other texts need no sentence split
-_TRIGGER = re.compile("licen[sc]e|permi|notice|provided|redistribut|endorse|software|distributed|reserved|cc0|cc by", re.I)
+_TRIGGER = re.compile("licen[sc]e|permi|notice|provided|redistribut|endorse|software|distributed|reserved|cc0|cc by|under", re.I)
 if not all(_TRIGGER.search(text) for text in _KNOWN):
     raise ValueError("a known sentence has no trigger")
 _TRIGGER = re.compile(_TRIGGER.pattern.replace("cc by", r"cc\W+by"), re.I)
@@ -97,6 +150,42 @@ def normalised(sentence: str) -> str:
     return _JUNK.sub(" ", sentence.lower()).strip()
 
 
+def lines_known(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """(identifier, start, end) of known sentences made of whole lines between ``start`` and ``end``."""
+    lines = []
+    while start < end:
+        stop = text.find("\n", start, end)
+        stop = end if stop < 0 else stop
+        words = normalised(text[start:stop])
+        if words:
+            lines.append((words, start, stop))
+        start = stop + 1
+    found, at = [], 0
+    while at < len(lines):
+        joined, last = "", None
+        for k in range(at, len(lines)):
+            joined = f"{joined} {lines[k][0]}".strip()
+            if joined not in _BEGINNINGS:
+                break
+            if joined in _KNOWN:
+                last = k, _KNOWN[joined]
+        if last:
+            found.append((last[1], lines[at][1], lines[last[0]][2]))
+        at = last[0] + 1 if last else at + 1
+    return found
+
+
+def spdx(text: str) -> list[Match]:
+    """Licences that SPDX lines name, as written; exceptions after WITH are no licences."""
+    found = []
+    for line in _SPDX.finditer(text):
+        names = re.sub(r"\bWITH\s+\S+", lambda m: " " * len(m.group()), line.group(1))
+        expression = re.match(r"[\s()]*[\w.+-]+(?:[\s()]+(?:AND|OR)[\s()]+[\w.+-]+)*", names)
+        for m in _SPDX_NAME.finditer(expression.group()) if expression else ():
+            found.append((m.group(), "spdx", line.start(1) + m.start(), line.start(1) + m.end()))
+    return found
+
+
 def known_sentences(text: str) -> list[tuple[int, str, int, int]]:
     """(position among the sentences, identifier, start, end) of the known sentences."""
     found, at = [], 0
@@ -106,9 +195,11 @@ def known_sentences(text: str) -> list[tuple[int, str, int, int]]:
         while start < end:
             name = _KNOWN.get(normalised(text[start:end]))
             if name:
-                found.append((k, name, start, end))
                 break
             start = text.find("\n", start, end) + 1 or end
+        found += [(k, *x) for x in lines_known(text, at, start)]
+        if start < end:
+            found.append((k, name, start, end))
         at = end
     return found
 
@@ -151,7 +242,12 @@ def find_licenses(docs: DataFrame) -> DataFrame:
 
     def fn(batches):
         for ids, texts in strings(batches):
-            found = [match_rules(known_sentences(t)) if _TRIGGER.search(t) else [] for t in texts]
+            found = [
+                sorted(match_rules(known_sentences(t)) + spdx(t), key=lambda m: (m[2], m[3], m[0]))
+                if _TRIGGER.search(t)
+                else []
+                for t in texts
+            ]
             yield frame(
                 schema,
                 doc_id=ids,

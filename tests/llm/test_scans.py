@@ -170,6 +170,20 @@ def test_license_rules(table):
     assert found[6]["n_matches"] == 2
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [("Released under the MIT License\nimport os", "MIT"), ("# Licensed under the BSD License\n# Author: X", "BSD"),
+     ("this file is licensed under the\nMIT license\n\nx", "MIT"), ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;", "Apache-2.0,MIT"),
+     ("Licensed under the Eclipse Public License 2.0\nx", "EPL-2.0"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+     ("Licensed under the MIT License\nLicensed under the zlib License.", "MIT,Zlib"), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", "GPL-2.0-only"),
+     ("This program is licensed under the GNU AGPL v3\nx", "AGPL-3.0-only"), ("Released under the MIT License but\nnot quite", "")],
+)
+def test_mentions_without_a_full_stop(table, text, wanted):
+    found = L.match_rules(L.known_sentences(text)) + L.spdx(text)
+    assert ",".join(sorted({m[0] for m in found})) == wanted
+    assert L.find_licenses(table([(1, text)])).first()["licenses"] == wanted
+
+
 def brute_rules(found):
     """Rules as a search over positions, one claim at a time."""
     free, out = set(range(len(found))), []
