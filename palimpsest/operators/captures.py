@@ -27,8 +27,11 @@ def list_captures(captures: DataFrame, since=None, limit: int | None = 50, statu
     return rows.orderBy(F.col("received_at").desc(), "uid").limit(limit)
 
 
-def sync(memories: DataFrame, captures: DataFrame, since=None, limit: int = 200):
-    """(memories, captures) changed after the cursor; archived memories are included."""
+def sync(memories: DataFrame, captures: DataFrame, since=None, limit: int | None = None):
+    """(memories, captures) changed after the cursor; archived memories are included.
+
+    All of them, unless ``limit`` asks for the newest ones only.
+    """
     from palimpsest.operators.memories import list_memories
 
     return (
@@ -181,8 +184,10 @@ def _usable(min_s: float, max_s: float) -> Column:
     )
 
 
-def clip_candidates(captures: DataFrame, min_s: float = 1.5, max_s: float = 15.0) -> DataFrame:
-    """The 200 best clips of my voice, then only those with at least 3 words."""
+def clip_candidates(
+    captures: DataFrame, min_s: float = 1.5, max_s: float = 15.0, limit: int = MAX_CLIP_CANDIDATES
+) -> DataFrame:
+    """The ``limit`` best clips of my voice, then only those with at least 3 words."""
     score = F.coalesce(
         F.col("speaker_score"), F.when(F.col("origin") == "manual", 0.9).otherwise(0.5)
     )
@@ -191,7 +196,7 @@ def clip_candidates(captures: DataFrame, min_s: float = 1.5, max_s: float = 15.0
         .orderBy(
             F.coalesce("speaker_score", F.lit(0.5)).desc(), F.col("duration_s").desc(), F.col("uid")
         )
-        .limit(MAX_CLIP_CANDIDATES)
+        .limit(limit)
         .filter(word_count(F.col("text")) >= 3)
         .select(
             "uid",

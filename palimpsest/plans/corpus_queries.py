@@ -389,7 +389,7 @@ def capture_list(spark, sf):
         ORDER BY received_at DESC, uid LIMIT 200)""",
 )
 def sync_since(spark, sf):
-    mem, cap = cap_ops.sync(memories(spark, sf), captures(spark, sf), "2024-01-03 00:00:00")
+    mem, cap = cap_ops.sync(memories(spark, sf), captures(spark, sf), "2024-01-03 00:00:00", limit=200)
     return mem.select(F.lit("memory").alias("what"), "uid").unionByName(
         cap.select(F.lit("capture").alias("what"), "uid")
     )

@@ -232,3 +232,14 @@ def test_the_first_of_repeated_new_memories_is_kept(spark):
     new = spark.createDataFrame([("a", " second letter "), ("a", "another"), ("b", "only")], "uid string, text string").coalesce(1)
     made = memories.create_memories(empty, new, "2025-01-01")
     assert sorted((r["uid"], r["text"]) for r in made.collect()) == [("a", "second letter"), ("b", "only")]
+
+
+def test_sync_returns_every_change(spark):
+    from palimpsest.operators.captures import sync
+
+    stamp = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    uid = F.concat(F.lit("u"), "id").alias("uid")
+    mem = spark.range(450).select(uid, stamp.alias("updated_at"), F.lit(True).alias("archived"))
+    cap = spark.range(450).select(uid, stamp.alias("received_at"), F.lit(None).cast("timestamp").alias("processed_at"))
+    assert [x.count() for x in sync(mem, cap, "2000-01-01 00:00:00")] == [450, 450]
+    assert [x.count() for x in sync(mem, cap, "2000-01-01 00:00:00", limit=200)] == [200, 200]
