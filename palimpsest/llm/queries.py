@@ -15,6 +15,7 @@ from palimpsest.llm import (
     licenses,
     ngram_join,
     personal_data,
+    phrases,
     pieces,
     quality,
     token_store,
@@ -123,3 +124,56 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = language.remainder(3)
     model = language.learn(docs.filter(remainder != 1))
     return language.identify(docs, model).withColumn("held_out", F.coalesce(remainder == 1, F.lit(False)))
+
+
+@_query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS pid, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+),
+w AS (SELECT lang, pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, pid, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, w AS x, lead(w, 1) OVER q AS y, lead(w, 2) OVER q AS z FROM t
+  WINDOW q AS (PARTITION BY pid ORDER BY i)
+),
+f AS (
+  SELECT lang, 1 AS k, x AS phrase, count(*) AS a FROM g GROUP BY lang, x
+  UNION ALL
+  SELECT lang, 2, x || ' ' || y, count(*) FROM g WHERE y IS NOT NULL GROUP BY lang, x, y
+  UNION ALL
+  SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM g WHERE z IS NOT NULL GROUP BY lang, x, y, z
+),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, l.a AS l, r.a AS r,
+    CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM c JOIN (VALUES (1), (2)) AS v(cut) ON cut < c.k
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.s[1:cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.s[cut + 1:], ' ')
+),
+best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+),
+held AS (
+  SELECT lang, part, max(a) AS a FROM (
+    SELECT lang, array_to_string(s[1:2], ' ') AS part, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(s[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL
+),
+kept AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, phrase) AS rank
+  FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.part = b.phrase
+  WHERE h.a IS NULL OR 100 * h.a < 50 * b.a
+)
+SELECT kept.lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000
+"""
