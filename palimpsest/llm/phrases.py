@@ -16,6 +16,7 @@ of a corpus with n distinct ones share a hash with a probability of n^2 / 2^65.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 from palimpsest.llm.arrays import frame, gram_hashes, mix, slices, word_hashes
 from palimpsest.session import estimated_bytes, materialize
 
-SHARDS = 3
+SHARDS = 2
 THRESHOLD = 10
 LONGEST = 3
 TOP = 2000
@@ -43,13 +44,12 @@ _GAP[[32, 9]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BLOCK = pa.schema([("k", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
+_BLOCK = pa.schema([("k", pa.int32()), ("began", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 _STATE = pa.schema([*_BLOCK, ("bits", pa.binary())])
 _TOTAL = pa.schema([("key", pa.int64()), ("k", pa.int32()), ("n", pa.int64())])
 _NAME = pa.schema(
     [("key", pa.int64()), ("k", pa.int32()), ("langh", pa.int64()), ("phrase", pa.string()),
-     ("l1", pa.int64()), ("r1", pa.int64()), ("l2", pa.int64()), ("r2", pa.int64()),
-     ("words", pa.int64())]
+     ("l1", pa.int64()), ("r1", pa.int64()), ("l2", pa.int64()), ("r2", pa.int64())]
 )
 
 
@@ -107,14 +107,23 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return every[first], np.add.reduceat(amount, first) if len(first) else amount
 
 
-def active(words: Words, k: int, levels: dict[int, np.ndarray], step: int, shards: int) -> np.ndarray:
-    """Keys of the phrases of ``k`` words to be counted in this step, one for each occurrence."""
-    if k == 1:
-        return words.keys[1] if step < shards else words.keys[1][:0]
+def active(
+    words: Words, k: int, levels: dict[int, np.ndarray], step: int, shards: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(step they began in, keys) of the phrases of ``k`` words to be counted in this step.
+
+    There is one key for each occurrence. ``k`` = 0 stands for the language of a word.
+    """
+    if k < 2:
+        if step < shards:
+            yield 0, words.keys[1] if k else words.langs.view(np.uint64)
+        return
     level = levels[k - 1]
     began = level[cells_of(words.keys[k - 1], level.size.bit_length() - 1)].astype(np.int64)
     began = np.maximum(began[:-1], began[1:])[: len(words.keys[k])] + 1
-    return words.keys[k][words.whole[k] & (began <= step) & (step < began + shards)]
+    began[~words.whole[k]] = NEVER
+    for first in range(max(0, step - shards + 1), step + 1):
+        yield first, words.keys[k][began == first]
 
 
 def _levels(shipped) -> dict[int, np.ndarray]:
@@ -122,59 +131,71 @@ def _levels(shipped) -> dict[int, np.ndarray]:
 
 
 def scan(docs: DataFrame, shipped, step: int, shards: int, bucket_bits: int) -> DataFrame:
-    """Counts (k, bucket, blob) of the phrases that are active in this step, over its shard."""
+    """Counts (k, began, bucket, blob) of the phrases that are active in this step, over its shard."""
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
 
     def fn(batches: Iterator[pa.RecordBatch]):
         levels = _levels(shipped)
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
 
-        def flush(k: int):
-            keys, counts = summed(*zip(*held.pop(k), strict=True))
+        def flush(k: int, began: int):
+            keys, counts = summed(*zip(*held.pop((k, began)), strict=True))
             bucket = cells_of(keys, bucket_bits)
             marks = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else []
             for a, b in zip(marks, [*marks[1:], len(keys)], strict=True):
-                yield frame(_BLOCK, k=[k], bucket=[int(bucket[a])], blob=[pack(keys[a:b], counts[a:b])])
+                blob = pack(keys[a:b], counts[a:b])
+                yield frame(_BLOCK, k=[k], began=[began], bucket=[int(bucket[a])], blob=[blob])
 
         for langs, raw, off in slices(batches, id_name="langh"):
             words = Words(langs.to_numpy(), raw, off)
-            for k in range(1, LONGEST + 1):
+            for k in range(LONGEST + 1):
                 if k > 1 and k - 1 not in levels:
                     break
-                keys, counts = np.unique(active(words, k, levels, step, shards), return_counts=True)
-                if len(keys):
-                    held.setdefault(k, []).append((keys, counts.astype(np.uint64)))
-                    if sum(len(x) for x, _ in held[k]) > FLUSH:
-                        yield from flush(k)
-        for k in list(held):
-            yield from flush(k)
+                for began, every in active(words, k, levels, step, shards):
+                    keys, counts = np.unique(every, return_counts=True)
+                    if len(keys):
+                        own = held.setdefault((k, began), [])
+                        own.append((keys, counts.astype(np.uint64)))
+                        if sum(len(x) for x, _ in own) > FLUSH:
+                            yield from flush(k, began)
+        for k, began in list(held):
+            yield from flush(k, began)
 
     return (
         docs.filter(shard == step % shards)
         .select("langh", "text")
-        .mapInArrow(fn, "k int, bucket int, blob binary")
+        .mapInArrow(fn, "k int, began int, bucket int, blob binary")
     )
 
 
-def merged(blocks: DataFrame, threshold: int, bucket_bits: int, cell_bits: int) -> DataFrame:
-    """One row (k, bucket, blob, bits) for each range: its counts, and its cells at the threshold."""
+def merged(
+    blocks: DataFrame, threshold: int, bucket_bits: int, cell_bits: int, complete: int
+) -> DataFrame:
+    """One row (k, began, bucket, blob, bits) for each range: its counts, its cells at the threshold.
+
+    Of phrases that began by the step ``complete`` the cycle is over: only those at the threshold
+    are kept, and language totals.
+    """
 
-    def done(k: int, bucket: int, held: list):
+    def done(k: int, began: int, bucket: int, held: list):
         keys, counts = summed(*zip(*held, strict=True))
         low = bucket << (cell_bits - bucket_bits)
         reached = np.zeros(1 << (cell_bits - bucket_bits), dtype=bool)
-        reached[cells_of(keys[counts >= threshold], cell_bits) - low] = True
+        enough = counts >= threshold
+        reached[cells_of(keys[enough], cell_bits) - low] = True
         bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(reached).tobytes())
-        return frame(_STATE, k=[k], bucket=[bucket], blob=[pack(keys, counts)], bits=[bits])
+        if began <= complete and k:
+            keys, counts = keys[enough], counts[enough]
+        return frame(_STATE, k=[k], began=[began], bucket=[bucket], blob=[pack(keys, counts)], bits=[bits])
 
     def fn(batches: Iterator[pa.RecordBatch]):
         at, held, size = None, [], 0
         for batch in batches:
-            for k, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at is not None and at != (k, bucket):
+            for k, began, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is not None and at != (k, began, bucket):
                     yield done(*at, held)
                     held, size = [], 0
-                at = k, bucket
+                at = k, began, bucket
                 held.append(unpack(blob))
                 size += len(held[-1][0])
                 if size > FLUSH:
@@ -184,17 +205,18 @@ def merged(blocks: DataFrame, threshold: int, bucket_bits: int, cell_bits: int)
             yield done(*at, held)
 
     return (
-        blocks.select("k", "bucket", "blob")
-        .repartition(F.xxhash64("k", "bucket"))
-        .sortWithinPartitions("k", "bucket")
-        .mapInArrow(fn, "k int, bucket int, blob binary, bits binary")
+        blocks.select("k", "began", "bucket", "blob")
+        .repartition(F.xxhash64("k", "began", "bucket"))
+        .sortWithinPartitions("k", "began", "bucket")
+        .mapInArrow(fn, "k int, began int, bucket int, blob binary, bits binary")
     )
 
 
-def raise_levels(level: np.ndarray, state: DataFrame, step: int, bucket_bits: int) -> None:
+def raise_levels(levels: dict[int, np.ndarray], state: DataFrame, step: int, bucket_bits: int) -> None:
     """Note ``step`` in the cells that have reached the threshold for the first time."""
-    width = level.size >> bucket_bits
-    for row in state.select("bucket", "bits").collect():
+    for row in state.filter("k > 0").select("k", "bucket", "bits").collect():
+        level = levels[row["k"]]
+        width = level.size >> bucket_bits
         part = level[row["bucket"] * width : (row["bucket"] + 1) * width]
         bits = np.unpackbits(np.frombuffer(zstandard.decompress(row["bits"]), dtype=np.uint8), count=width)
         part[(bits == 1) & (part == NEVER)] = step
@@ -207,7 +229,7 @@ def totals(state: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             for k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, counts = unpack(blob)
-                keep = counts >= threshold
+                keep = counts >= (threshold if k else 0)
                 keys = keys[keep]
                 yield frame(
                     _TOTAL, key=keys.view(np.int64), k=np.full(len(keys), k), n=counts[keep].astype(np.int64)
@@ -219,18 +241,15 @@ def totals(state: DataFrame, threshold: int) -> DataFrame:
 def named(docs: DataFrame, shipped) -> DataFrame:
     """Phrases of two and more words whose cell has reached the threshold, once for each task.
 
-    With the keys of the parts of their cuts; rows without key hold the words of a language.
+    With the keys of the parts of their cuts.
     """
 
     def fn(batches: Iterator[pa.RecordBatch]):
         levels = _levels(shipped)
         seen = {k: np.empty(0, np.uint64) for k in levels}
-        amount: dict[int, int] = {}
         for langs, raw, off in slices(batches, id_name="langh"):
             words = Words(langs.to_numpy(), raw, off)
             data = words.raw.tobytes()
-            for lang, n in zip(*np.unique(words.langs, return_counts=True), strict=True):
-                amount[int(lang)] = amount.get(int(lang), 0) + int(n)
             for k in range(2, LONGEST + 1):
                 level, own = levels[k], words.keys[k]
                 at = np.flatnonzero(words.whole[k])
@@ -250,16 +269,9 @@ def named(docs: DataFrame, shipped) -> DataFrame:
                     l1=signed(one[at]), r1=signed(rest[at + 1]),
                     l2=signed(rest[at]) if k > 2 else [None] * most,
                     r2=signed(one[at + k - 1]) if k > 2 else [None] * most,
-                    words=[None] * most,
                 )
-        if amount:
-            none = [None] * len(amount)
-            yield frame(
-                _NAME, key=none, k=none, langh=list(amount), phrase=none, l1=none, r1=none, l2=none,
-                r2=none, words=list(amount.values()),
-            )
-
-    schema = "key long, k int, langh long, phrase string, l1 long, r1 long, l2 long, r2 long, words long"
+
+    schema = "key long, k int, langh long, phrase string, l1 long, r1 long, l2 long, r2 long"
     return docs.select("langh", "text").mapInArrow(fn, schema)
 
 
@@ -279,33 +291,28 @@ def phrase_counts(docs: DataFrame, shards: int, threshold: int) -> tuple[DataFra
         F.col("text").cast("string").alias("text"),
     )
     levels = {k: np.full(1 << cell_bits, NEVER, dtype=np.uint8) for k in range(1, LONGEST + 1)}
-    state: dict[int, DataFrame] = {}
-    parts: dict[int, list[DataFrame]] = {k: [] for k in levels}
     packer = zstandard.ZstdCompressor(level=1)
+    waiting, counted = None, []  # counts of phrases whose cycle goes on, and of all others
 
     def ship(ks) -> object:
         return spark.sparkContext.broadcast({k: packer.compress(levels[k].tobytes()) for k in ks})
 
+    longest = []
     for step in range(LONGEST * shards):
-        # phrases of k words can begin in the steps from k - 1 to (k - 1) * shards
-        now = [k for k in levels if k - 1 <= step < k * shards]
         found = materialize(scan(prepared, ship(range(1, min(LONGEST, step + 1))), step, shards, bucket_bits))
-        for k in now:
-            own = found.filter(F.col("k") == k)
-            if k == LONGEST:  # needed at the end only
-                parts[k].append(own)
-                continue
-            blocks = state[k].select("k", "bucket", "blob").unionByName(own) if k in state else own
-            state[k] = materialize(merged(blocks, threshold, bucket_bits, cell_bits))
-            raise_levels(levels[k], state[k], step, bucket_bits)
-    last = parts[LONGEST][0]
-    for own in parts[LONGEST][1:]:
-        last = last.unionByName(own)
-    state[LONGEST] = materialize(merged(last, threshold, bucket_bits, cell_bits))
-    raise_levels(levels[LONGEST], state[LONGEST], LONGEST * shards, bucket_bits)
-    rows = state[1]
-    for k in range(2, LONGEST + 1):
-        rows = rows.unionByName(state[k])
+        longest.append(found.filter(F.col("k") == LONGEST))
+        if step >= (LONGEST - 1) * shards:  # only the longest are left, which are needed at the end
+            continue
+        shorter, complete = found.filter(F.col("k") < LONGEST), step - shards + 1
+        blocks = shorter if waiting is None else shorter.unionByName(waiting)
+        state = materialize(merged(blocks, threshold, bucket_bits, cell_bits, complete))
+        raise_levels(levels, state, step, bucket_bits)
+        counted.append(state.filter(F.col("began") <= complete))
+        waiting = state.filter(F.col("began") > complete).select(*_BLOCK.names)
+    blocks = functools.reduce(DataFrame.unionByName, longest)
+    state = materialize(merged(blocks, threshold, bucket_bits, cell_bits, LONGEST * shards))
+    raise_levels(levels, state, LONGEST * shards, bucket_bits)
+    rows = functools.reduce(DataFrame.unionByName, counted, state)
     return materialize(totals(rows, threshold)), levels, prepared
 
 
@@ -326,14 +333,14 @@ def collocations(
     shipped = docs.sparkSession.sparkContext.broadcast(
         {k: packer.compress(levels[k].tobytes()) for k in range(2, LONGEST + 1)}
     )
-    found = materialize(named(prepared, shipped))
     langs = (
         docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
         .distinct()
         .withColumn("langh", F.xxhash64("lang"))
     )
-    words = found.filter("key is null").groupBy("langh").agg(F.sum("words").alias("n"))
-    names = found.filter("key is not null").drop("words").dropDuplicates(["key"])
+    words = every.filter("k = 0").select(F.col("key").alias("langh"), "n")
+    every = every.filter("k > 0")
+    names = named(prepared, shipped).dropDuplicates(["key"])
     phrases = materialize(names.join(every.select("key", F.col("n").alias("a")), "key"))
     cuts = phrases.select(
         "key",

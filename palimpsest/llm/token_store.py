@@ -50,7 +50,7 @@ _HEAD = struct.Struct("<4sHHQQ")
 _ENTRY = struct.Struct("<qBQQ")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level alphabet: visible Latin-1 characters stand for themselves, others for U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in plain]
@@ -70,16 +70,22 @@ _ONE_WORD = re.compile(" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-/:-@[-`{-~]+)")
 
 
 class Encoder:
-    """Ids of whole texts with one vocabulary file of the tokenizers library."""
+    """Ids of whole texts with one vocabulary file of the tokenizers library.
 
-    def __init__(self, path: str):
+    The strings of special tokens in a text become their ids, as the library does it, or ordinary
+    text if ``plain`` is set.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.encode() for t in added]
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.units = UnitTable(self.dtype, CACHED_UNITS)
 
@@ -114,17 +120,24 @@ class Encoder:
         ends = np.append(starts[1:], len(raw))
         ids, done = self.units.gather(self.units.rows(raw, starts, ends, self.make))
         marks = np.concatenate([[0], done])[np.searchsorted(starts, off)]
-        return [ids[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
+        out = [ids[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
+        data = raw.tobytes() if self.special else b""
+        if any(s in data for s in self.special):  # such a text is encoded in one piece
+            for k, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
+                if any(s in data[a:b] for s in self.special):
+                    made = self.tokenizer.encode(data[a:b].decode(), add_special_tokens=False)
+                    out[k] = np.array(made.ids, dtype=self.dtype)
+        return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; it keeps its stretches from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int):
