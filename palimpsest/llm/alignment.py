@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrays import UnitTable, frame, over_texts, slices
+from palimpsest.llm.arrays import UnitTable, frame, kept, over_texts, slices
 from palimpsest.llm.phrases import pack, summed, unpack
-from palimpsest.llm.token_store import byte_letters, encoder
+from palimpsest.llm.token_store import Encoder, byte_letters
 from palimpsest.session import materialize
 
 MARK = "▁"
@@ -110,7 +110,7 @@ class Aligner:
     """Both vocabularies of a worker."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = encoder(path_a, plain=True), Pieces(path_b)
+        self.a, self.b = Encoder(path_a, plain=True), Pieces(path_b)
         back = {c: b for b, c in byte_letters().items()}
         vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=True)
         spelled = [b""] * (max(vocabulary.values()) + 1)
@@ -159,14 +159,9 @@ class Aligner:
         return cells[cells != 0].tobytes(), np.cumsum(length + 1)[i + j - 1]
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
-
-
 def aligner(path_a: str, path_b: str) -> Aligner:
     """The worker's vocabularies; they keep their stretches from task to task."""
-    if (path_a, path_b) not in _ALIGNERS:
-        _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
-    return _ALIGNERS[path_a, path_b]
+    return kept("aligner", (path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
 def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

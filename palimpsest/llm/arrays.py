@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20  # text handled at once
+CACHE_BYTES = 48 << 20  # of a table of remembered stretches
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _FOLDED = _BYTE.copy()
@@ -107,8 +108,8 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 class UnitTable:
     """Remembers, for stretches of text, an id array each; distinct stretches are made once.
 
-    Stretches are told apart by their 64-bit hash. A table that holds more than ``bound`` of them
-    forgets all before the next call.
+    Stretches are told apart by their 64-bit hash. A table that holds more than ``bound`` of them,
+    or more than ``CACHE_BYTES`` bytes, forgets all before the next call.
     """
 
     def __init__(self, dtype: np.dtype, bound: int):
@@ -130,7 +131,7 @@ class UnitTable:
         make: Callable[[list[bytes]], list[np.ndarray]],
     ) -> np.ndarray:
         """A row of ``start`` and ``count`` per stretch; ``make`` gets the new ones."""
-        if len(self.keys) > self.bound:
+        if len(self.keys) > self.bound or self.flat.nbytes + 32 * len(self.keys) > CACHE_BYTES:
             self.clear()
         hashed = word_hashes(raw, starts, ends, fold=False)
         distinct, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
@@ -162,6 +163,18 @@ class UnitTable:
         return self.flat[at], ends
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What ``make`` made for this key, kept in the worker until an operator of another kind asks."""
+    if any(other != kind for other, _ in _KEPT):
+        _KEPT.clear()
+    if (kind, key) not in _KEPT:
+        _KEPT[kind, key] = make()
+    return _KEPT[kind, key]
+
+
 def slices(
     batches: Iterator[pa.RecordBatch],
     id_name: str = "doc_id",

@@ -85,7 +85,7 @@ def measured(batches: Iterator[pa.RecordBatch]):
     """Per slice: ids, base counts per document, class histogram, and word cells per document."""
     for ids, raw, off in slices(batches):
         starts, ends = word_bounds(raw, off)
-        hashed = word_hashes(raw, starts, ends)
+        hashed, exact = word_hashes(raw, starts, ends), word_hashes(raw, starts, ends, fold=False)
         edges = np.searchsorted(starts, off)
         # characters begin at every byte that is no continuation byte
         inside = np.zeros(len(raw) + 1, dtype=np.int8)
@@ -107,7 +107,7 @@ def measured(batches: Iterator[pa.RecordBatch]):
                 [repeated_lines(data[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], np.int64
             ),
             "n_repeat_words": np.array(
-                [repeated_words(hashed[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int64
+                [repeated_words(exact[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int64
             ),
         }
         n = counts["n_words"]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.arrays import SLICE_BYTES, UnitTable, frame, over_texts, slices
+from palimpsest.llm.arrays import SLICE_BYTES, UnitTable, frame, kept, over_texts, slices
 from palimpsest.session import checkpoint_dir
 
 END_ID = 2
@@ -130,14 +130,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; it keeps its stretches from task to task."""
-    if (path, plain) not in _ENCODERS:
-        _ENCODERS[path, plain] = Encoder(path, plain)
-    return _ENCODERS[path, plain]
+    return kept("encoder", (path, plain), lambda: Encoder(path, plain))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.arrays import (
     UnitTable,
     frame,
+    kept,
     over_texts,
     slices,
     word_bounds,
@@ -109,6 +110,8 @@ def readings(word: str, k: int) -> list[tuple[str, float]]:
             return [("", 0.0)]
         return [("", DROP_SECOND), (c, KEEP_SECOND)] if word[k + 1 : k + 2] == c else [(c, 0.0)]
     found = [(letter, READ_SIGN) for letter in LOOKS_LIKE.get(c, "")]
+    if found and word[k - 1 : k].isalpha() and word[k + 1 : k + 2].isalpha():
+        return found  # between letters a sign is one itself
     return found + [("", DROP_SEPARATOR if c in SEPARATORS or not found else DROP_SIGN)]
 
 
@@ -267,16 +270,10 @@ class Reader:
         return [(pairs[a:b] % FEATURE_CELLS).astype(np.int32) for a, b in zip(marks[:-1], marks[1:], strict=True)]
 
 
-_READERS: dict[bytes, Reader] = {}
-
-
 def reader_of(model: np.ndarray, place: np.ndarray | None) -> Reader:
     """The worker's reader for a model; it keeps its words from task to task."""
     key = hashlib.sha256(model.tobytes() + (b"" if place is None else place.tobytes())).digest()
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(model, place)
-    return _READERS[key]
+    return kept("reader" + key.hex(), None, lambda: Reader(model, place))
 
 
 @dataclass

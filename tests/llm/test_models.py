@@ -26,7 +26,6 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def plain_store(rows):
     coder = Tokenizer.from_file(BPE)
-    coder.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array(coder.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
@@ -61,6 +60,43 @@ def test_stretches_encode_as_whole_texts(text):
     assert made.tolist() == B.encoder(BPE).tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_in_texts_are_those_of_the_library():
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "no <|endoftext| one", "two  <|endoftext|> <|endoftext|>x's"]
+    off = np.cumsum([0, *(len(t) for t in texts)])
+    made = B.encoder(BPE).encode(np.frombuffer("".join(texts).encode(), dtype=np.uint8), off)
+    coder = Tokenizer.from_file(BPE)
+    assert [m.tolist() for m in made] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("n", [7, 8, 299_999, 300_000])
+def test_runs_of_one_letter_are_searched_in_time(n):
+    found = S.lattice(PIECES, 3).search("x" * n)
+    assert len(found) == 3 and found[0][0] >= found[1][0] >= found[2][0]
+    if n < 10:
+        every = all_scores(S.lattice(PIECES, 3), "x" * n)
+        assert [round(s, 6) for s, _ in found] == [round(s, 6) for s in sorted(every, reverse=True)[:3]]
+
+
+def all_scores(lattice, text):
+    if not text:
+        return [0.0]
+    out = []
+    for k in range(1, len(text) + 1):
+        ids, score = lattice.pieces.get(text[:k], (None, 0.0))
+        if ids is not None:
+            out += [score + rest for rest in all_scores(lattice, text[k:])]
+    return out
+
+
+def test_scores_that_are_no_whole_numbers():
+    lattice = S.Lattice(PIECES, 3)
+    lattice.pieces = {p: (ids, score + 0.25 if ids else score) for p, (ids, score) in lattice.pieces.items()}
+    raw = np.frombuffer(b"xyx", dtype=np.uint8)
+    ((ids, score, losses),) = lattice.encode(raw, np.array([0, 3]))
+    every = sorted(all_scores(lattice, "▁xyx"), reverse=True)
+    assert score == pytest.approx(every[0]) and [score - x for x in losses] == pytest.approx(every[1:3])
+
+
 def test_shard_reads_one_document_and_checks_its_dictionary():
     import zstandard
 

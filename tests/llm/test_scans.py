@@ -250,6 +250,13 @@ def test_quality_counts(table):
         assert tuple(found[k][c] for c in COUNTS) == plain_quality(text)
 
 
+def test_repeats_are_told_apart_by_case(table):
+    eight = "One two three four five six seven Eight"
+    rows = [(1, eight + " " + eight.lower() + " a b c d"), (2, eight + " " + eight)]
+    found = {r["doc_id"]: r["n_repeat_words"] for r in Q.quality(table(rows)).collect()}
+    assert found == {1: 0, 2: 16}
+
+
 def test_quality_verdict(table):
     rnd = random.Random(8)
     words = "the of and to in cat dog runs over small house river".split()
