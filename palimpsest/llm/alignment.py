@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrays import UnitTable, frame, kept, over_texts, slices
-from palimpsest.llm.phrases import pack, summed, unpack
+from palimpsest.llm.arrays import UnitTable, frame, kept, over_texts, pack, slices, summed, unpack
 from palimpsest.llm.token_store import Encoder, byte_letters
 from palimpsest.session import materialize
 

@@ -12,6 +12,9 @@ scans by a map of a fixed number of cells with the step of their first phrase; p
 cell begin early and are counted in vain, which costs time and changes no count. Counts travel as
 sorted blocks, one for each task and range of hashes, and never leave the executors. Two phrases
 of a corpus with n distinct ones share a hash with a probability of n^2 / 2^65.
+
+Beside its count a phrase has the tag, one byte of the id's hash, of some document that holds it. A
+last scan reads the words of the phrases at the threshold out of the documents with their tag.
 """
 
 from __future__ import annotations
@@ -22,18 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from palimpsest.llm.arrays import frame, gram_hashes, mix, slices, word_hashes
+from palimpsest.llm.arrays import frame, gram_hashes, mix, pack, slices, unpack, word_hashes
+from palimpsest.operators.scale import top_per_group
 from palimpsest.session import estimated_bytes, materialize
 
 SHARDS = 2
 THRESHOLD = 10
 LONGEST = 3
 TOP = 2000
-NEVER = 255  # step of a cell that holds no phrase
+NEVER = 255  # step or tag of a cell that holds no phrase
+ANY = 254  # tag of a cell with phrases of several tags
 FLUSH = 1 << 21  # counted phrases after which a task lets them go
 BUCKET_BYTES = 16 << 20  # input bytes for each range of hashes, about
 
@@ -45,7 +49,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _BLOCK = pa.schema([("k", pa.int32()), ("began", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
-_STATE = pa.schema([*_BLOCK, ("bits", pa.binary())])
+_STATE = pa.schema([*_BLOCK, ("bits", pa.binary()), ("tags", pa.binary())])
 _TOTAL = pa.schema([("key", pa.int64()), ("k", pa.int32()), ("n", pa.int64())])
 _NAME = pa.schema(
     [("key", pa.int64()), ("k", pa.int32()), ("langh", pa.int64()), ("phrase", pa.string()),
@@ -54,9 +58,12 @@ _NAME = pa.schema(
 
 
 class Words:
-    """The words of some documents, with the keys of all phrases that lie within a piece."""
+    """The words of some documents, with the keys of all phrases that lie within a piece.
+
+    ``heads`` has the language hash of every document with its tag in the lowest byte.
+    """
 
-    def __init__(self, langs: np.ndarray, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, heads: np.ndarray, raw: np.ndarray, off: np.ndarray):
         self.raw = raw = _LOWER[raw]
         cut = np.zeros(len(raw) + 1, dtype=bool)
         cut[off] = True
@@ -66,7 +73,8 @@ class Words:
         ends[:-1] &= ~inside[1:] | cut[1:-1]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.doc = np.searchsorted(off, self.starts, "right") - 1
-        self.langs = langs[self.doc] if len(self.doc) else np.empty(0, np.int64)
+        heads = heads[self.doc] if len(self.doc) else np.empty(0, np.int64)
+        self.langs, self.tags = heads & ~np.int64(255), (heads & 255).view(np.uint64)
         piece = np.cumsum(_BREAK[raw])[self.starts] if len(raw) else self.starts
         hashed = word_hashes(raw, self.starts, self.ends, fold=False)
         keys = mix(hashed ^ mix(self.langs.view(np.uint64)))
@@ -84,46 +92,36 @@ def cells_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys as differences, and counts, byte plane by byte plane."""
-    steps = keys.copy()
-    steps[1:] = keys[1:] - keys[:-1]
-    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel() for x in (steps, counts)]
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(2, 8, -1)
-    steps, counts = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes)
-    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.uint64)
-
-
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in ascending order and the sums of their counts."""
-    every, amount = np.concatenate(keys), np.concatenate(counts)
+def tagged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``summed`` for values of count * 256 + tag; of the tags of a key one stays."""
+    every, amount = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(every, kind="stable")
     every, amount = every[order], amount[order]
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
-    return every[first], np.add.reduceat(amount, first) if len(first) else amount
+    if not len(first):
+        return every, amount
+    low = amount & np.uint64(255)
+    return every[first], np.add.reduceat(amount - low, first) + low[first]
 
 
 def active(
     words: Words, k: int, levels: dict[int, np.ndarray], step: int, shards: int
-) -> Iterator[tuple[int, np.ndarray]]:
-    """(step they began in, keys) of the phrases of ``k`` words to be counted in this step.
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(step they began in, keys, tags) of the phrases of ``k`` words to be counted in this step.
 
     There is one key for each occurrence. ``k`` = 0 stands for the language of a word.
     """
     if k < 2:
         if step < shards:
-            yield 0, words.keys[1] if k else words.langs.view(np.uint64)
+            yield 0, words.keys[1] if k else words.langs.view(np.uint64), words.tags
         return
     level = levels[k - 1]
     began = level[cells_of(words.keys[k - 1], level.size.bit_length() - 1)].astype(np.int64)
     began = np.maximum(began[:-1], began[1:])[: len(words.keys[k])] + 1
     began[~words.whole[k]] = NEVER
     for first in range(max(0, step - shards + 1), step + 1):
-        yield first, words.keys[k][began == first]
+        at = np.flatnonzero(began == first)
+        yield first, words.keys[k][at], words.tags[at]
 
 
 def _levels(shipped) -> dict[int, np.ndarray]:
@@ -139,23 +137,23 @@ def scan(docs: DataFrame, shipped, step: int, shards: int, bucket_bits: int) ->
         held: dict[tuple[int, int], list] = {}
 
         def flush(k: int, began: int):
-            keys, counts = summed(*zip(*held.pop((k, began)), strict=True))
+            keys, values = tagged(*zip(*held.pop((k, began)), strict=True))
             bucket = cells_of(keys, bucket_bits)
             marks = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else []
             for a, b in zip(marks, [*marks[1:], len(keys)], strict=True):
-                blob = pack(keys[a:b], counts[a:b])
+                blob = pack(keys[a:b], values[a:b])
                 yield frame(_BLOCK, k=[k], began=[began], bucket=[int(bucket[a])], blob=[blob])
 
-        for langs, raw, off in slices(batches, id_name="langh"):
-            words = Words(langs.to_numpy(), raw, off)
+        for heads, raw, off in slices(batches, id_name="head"):
+            words = Words(heads.to_numpy(), raw, off)
             for k in range(LONGEST + 1):
                 if k > 1 and k - 1 not in levels:
                     break
-                for began, every in active(words, k, levels, step, shards):
-                    keys, counts = np.unique(every, return_counts=True)
+                for began, every, tags in active(words, k, levels, step, shards):
+                    keys, first, counts = np.unique(every, return_index=True, return_counts=True)
                     if len(keys):
                         own = held.setdefault((k, began), [])
-                        own.append((keys, counts.astype(np.uint64)))
+                        own.append((keys, counts.astype(np.uint64) * np.uint64(256) + tags[first]))
                         if sum(len(x) for x, _ in own) > FLUSH:
                             yield from flush(k, began)
         for k, began in list(held):
@@ -163,7 +161,7 @@ def scan(docs: DataFrame, shipped, step: int, shards: int, bucket_bits: int) ->
 
     return (
         docs.filter(shard == step % shards)
-        .select("langh", "text")
+        .select("head", "text")
         .mapInArrow(fn, "k int, began int, bucket int, blob binary")
     )
 
@@ -171,22 +169,31 @@ def scan(docs: DataFrame, shipped, step: int, shards: int, bucket_bits: int) ->
 def merged(
     blocks: DataFrame, threshold: int, bucket_bits: int, cell_bits: int, complete: int
 ) -> DataFrame:
-    """One row (k, began, bucket, blob, bits) for each range: its counts, its cells at the threshold.
+    """One row (k, began, bucket, blob, bits, tags) for each range: counts, cells at the threshold.
 
     Of phrases that began by the step ``complete`` the cycle is over: only those at the threshold
-    are kept, and language totals.
+    are kept, and language totals, and the tags of their cells are told.
     """
 
     def done(k: int, began: int, bucket: int, held: list):
-        keys, counts = summed(*zip(*held, strict=True))
+        packer = zstandard.ZstdCompressor(level=1)
+        keys, values = tagged(*zip(*held, strict=True))
         low = bucket << (cell_bits - bucket_bits)
-        reached = np.zeros(1 << (cell_bits - bucket_bits), dtype=bool)
-        enough = counts >= threshold
-        reached[cells_of(keys[enough], cell_bits) - low] = True
-        bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(reached).tobytes())
+        width = 1 << (cell_bits - bucket_bits)
+        enough = values >= np.uint64(threshold << 8)
+        reached, tags = np.zeros(width, dtype=bool), b""
+        cells = cells_of(keys[enough], cell_bits) - low
+        reached[cells] = True
         if began <= complete and k:
-            keys, counts = keys[enough], counts[enough]
-        return frame(_STATE, k=[k], began=[began], bucket=[bucket], blob=[pack(keys, counts)], bits=[bits])
+            keys, values = keys[enough], values[enough]
+            own, least, most = (values & np.uint64(255)).astype(np.uint8), np.full(width, ANY, "u1"), np.zeros(width, "u1")
+            np.minimum.at(least, cells, own)
+            np.maximum.at(most, cells, own)
+            tags = packer.compress(np.where(least == most, least, ANY)[reached].astype("u1").tobytes())
+        return frame(
+            _STATE, k=[k], began=[began], bucket=[bucket], blob=[pack(keys, values)],
+            bits=[packer.compress(np.packbits(reached).tobytes())], tags=[tags],
+        )
 
     def fn(batches: Iterator[pa.RecordBatch]):
         at, held, size = None, [], 0
@@ -199,7 +206,7 @@ def merged(
                 held.append(unpack(blob))
                 size += len(held[-1][0])
                 if size > FLUSH:
-                    held = [summed(*zip(*held, strict=True))]
+                    held = [tagged(*zip(*held, strict=True))]
                     size = len(held[0][0]) // 2
         if at is not None:
             yield done(*at, held)
@@ -208,18 +215,26 @@ def merged(
         blocks.select("k", "began", "bucket", "blob")
         .repartition(F.xxhash64("k", "began", "bucket"))
         .sortWithinPartitions("k", "began", "bucket")
-        .mapInArrow(fn, "k int, began int, bucket int, blob binary, bits binary")
+        .mapInArrow(fn, "k int, began int, bucket int, blob binary, bits binary, tags binary")
     )
 
 
-def raise_levels(levels: dict[int, np.ndarray], state: DataFrame, step: int, bucket_bits: int) -> None:
-    """Note ``step`` in the cells that have reached the threshold for the first time."""
-    for row in state.filter("k > 0").select("k", "bucket", "bits").collect():
-        level = levels[row["k"]]
-        width = level.size >> bucket_bits
-        part = level[row["bucket"] * width : (row["bucket"] + 1) * width]
+def raise_levels(
+    levels: dict[int, np.ndarray], tags: dict[int, np.ndarray], state: DataFrame, step: int, bucket_bits: int
+) -> None:
+    """Note ``step`` in the cells that have reached the threshold for the first time, and tags."""
+    for row in state.filter("k > 0").select("k", "bucket", "bits", "tags").collect():
+        k = row["k"]
+        width = levels[k].size >> bucket_bits
+        own = slice(row["bucket"] * width, (row["bucket"] + 1) * width)
         bits = np.unpackbits(np.frombuffer(zstandard.decompress(row["bits"]), dtype=np.uint8), count=width)
+        part = levels[k][own]
         part[(bits == 1) & (part == NEVER)] = step
+        if row["tags"] and k in tags:
+            new, part = np.frombuffer(zstandard.decompress(row["tags"]), dtype=np.uint8), tags[k][own]
+            at = np.flatnonzero(bits)
+            old = part[at]
+            part[at] = np.where((old == NEVER) | (old == new), new, ANY)
 
 
 def totals(state: DataFrame, threshold: int) -> DataFrame:
@@ -228,7 +243,8 @@ def totals(state: DataFrame, threshold: int) -> DataFrame:
     def fn(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, counts = unpack(blob)
+                keys, values = unpack(blob)
+                counts = values >> np.uint64(8)
                 keep = counts >= (threshold if k else 0)
                 keys = keys[keep]
                 yield frame(
@@ -239,21 +255,22 @@ def totals(state: DataFrame, threshold: int) -> DataFrame:
 
 
 def named(docs: DataFrame, shipped) -> DataFrame:
-    """Phrases of two and more words whose cell has reached the threshold, once for each task.
+    """Phrases of two and more words whose cell has the document's tag, once for each task.
 
-    With the keys of the parts of their cuts.
+    With the keys of the parts of their cuts. ``shipped`` has the tags of the cells.
     """
 
     def fn(batches: Iterator[pa.RecordBatch]):
-        levels = _levels(shipped)
-        seen = {k: np.empty(0, np.uint64) for k in levels}
-        for langs, raw, off in slices(batches, id_name="langh"):
-            words = Words(langs.to_numpy(), raw, off)
+        tags = _levels(shipped)
+        seen = {k: np.empty(0, np.uint64) for k in tags}
+        for heads, raw, off in slices(batches, id_name="head"):
+            words = Words(heads.to_numpy(), raw, off)
             data = words.raw.tobytes()
             for k in range(2, LONGEST + 1):
-                level, own = levels[k], words.keys[k]
+                wanted, own = tags[k], words.keys[k]
                 at = np.flatnonzero(words.whole[k])
-                at = at[level[cells_of(own[at], level.size.bit_length() - 1)] != NEVER]
+                told = wanted[cells_of(own[at], wanted.size.bit_length() - 1)]
+                at = at[(told == words.tags[at]) | (told == ANY)]
                 keys, first = np.unique(own[at], return_index=True)
                 place = np.minimum(np.searchsorted(seen[k], keys), max(0, len(seen[k]) - 1))
                 new = seen[k][place] != keys if len(seen[k]) else np.ones(len(keys), dtype=bool)
@@ -272,7 +289,12 @@ def named(docs: DataFrame, shipped) -> DataFrame:
                 )
 
     schema = "key long, k int, langh long, phrase string, l1 long, r1 long, l2 long, r2 long"
-    return docs.select("langh", "text").mapInArrow(fn, schema)
+    return docs.select("head", "text").mapInArrow(fn, schema)
+
+
+def lang_hash(lang: Column) -> Column:
+    """Hash of a language, null as ``und``, whose lowest byte is free."""
+    return F.shiftleft(F.shiftright(F.xxhash64(F.coalesce(lang.cast("string"), F.lit("und"))), 8), 8)
 
 
 def _log2(x: float, low: int, high: int) -> int:
@@ -280,17 +302,18 @@ def _log2(x: float, low: int, high: int) -> int:
 
 
 def phrase_counts(docs: DataFrame, shards: int, threshold: int) -> tuple[DataFrame, dict[int, np.ndarray], DataFrame]:
-    """(key, k, n) at the threshold, the cells that hold such phrases, and the prepared documents."""
+    """(key, k, n) at the threshold, the tags of their cells, and the prepared documents."""
     spark = docs.sparkSession
     size = estimated_bytes(docs)
     bucket_bits = _log2(size / BUCKET_BYTES, 6, 16)
     cell_bits = _log2(size / 16, 20, 26)
     prepared = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit("und"))).alias("langh"),
+        (lang_hash(F.col("lang")) + F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(ANY))).alias("head"),
         F.col("text").cast("string").alias("text"),
     )
     levels = {k: np.full(1 << cell_bits, NEVER, dtype=np.uint8) for k in range(1, LONGEST + 1)}
+    tags = {k: level.copy() for k, level in levels.items() if k > 1}
     packer = zstandard.ZstdCompressor(level=1)
     waiting, counted = None, []  # counts of phrases whose cycle goes on, and of all others
 
@@ -306,14 +329,14 @@ def phrase_counts(docs: DataFrame, shards: int, threshold: int) -> tuple[DataFra
         shorter, complete = found.filter(F.col("k") < LONGEST), step - shards + 1
         blocks = shorter if waiting is None else shorter.unionByName(waiting)
         state = materialize(merged(blocks, threshold, bucket_bits, cell_bits, complete))
-        raise_levels(levels, state, step, bucket_bits)
+        raise_levels(levels, tags, state, step, bucket_bits)
         counted.append(state.filter(F.col("began") <= complete))
         waiting = state.filter(F.col("began") > complete).select(*_BLOCK.names)
     blocks = functools.reduce(DataFrame.unionByName, longest)
     state = materialize(merged(blocks, threshold, bucket_bits, cell_bits, LONGEST * shards))
-    raise_levels(levels, state, LONGEST * shards, bucket_bits)
+    raise_levels(levels, tags, state, LONGEST * shards, bucket_bits)
     rows = functools.reduce(DataFrame.unionByName, counted, state)
-    return materialize(totals(rows, threshold)), levels, prepared
+    return materialize(totals(rows, threshold)), tags, prepared
 
 
 def collocations(
@@ -328,15 +351,15 @@ def collocations(
     or more. Null texts are empty, a null language is ``und``, repeated rows count as often as
     they come, null ids too; other columns are not read.
     """
-    every, levels, prepared = phrase_counts(docs, shards, threshold)
+    every, tags, prepared = phrase_counts(docs, shards, threshold)
     packer = zstandard.ZstdCompressor(level=1)
     shipped = docs.sparkSession.sparkContext.broadcast(
-        {k: packer.compress(levels[k].tobytes()) for k in range(2, LONGEST + 1)}
+        {k: packer.compress(tags[k].tobytes()) for k in tags}
     )
     langs = (
         docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
         .distinct()
-        .withColumn("langh", F.xxhash64("lang"))
+        .withColumn("langh", lang_hash(F.col("lang")))
     )
     words = every.filter("k = 0").select(F.col("key").alias("langh"), "n")
     every = every.filter("k > 0")
@@ -367,15 +390,14 @@ def collocations(
         .groupBy("key")
         .agg(F.max("a").alias("around"))
     )
-    order = Window.partitionBy("langh").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = (
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    found = (
         phrases.select("key", "langh", "phrase", "a")
         .join(best.select("key", "best.*"), "key")
         .join(around, "key", "left")
         .filter("around is null or 100 * around < 50 * a")
-        .withColumn("rank", F.row_number().over(order).cast("long"))
-        .filter(F.col("rank") <= top)
     )
+    ranked = top_per_group(found, ["langh"], order, top).withColumn("rank", F.col("rank").cast("long"))
     return (
         ranked.join(words, "langh")
         .join(langs, "langh")
