@@ -10,6 +10,8 @@ from palimpsest.functions.memory_rules import candidate, reply_items, rule_memor
 from palimpsest.functions.text import comparison_tokens, jaccard, strip, word_count
 from palimpsest.operators.scale import folded_patches
 from palimpsest.operators.search import keyword_search
+from palimpsest.operators.similarity import first_independent, similar_sets
+from palimpsest.session import materialize
 
 SIMILAR = 0.7
 COMPARED_HITS = 5
@@ -144,26 +146,37 @@ def drop_similar(candidates: DataFrame, memories: DataFrame, threshold: float =
     return candidates.join(near, "id", "left_anti")
 
 
+def suppress_similar(candidates: DataFrame, memories: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """Candidates (id, text) as if added one by one, smallest id first, each unless it is similar to
+    a live memory or to a candidate added before it.
+
+    Similar are texts whose distinct folded words have a Jaccard similarity of ``threshold`` or
+    more; texts without words are like nothing. All pairs count, not only the best keyword hits.
+    """
+    words = comparison_tokens(F.col("text")).alias("tokens")
+    sets = materialize(candidates.select("id", words))
+    live = memories.filter(~F.col("archived")).select("id", words)
+    known = similar_sets(sets, live, threshold).select(F.col("left_id").alias("id"))
+    # of equal sets the first speaks for all; the others are like it
+    own = F.when(F.size("tokens") > 0, F.to_json(F.array_sort("tokens"))).otherwise(F.to_json(F.array(F.struct("id"))))
+    first = sets.groupBy(own.alias("_w")).agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
+    fresh = materialize(first.select("id", "tokens").join(known, "id", "left_anti"))
+    edges = similar_sets(fresh, fresh, threshold).filter("left_id < right_id")
+    kept = first_independent(fresh.select("id"), edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    return candidates.join(kept, "id", "left_semi")
+
+
 def extract_from_replies(
     replies: DataFrame, memories: DataFrame, min_confidence: float = 0.5
 ) -> DataFrame:
-    """New memories from a table of model replies.
+    """New memories from a table of model replies, by (source_ref, position in the reply).
 
-    Candidates with the same words are kept once per batch; each is then compared with the
-    memories as they stood before the batch.
+    A candidate similar to a live memory, or to one that an earlier candidate became, is left out.
     """
-    found = filter_candidates(replies, min_confidence)
-    words = F.array_sort(comparison_tokens(F.col("text")))
-    once = (
-        found.groupBy(words.alias("_w"))
-        .agg(F.min_by(F.struct(*found.columns), F.struct("source_ref", "pos")).alias("_c"))
-        .select("_c.*")
-        .withColumn(
-            "id", hash_long(F.lit("extracted"), F.col("source_ref"), F.col("pos").cast("string"))
-        )
-    )
-    return drop_similar(once, memories).select(
-        F.col("id").cast("string").alias("uid"),
+    found = filter_candidates(replies, min_confidence).withColumn("id", F.struct("source_ref", "pos"))
+    uid = hash_long(F.lit("extracted"), F.col("source_ref"), F.col("pos").cast("string"))
+    return suppress_similar(found, memories).select(
+        uid.cast("string").alias("uid"),
         "kind",
         "text",
         F.lit("extracted").alias("source_kind"),

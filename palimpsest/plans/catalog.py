@@ -3,6 +3,7 @@
 from palimpsest.plans import (  # noqa: F401
     corpus_queries,
     evaluation_queries,
+    index_queries,
     memory_queries,
     search_queries,
     source_queries,

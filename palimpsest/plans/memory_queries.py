@@ -191,8 +191,40 @@ def dissimilar_candidates(spark, sf):
     return mem_ops.drop_similar(asked, stored, 0.1).select("id")
 
 
-@query("reply_memories")
+_WORDS = "list_distinct(list_filter(string_split_regex(" + q.casefold("text") + ", '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''))"
+
+
+@query(
+    "reply_memories",
+    q.with_tables(
+        "chat_lines",
+        "mem",
+        recursive=True,
+        **_CANDIDATES,
+        c=f"""SELECT *, row_number() OVER (ORDER BY ref, pos) AS i, {_WORDS} AS w FROM (
+            SELECT 'r' || conv_id || '-' || turn AS ref, CAST(pos AS INTEGER) AS pos, t AS text,
+              CASE WHEN ln % 2 = 0 THEN 'preference' ELSE 'fact' END AS kind
+            FROM n JOIN s USING (conv_id, turn)
+            WHERE wc >= 4 AND pos < 8 AND length(t) >= 4 AND (ln % 4) / 4 + 0.25 >= 0.5)""",
+        m=f"SELECT id, {_WORDS} AS w FROM mem WHERE NOT archived",
+        cw="SELECT i, len(w) AS n, unnest(w) AS x FROM c",
+        mw="SELECT id, len(w) AS n, unnest(w) AS x FROM m",
+        known="SELECT DISTINCT i FROM (SELECT i, id FROM cw JOIN mw USING (x) GROUP BY i, id, cw.n, mw.n "
+        "HAVING count(*) / (cw.n + mw.n - count(*)) >= 0.7)",
+        fresh="SELECT * FROM cw WHERE i NOT IN (SELECT i FROM known)",
+        edge="SELECT a.i AS a, b.i AS b FROM fresh a JOIN fresh b ON a.x = b.x AND a.i < b.i GROUP BY a.i, b.i, a.n, b.n "
+        "HAVING count(*) / (a.n + b.n - count(*)) >= 0.7",
+        late="SELECT b AS i, list(a) AS earlier, row_number() OVER (ORDER BY b) AS j FROM edge GROUP BY b",
+        walk="""SELECT CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS gone
+          UNION ALL SELECT walk.j + 1, CASE WHEN len(list_filter(earlier, lambda e: NOT list_contains(gone, e))) = 0
+            THEN gone ELSE list_append(gone, i) END FROM walk JOIN late ON late.j = walk.j + 1""",
+        dropped="SELECT unnest(gone) AS i FROM (SELECT gone FROM walk ORDER BY j DESC LIMIT 1)",
+    )
+    + f"""SELECT {q.hash_long("'extracted'", "ref", "pos")}::VARCHAR AS uid, kind, ref AS source_ref, md5(text) AS text_md5
+      FROM c WHERE i NOT IN (SELECT i FROM known) AND i NOT IN (SELECT i FROM dropped)""",
+)
 def reply_memories(spark, sf):
+    """Candidates of a batch that holds near copies, of each other and of stored memories."""
     rows = mem_ops.extract_from_replies(
         model_replies(spark, sf).filter("source_ref is not null"), memories(spark, sf)
     )
