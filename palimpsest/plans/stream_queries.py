@@ -17,7 +17,10 @@ from palimpsest.plans.registry import ORACLES, query
 from palimpsest.plans.training_queries import _TURN_SQL
 from palimpsest.session import checkpoint_dir
 from palimpsest.streaming import captures as cs
+from palimpsest.streaming import retention as rt
 from palimpsest.streaming import state as st
+from palimpsest.streaming import turns as tn
+from palimpsest.streaming.tables import BucketedTable
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -25,9 +28,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(spark: SparkSession, rows: DataFrame, path: str, files: int = 4) -> DataFrame:
-    """Write a table as arriving files and read them as a stream, two files per micro-batch."""
-    rows.repartition(files).write.parquet(path)
+def as_stream(spark: SparkSession, rows: DataFrame, path: str, files: int = 4, by: str | None = None) -> DataFrame:
+    """Write a table as arriving files and read them as a stream, two files per micro-batch.
+
+    The rows are dealt to the files by a hash of ``by``, or in turn.
+    """
+    dealt = rows.repartition(files) if by is None else rows.repartition(files, F.xxhash64(by, F.lit(3)))
+    dealt.write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -48,8 +55,11 @@ def stream_capture_dedup(spark, sf):
     """Captures that arrive twice come out once."""
     home = work_dir(spark, "dedup")
     stream = as_stream(spark, _arrived(spark, sf), f"{home}/in")
-    cs.write_available(cs.dedup_captures(stream), f"{home}/out", f"{home}/ckpt")
-    return spark.read.parquet(f"{home}/out").select("uid", to_iso(F.col("client_ts")).alias("at"))
+    seen = BucketedTable(f"{home}/seen", "uid string", "uid", 16)
+    tables = cs.CaptureTables(f"{home}/tables")
+    writer = cs.guarded(seen, lambda batch, number: tables.write(batch, "captures", number))
+    cs.run_available(stream, writer, f"{home}/ckpt")
+    return spark.read.parquet(f"{home}/tables/captures").select("uid", to_iso(F.col("client_ts")).alias("at"))
 
 
 @query(
@@ -84,9 +94,9 @@ def stream_embeddings(spark, sf):
     home = work_dir(spark, "embed")
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     stream = as_stream(spark, rows.unionByName(rows), f"{home}/in")
-    tables = cs.CaptureTables(f"{home}/tables")
-    cs.run_available(stream, cs.embed_writer(tables, hash_embedder(16)), f"{home}/ckpt")
-    return spark.read.parquet(f"{home}/tables/embeddings").select("owner_id", "dim")
+    table_ = cs.embedding_table(f"{home}/embeddings", 16)
+    cs.run_available(stream, cs.embed_writer(table_, hash_embedder(16), compact_every=2), f"{home}/ckpt")
+    return table_.read(spark).select("owner_id", "dim")
 
 
 @query(
@@ -95,9 +105,10 @@ def stream_embeddings(spark, sf):
       QUALIFY sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 40000""",
 )
 def stream_retention(spark, sf):
-    """In one micro-batch the live spool equals the batch result."""
+    """Entries arrive in any order over three micro-batches; what is kept equals the batch result."""
     from palimpsest.plans.adapters import table
 
+    st.use_rocksdb(spark)
     home = work_dir(spark, "spool")
     entries = table(spark, sf, "events").select(
         F.col("user_id").alias("device"),
@@ -105,13 +116,9 @@ def stream_retention(spark, sf):
         F.col("ts").cast("timestamp").alias("ts"),
         F.round(F.col("value") * 100).cast("long").alias("size"),
     )
-    entries.write.parquet(f"{home}/in")
-    stream = spark.readStream.schema(entries.schema).parquet(f"{home}/in")
-    tables = cs.CaptureTables(f"{home}/tables")
-    cs.run_available(stream, cs.retention_writer(tables, 40_000), f"{home}/ckpt")
-    spool = spark.read.parquet(f"{home}/tables/spool")
-    newest = spool.agg(F.max("epoch").alias("epoch"))
-    return spool.join(F.broadcast(newest), "epoch").select("device", "uid")
+    stream = as_stream(spark, entries, f"{home}/in", 6, "uid")
+    cs.write_available(rt.stream_retention(stream, 40_000), f"{home}/out", f"{home}/ckpt")
+    return rt.kept_entries(spark.read.parquet(f"{home}/out")).select("device", "uid")
 
 
 def _device_frames(spark, sf):
@@ -176,19 +183,14 @@ def stream_gate(spark, sf):
 
 @query("stream_turns", _TURN_SQL + "SELECT conversation_id, turn_no, role, md5(text) AS text_md5, n_messages FROM turn")
 def stream_turns(spark, sf):
-    """The live twin of turn building; a closing row per conversation lets out its last turn."""
+    """The live twin of turn building: messages arrive in any order over three micro-batches."""
     st.use_rocksdb(spark)
     home = work_dir(spark, "turns")
     rows = training_rows(chat_messages(spark, sf)).join(
         turn_conversations(spark, sf).select("conversation_id", "is_group"), "conversation_id"
     ).select("conversation_id", "id", "ts", "is_me", "is_group", "sender_name", "text")
-    ends = rows.groupBy("conversation_id").agg(
-        (F.max("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), F.max("id").alias("id")
-    )
-    rows = rows.unionByName(ends, allowMissingColumns=True)
-    rows.write.parquet(f"{home}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
-    cs.write_available(st.stream_turns(stream), f"{home}/out", f"{home}/ckpt")
-    return spark.read.parquet(f"{home}/out").select(
+    stream = as_stream(spark, rows, f"{home}/in", 6, "id")
+    cs.write_available(tn.stream_turns(stream), f"{home}/out", f"{home}/ckpt")
+    return tn.current_turns(spark.read.parquet(f"{home}/out")).select(
         "conversation_id", "turn_no", "role", F.md5("text").alias("text_md5"), "n_messages"
     )

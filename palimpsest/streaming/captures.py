@@ -14,10 +14,10 @@ from palimpsest.operators.captures import as_messages, route_captures
 from palimpsest.operators.embeddings import embed_rows
 from palimpsest.operators.ingest import MESSAGES_DDL, SourceRef, classify_batch, new_messages
 from palimpsest.operators.memories import extract_memories
-from palimpsest.operators.retention import enforce_cap
 from palimpsest.operators.voice import MIN_ENROLL_SAMPLES, enroll
 from palimpsest.schema import PROFILE
 from palimpsest.session import materialize
+from palimpsest.streaming.tables import BucketedTable
 
 CAPTURE_SOURCE = SourceRef("capture", "Captures", "captures")
 
@@ -25,11 +25,28 @@ CAPTURE_SOURCE = SourceRef("capture", "Captures", "captures")
 def dedup_captures(stream: DataFrame) -> DataFrame:
     """The first arrival of each uid, however late it comes or is repeated.
 
-    There is no watermark: one uid per capture stays in the state store, dealt by uid.
+    There is no watermark: one uid per capture stays in the state store, dealt by uid. ``guarded``
+    does without that state.
     """
     return stream.dropDuplicates(["uid"])
 
 
+def guarded(seen: BucketedTable, writer):
+    """A ``foreachBatch`` function that hands ``writer`` the rows whose uid no earlier batch had.
+
+    ``seen`` keeps the uids; a batch reads the buckets of its own ones, so a repeat is found however
+    late it comes and the stream itself holds no state. The uids are written last: a batch that
+    failed before comes again as it was.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = materialize(seen.unseen(batch.dropDuplicates([seen.key]), batch_id))
+        writer(fresh, batch_id)
+        seen.write(fresh.select(seen.key), batch_id)
+
+    return write
+
+
 @dataclass(frozen=True)
 class CaptureTables:
     """Append-only parquet tables under one path, one folder per micro-batch.
@@ -122,36 +139,26 @@ def _latest_profile(history: DataFrame) -> DataFrame:
     return history.orderBy(F.col("seq").desc()).limit(1).drop("seq")
 
 
-def embed_writer(tables: CaptureTables, embedder: Embedder, owner_kind: str = "message"):
-    """A ``foreachBatch`` function that embeds new rows (id, text) not embedded before."""
+EMBEDDED = "owner_kind string, owner_id bigint, model string, dim int, vec array<float>"
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        ddl = "owner_kind string, owner_id bigint, model string, dim int, vec array<float>"
-        done = tables.read(batch.sparkSession, "embeddings", ddl, batch_id).filter(
-            (F.col("owner_kind") == owner_kind) & (F.col("model") == embedder.name)
-        )
-        fresh = batch.dropDuplicates(["id"]).join(
-            done.select(F.col("owner_id").alias("id")), "id", "left_anti"
-        )
-        tables.write(embed_rows(fresh, embedder, owner_kind), "embeddings", batch_id)
 
-    return write
+def embedding_table(path: str, buckets: int = 64) -> BucketedTable:
+    return BucketedTable(path, EMBEDDED, "owner_id", buckets)
 
 
-def retention_writer(tables: CaptureTables, max_bytes: int):
-    """A ``foreachBatch`` function that keeps each device's spool within ``max_bytes``.
+def embed_writer(table: BucketedTable, embedder: Embedder, owner_kind: str = "message", compact_every: int = 16):
+    """A ``foreachBatch`` function that embeds new rows (id, text) not embedded before.
 
-    Every batch writes the spool as it stands; the newest folder is the live one.
+    A batch reads the ids in the buckets of its own rows. Every ``compact_every`` batches the
+    table is compacted, so the files of a bucket don't pile up.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spool = tables.read(spark, "spool", T.StructType(list(batch.schema.fields) + [T.StructField("epoch", T.LongType())]), batch_id)
-        newest = spool.agg(F.max("epoch").alias("e")).first()["e"]
-        held = spool.filter(F.col("epoch") == newest).drop("epoch") if newest is not None else spool.drop("epoch")
-        rows = held.unionByName(batch.join(held.select("device", "uid"), ["device", "uid"], "left_anti"))
-        kept = enforce_cap(rows, max_bytes).filter("kept").drop("kept")
-        tables.write(kept.withColumn("epoch", F.lit(batch_id).cast("long")), "spool", batch_id)
+        rows = batch.dropDuplicates(["id"]).withColumnRenamed("id", "owner_id")
+        fresh = table.unseen(rows, batch_id).withColumnRenamed("owner_id", "id")
+        table.write(embed_rows(materialize(fresh), embedder, owner_kind), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            table.compact(batch.sparkSession, batch_id)
 
     return write
 

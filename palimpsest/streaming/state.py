@@ -1,4 +1,4 @@
-"""Stateful stream operators: noise floor, speech segments, loudness gate, live turns."""
+"""Stateful stream operators: noise floor, speech segments, loudness gate."""
 
 from __future__ import annotations
 
@@ -8,12 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from palimpsest.operators.segments import SegmentRules
-from palimpsest.operators.turns import BURST_GAP_S
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -269,90 +266,3 @@ def stream_gate(levels: DataFrame, threshold_db: float, **rules) -> DataFrame:
     return levels.groupBy("device").transformWithStateInPandas(
         Gate(threshold_db, **rules), schema, "append", "none"
     )
-
-
-# --- live turns -------------------------------------------------------------------------
-
-
-class LiveTurns(_Keyed):
-    """The streaming twin of burst-to-turn merging, keyed by conversation.
-
-    An open turn is emitted when the other side writes, when the gap is exceeded, or when a row
-    without ``is_me`` ends the conversation. Messages count in order of arrival between
-    micro-batches and of (ts, id) within one; none is dropped as late.
-    """
-
-    schema = "no bigint, role string, text string, ts timestamp, names array<string>, n bigint"
-
-    def __init__(self, gap_s: int = BURST_GAP_S):
-        self.gap = pd.Timedelta(seconds=gap_s)
-
-    def _emit(self, key, turns: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(turns, columns=["turn_no", "role", "text", "ts", "names", "n_messages"])
-        out.insert(0, "conversation_id", key[0])
-        return out
-
-    def _save(self, t: tuple) -> None:
-        no, role, text, ts, names, n = t
-        self.value.update((no, role, text, pd.Timestamp(ts).to_pydatetime(), list(names), n))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        messages = _ordered(rows, "ts", "id")
-        done: list[tuple] = []
-        turn = self.load()
-        lines: list[str] = []  # of the open turn, since the last micro-batch
-        for m in messages.itertuples():
-            if m.is_me is None:
-                if turn and turn[5] > 0:
-                    done.append(self._joined(turn, lines))
-                    # An empty remainder keeps the numbering.
-                    turn, lines = (turn[0], "", "", turn[3], [], 0), []
-                continue
-            line = (m.text or "").strip()
-            if not line:
-                continue
-            role = "assistant" if m.is_me else "user"
-            name = m.sender_name if isinstance(m.sender_name, str) and m.sender_name else "Them"
-            if role == "user" and m.is_group:
-                line = f"{name}: {line}"
-            names = [name] if role == "user" else []
-            if turn and turn[1] == role and m.ts - pd.Timestamp(turn[3]) <= self.gap:
-                known = list(turn[4])
-                merged = known + [x for x in names if x not in known]
-                turn = (turn[0], role, turn[2], m.ts, merged, turn[5] + 1)
-                lines.append(line)
-                continue
-            if turn and turn[5] > 0:
-                done.append(self._joined(turn, lines))
-            turn, lines = ((turn[0] if turn else 0) + 1, role, "", m.ts, names, 1), [line]
-        if turn:
-            self._save(self._joined(turn, lines))
-        if done:
-            yield self._emit(key, done)
-
-    @staticmethod
-    def _joined(turn: tuple, lines: list[str]) -> tuple:
-        no, role, text, *rest = turn
-        return (no, role, "\n".join([text, *lines] if text else lines), *rest)
-
-
-def stream_turns(messages: DataFrame, gap_s: int = BURST_GAP_S) -> DataFrame:
-    """Turns of a message stream (conversation_id, id, ts, is_me, is_group, sender_name, text).
-
-    A row without ``is_me`` ends a conversation and lets its open turn out.
-    """
-    schema = T.StructType(
-        [
-            T.StructField("conversation_id", messages.schema["conversation_id"].dataType),
-            T.StructField("turn_no", T.LongType()),
-            T.StructField("role", T.StringType()),
-            T.StructField("text", T.StringType()),
-            T.StructField("ts", T.TimestampType()),
-            T.StructField("names", T.ArrayType(T.StringType())),
-            T.StructField("n_messages", T.LongType()),
-        ]
-    )
-    return (
-        messages.groupBy("conversation_id")
-        .transformWithStateInPandas(LiveTurns(gap_s), schema, "append", "none")
-    )
