@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +20,7 @@ BM25_B = 0.75
 MIN_IDF = 1e-6
 QUERIES_PER_BLOCK = 1024
 VECTORS_PER_BLOCK = 4096
+QUERY_BYTES = 64 << 20  # of the query matrix that a worker holds
 BROADCAST_CHARS = 32_000_000
 TERM_SALTS = 32
 
@@ -123,41 +123,51 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
 # --- vectors ----------------------------------------------------------------------------
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), VECTORS_PER_BLOCK):
-            part = pdf.iloc[at : at + VECTORS_PER_BLOCK]
-            if len(part):
-                matrix = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                yield pd.DataFrame(
-                    {
-                        "ids": [part["id"].to_numpy()],
-                        "block": [matrix.tobytes()],
-                        "lane": [int(part["id"].iloc[0]) & 0x7FFFFFFF],
-                    }
-                )
-
-
-def _block_scores(k: int):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                ids, qids = np.asarray(row.ids), np.asarray(row.query_ids)
-                left = np.frombuffer(row.block).reshape(len(ids), -1)
-                right = np.frombuffer(row.queries).reshape(len(qids), -1)
-                scores = right @ left.T
-                keep = min(k, len(ids))
-                # Ties at the edge are settled by id: sort on (-rounded score, id).
-                order = np.lexsort(
-                    (np.broadcast_to(ids, scores.shape), -np.round(scores, 9)), axis=1
-                )[:, :keep]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(qids, keep),
-                        "id": ids[order].ravel(),
-                        "score": np.take_along_axis(scores, order, axis=1).ravel(),
-                    }
-                )
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the ids and scores of the ``k`` best columns, by score to nine places, then id.
+
+    ``ids`` is one row for all, or one for each.
+    """
+    if scores.shape[1] <= k:
+        return np.broadcast_to(ids, scores.shape), scores
+    rounded = np.round(scores, 9)
+    edge = np.partition(rounded, -k, axis=1)[:, -k]
+    row, column = np.nonzero(rounded >= edge[:, None])  # the k best and ties with the last of them
+    own = np.broadcast_to(ids, scores.shape)[row, column]
+    order = np.lexsort((own, -rounded[row, column], row))
+    row, column, own = row[order], column[order], own[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    shape = (len(scores), k)
+    return own[keep].reshape(shape), scores[row[keep], column[keep]].reshape(shape)
+
+
+def _scan(shipped, k: int):
+    """Task function: the best ``k`` vectors of all its batches for every query."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shipped.value
+        best: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            ids, vec = batch.column(0).to_numpy(), batch.column(1)
+            flat = vec.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            off = vec.offsets.to_numpy().astype(np.int64)
+            usable = np.flatnonzero((np.diff(off) == matrix.shape[1]) & vec.is_valid().to_numpy(zero_copy_only=False))
+            for at in range(0, len(usable), VECTORS_PER_BLOCK):
+                rows = usable[at : at + VECTORS_PER_BLOCK]
+                vectors = flat[off[rows][:, None] + np.arange(matrix.shape[1])]
+                for n, begin in enumerate(range(0, len(names), QUERIES_PER_BLOCK)):
+                    found = _best(ids[rows], matrix[begin : begin + QUERIES_PER_BLOCK] @ vectors.T, k)
+                    if n == len(best):
+                        best.append(found)
+                    else:
+                        best[n] = _best(*(np.hstack(x) for x in zip(best[n], found)), k)
+        for n, (own, scores) in enumerate(best):
+            asked = names[n * QUERIES_PER_BLOCK : (n + 1) * QUERIES_PER_BLOCK]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(asked, own.shape[1])), pa.array(own.ravel()), pa.array(scores.ravel())],
+                names=["query_id", "id", "score"],
+            )
 
     return score
 
@@ -165,37 +175,30 @@ def _block_scores(k: int):
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact top ``k`` of ``vectors`` (id, vec) per query (query_id, vec) by dot product.
 
-    A block product: both sides are packed into matrices, every pair of blocks is multiplied
-    in one task and gives back at most ``k`` rows per query. Query blocks meet vector blocks
-    through an equi-join on (query block, lane), which Spark may broadcast when small.
+    The queries go to every worker as a matrix; each task walks its vectors once, in blocks, and
+    keeps ``k`` of them per query. So vectors are never shuffled, and what is shuffled is ``k`` rows
+    for each query and task. Query tables above ``QUERY_BYTES`` are cut into parts, each with a pass
+    of its own. Vectors that are null or of another length than the queries are not found. Ties go
+    to the smaller id.
     """
-    n_queries = queries.count()
-    n_blocks = max(1, math.ceil(n_queries / QUERIES_PER_BLOCK))
-    lanes = 1 if n_blocks > 64 else 16
-    packed = vectors.select(F.col("id").cast("long"), "vec").mapInPandas(
-        _pack, "ids array<bigint>, block binary, lane bigint"
-    )
-    left = packed.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn(
-        "lane", F.pmod(F.xxhash64("lane"), F.lit(lanes))
-    )
-    right = (
-        queries.select(F.col("query_id").cast("long"), "vec")
-        .withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-        .groupBy("qblock")
-        .applyInPandas(
-            lambda pdf: pd.DataFrame(
-                {
-                    "qblock": [int(pdf["qblock"].iloc[0])],
-                    "query_ids": [pdf["query_id"].to_numpy()],
-                    "queries": [np.stack(pdf["vec"].to_numpy()).astype(np.float64).tobytes()],
-                }
-            ),
-            "qblock int, query_ids array<bigint>, queries binary",
-        )
-        .withColumn("lane", F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")))
-    )
-    pairs = left.join(right, ["qblock", "lane"]).select("ids", "block", "query_ids", "queries")
-    scored = pairs.mapInPandas(_block_scores(k), "query_id bigint, id bigint, score double")
+    spark = vectors.sparkSession
+    asked = queries.filter("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    parts = max(1, -(-size["n"] * 8 * (size["dim"] or 1) // QUERY_BYTES))
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "vec")
+    scored = None
+    for part in range(parts):
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+        names, flat = own.column("query_id").to_numpy(), own.column("vec").combine_chunks()
+        if not len(names):
+            continue
+        dim = size["dim"]
+        matrix = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(names), dim)
+        shipped = spark.sparkContext.broadcast((names, matrix))
+        found = rows.mapInArrow(_scan(shipped, k), "query_id bigint, id bigint, score double")
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        scored = spark.createDataFrame([], "query_id bigint, id bigint, score double")
     return top_per_group(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
 
 

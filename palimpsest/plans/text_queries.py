@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, identity, mail, text
+from palimpsest.operators.scoring import score_batches
 from palimpsest.plans import sql as q
 from palimpsest.plans.adapters import SALT, captures, chat_lines, table
 from palimpsest.plans.registry import query
@@ -251,3 +252,28 @@ def mailbox_classes(spark, sf):
         mail.mailbox_class(path).alias("box"),
         mail.is_sent_folder(folder, F.array().cast("array<string>")).alias("sent_like"),
     )
+
+
+class _Letters:
+    """A stand-in for a model: counts a letter and names the text by its digest."""
+
+    def __call__(self, rows):
+        import hashlib
+
+        import pandas as pd
+
+        texts = rows["text"].fillna("")
+        return pd.DataFrame(
+            {"n_e": texts.str.count("e"), "digest": [hashlib.md5(t.encode()).hexdigest() for t in texts]}
+        )
+
+
+@query(
+    "scored_documents",
+    "SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS n_e, md5(text) AS digest, true AS ok FROM documents",
+)
+def scored_documents(spark, sf):
+    """Documents through the batch scorer, in batches of bounded bytes."""
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    made = score_batches(rows, "letters", _Letters, ["text"], "n_e bigint, digest string", batch_bytes=1 << 16)
+    return made.select("doc_id", "n_e", "digest", F.col("error").isNull().alias("ok"))

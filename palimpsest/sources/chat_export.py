@@ -20,6 +20,7 @@ from palimpsest.functions.exports import (
 )
 from palimpsest.functions.identity import is_owner
 from palimpsest.sources.files import estimate_rows, file_stem, parent_name, read_lines
+from palimpsest.sources.hidden_text import read_hidden_lines
 from palimpsest.sources.registry import register_source
 
 HEADER_PATTERN = f"(?:{BRACKETED})|(?:{DASHED})"
@@ -160,7 +161,8 @@ def read_chat_export(
 ) -> DataFrame:
     if not [n for n in (*names, *phones) if n.strip()]:
         raise ValueError("say who you are: pass names or phones")
-    return parse_export(read_lines(spark, path), names, phones, tz)
+    lines = read_lines(spark, path).unionByName(read_hidden_lines(spark, path))
+    return parse_export(lines, names, phones, tz)
 
 
 def estimate_chat_export(spark: SparkSession, path: str) -> DataFrame:
