@@ -106,7 +106,7 @@ def classify_batch(
     compose: bool = True,
 ) -> DataFrame:
     """One row per distinct accepted message (with ``n`` copies and ``is_new``) and one per
-    skip reason.
+    skip reason. The parts of ``source`` are texts, or columns of a batch from several sources.
 
     Copies and skipped rows fold map-side, so neither a hot conversation nor a hot message
     crosses the network more than once per task. The stored keys are probed afterwards.
@@ -152,9 +152,9 @@ def classify_batch(
             F.count("*").alias("n"),
             # An aggregate, not the key: a filter on it stays above the aggregate.
             F.bool_and(kept).alias("_kept"),
+            F.min(src).alias("source_id"),
         )
-        .select("conversation_id", "content_hash", "reason", "n", "_kept", "_m.*")
-        .withColumn("source_id", src)
+        .select("conversation_id", "content_hash", "reason", "n", "_kept", "_m.*", "source_id")
     )
     known = stored.select(
         F.coalesce("conversation_id", no_conv).alias("conversation_id"),

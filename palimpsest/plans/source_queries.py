@@ -10,8 +10,11 @@ from palimpsest.functions.dates import to_iso
 from palimpsest.plans import sql as q
 from palimpsest.plans.adapters import BASE_S, chat_lines, table
 from palimpsest.plans.registry import query
+from palimpsest.plans.stream_queries import work_dir
 from palimpsest.schema import MESSAGE_BATCH
 from palimpsest.sources import batches, chat_export, commit_log, data_package, documents, mail, stores
+from palimpsest.streaming.captures import CaptureTables, guarded, run_available
+from palimpsest.streaming.pushes import push_ledger
 
 # --- chat exports -----------------------------------------------------------------------
 
@@ -474,7 +477,8 @@ def messenger_store(spark, sf):
     "row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq FROM conversations",
 )
 def pushed_batches(spark, sf):
-    """One JSON batch per chat, encoded and read back."""
+    """One JSON batch per chat, each sent twice, through a stream with a ledger of pushes."""
+    home = work_dir(spark, "pushes")
     item = F.struct(
         F.col("conv_id").cast("string").alias("conversation_external_id"),
         "text",
@@ -490,8 +494,14 @@ def pushed_batches(spark, sf):
             )
         ).alias("value")
     )
-    parsed = raw.select(F.from_json("value", MESSAGE_BATCH).alias("b")).select("b.*")
-    rows = batches.batch_messages(parsed)
+    raw.unionByName(raw).repartition(6).write.text(f"{home}/in")
+    tables = CaptureTables(f"{home}/tables")
+    writer = guarded(
+        push_ledger(f"{home}/ledger", 16),
+        lambda pushes, number: tables.write(batches.batch_messages(pushes), "messages", number),
+    )
+    run_available(batches.stream_batches(spark, f"{home}/in", 2), writer, f"{home}/ckpt")
+    rows = spark.read.parquet(f"{home}/tables/messages")
     return rows.select(
         "source_kind",
         F.col("conversation_external_id").alias("conversation"),

@@ -28,6 +28,14 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return conform(batch_messages(spark.read.schema(MESSAGE_BATCH).json(path)), CANONICAL)
 
 
-def stream_batches(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream of newly arriving files."""
-    return batch_messages(spark.readStream.schema(MESSAGE_BATCH).json(path))
+def with_push_id(batches: DataFrame) -> DataFrame:
+    """Add ``push_id``, a hash of all a batch holds: a batch that is sent again has the same."""
+    return batches.withColumn("push_id", F.sha2(F.to_json(F.struct("source", "messages")), 256))
+
+
+def stream_batches(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """(source, messages, push_id) of newly arriving files, ``files`` at a time."""
+    reader = spark.readStream.schema(MESSAGE_BATCH)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return with_push_id(reader.json(path))
