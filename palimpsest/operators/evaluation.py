@@ -13,6 +13,8 @@ from palimpsest.functions.identity import hash_long, seeded_order
 from palimpsest.functions.prompts import render_context
 from palimpsest.functions.text import WORD, WS, casefold, strip, word_count
 from palimpsest.operators.scale import bucketed_rank
+from palimpsest.operators.selection import values_at
+from palimpsest.session import materialize
 
 RATER_CHARS = 64
 FEATURE_DIM = 1 << 18
@@ -420,46 +422,28 @@ def decode_run(runs: DataFrame) -> DataFrame:
 def latency_summary(samples: DataFrame) -> DataFrame:
     """n, p50, p90, min, max seconds per name over ok samples, 3 decimals.
 
-    p50 is the interpolated median, p90 the sorted value at int(0.9 n). A mergeable sketch
-    brackets the few ranks wanted; only values inside the brackets are kept apart (everything
-    else folds into running counts map-side), so a hot name never lands in one task whole.
+    p50 is the interpolated median, p90 the sorted value at int(0.9 n). The ranks are found by
+    narrowing histograms (``values_at``), so a hot name never lands in one task.
     """
-    ok = samples.filter("ok").select("name", "seconds")
-    sketch = ok.groupBy("name").agg(
-        F.percentile_approx("seconds", [0.4995, 0.5005, 0.8995, 0.9005], 10_000).alias("_q"),
-        F.count("*").alias("n"),
-        F.min("seconds").alias("lo"),
-        F.max("seconds").alias("hi"),
-    )
-    v = F.col("seconds")
-    q = lambda i: F.get("_q", F.lit(i))
-    # Small groups keep every value: the sketch is exact only to one part in 10 000.
-    zone = (
-        F.when(F.col("n") <= 20_000, v)
-        .when(v < q(0), F.lit(float("-inf")))
-        .when(v <= q(1), v)
-        .when(v < q(2), q(1) + (q(2) - q(1)) / 2)
-        .when(v <= q(3), v)
-        .otherwise(F.lit(float("inf")))
+    ok = samples.filter("ok and seconds is not null").select(
+        F.col("name").alias("g"), F.col("seconds").cast("double").alias("v")
     )
-    counts = (
-        ok.join(sketch, "name")
-        .groupBy("name", "n", "lo", "hi", zone.alias("v"))
-        .agg(F.count("*").alias("c"))
+    size = materialize(
+        ok.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
     )
-    upto = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("end", F.sum("c").over(upto))
-    at = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
     n = F.col("n")
-    low, high = F.floor((n - 1) / 2), F.floor(n / 2)
-    p90 = F.least(n - 1, F.floor(F.lit(0.9) * n))
-    return ranked.groupBy("name", "n", "lo", "hi").agg(
-        at(low).alias("a"), at(high).alias("b"), at(p90).alias("p90")
-    ).select(
-        "name",
+    ranks = {
+        "a": F.floor((n - 1) / 2), "b": F.floor(n / 2), "p90": F.least(n - 1, F.floor(F.lit(0.9) * n)),
+    }
+    wanted = size.select("g", F.explode(F.array(*ranks.values())).alias("r")).distinct()
+    ends = size.select("g", F.col("least").alias("lo"), F.col("most").alias("hi"), "n")
+    found = size.join(values_at(ok, wanted, ends), "g")
+    at = {k: F.max(F.when(F.col("r") == r, F.col("v"))).alias(k) for k, r in ranks.items()}
+    return found.groupBy("g", "n", "least", "most").agg(*at.values()).select(
+        F.col("g").alias("name"),
         "n",
         F.round((F.col("a") + F.col("b")) / 2, 3).alias("p50_s"),
         F.round("p90", 3).alias("p90_s"),
-        F.round("lo", 3).alias("min_s"),
-        F.round("hi", 3).alias("max_s"),
+        F.round("least", 3).alias("min_s"),
+        F.round("most", 3).alias("max_s"),
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from palimpsest.functions.identity import seeded_order
 from palimpsest.functions.text import (
@@ -15,6 +14,7 @@ from palimpsest.functions.text import (
     casefold,
     word_count,
 )
+from palimpsest.operators.selection import newest
 
 NEWEST = 20_000
 TOP_WORDS = 25
@@ -23,21 +23,17 @@ TOP_EMOJI = 8
 
 def style_rows(messages: DataFrame, n: int = NEWEST) -> DataFrame:
     """My newest ``n`` messages."""
-    return (
-        messages.filter("is_me")
-        .select("id", "text", "register", "lang", "ts")
-        .orderBy(F.col("ts").desc(), F.col("id").desc())
-        .limit(n)
-    )
+    return newest(messages.filter("is_me").select("id", "text", "register", "lang", "ts"), n)
 
 
 def _text_rows(rows: DataFrame) -> DataFrame:
-    """Rows of register text, or all of them when there are none (at most NEWEST rows)."""
-    w = Window.partitionBy(F.lit(1))
+    """Rows of register text, or all of them when there are none."""
+    texts = rows.agg(F.max(F.col("register") == "text").alias("_texts")).withColumn("_one", F.lit(1))
     return (
-        rows.withColumn("_texts", F.max(F.col("register") == "text").over(w))
+        rows.withColumn("_one", F.lit(1))
+        .join(F.broadcast(texts), "_one")
         .filter(~F.col("_texts") | (F.col("register") == "text"))
-        .drop("_texts")
+        .drop("_texts", "_one")
     )
 
 
@@ -176,12 +172,8 @@ def fingerprint_markdown() -> Column:
 
 def sample_messages(messages: DataFrame, k: int = 60, seed: int = 7) -> DataFrame:
     """``k`` seeded draws from my newest 3000 messages of 4 to 60 words."""
-    pool = (
-        messages.filter(F.col("is_me") & F.col("word_count").between(4, 60))
-        .select("id", "register", "text", "ts")
-        .orderBy(F.col("ts").desc(), F.col("id").desc())
-        .limit(3000)
-    )
+    mine = messages.filter(F.col("is_me") & F.col("word_count").between(4, 60))
+    pool = newest(mine.select("id", "register", "text", "ts"), 3000)
     return (
         pool.orderBy(seeded_order(seed, F.col("id")), "id")
         .limit(k)
