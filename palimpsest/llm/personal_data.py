@@ -1,27 +1,32 @@
 """Personal data: base patterns, and terms that give a protected value away.
 
 Base spans are e-mail addresses, IPv4 addresses, payment card numbers and phone numbers, as the
-patterns below define them. Every distinct base value is a protected entity. Corpus co-occurrence
-says how strongly a word near it discloses it: with contexts = documents,
-
-    disclosure(term, entity) = PMI(term, entity) / IC(entity)
-                             = log2(N n_te / (n_t n_e)) / log2(N / n_e),
-
-which is 1 when the term occurs only beside that entity. A term counts for an entity when it is
-beside it (within ``REACH`` words) in at least ``SUPPORT`` different surroundings, in at least half
-of the entity's documents, and its disclosure reaches ``THRESHOLD``. Such words are spans of kind ``term``
-wherever they stand beside that entity; sanitising removes them and generalises base spans to the
-name of their kind.
-
-All counts are over all documents. n_t is counted only for terms beside some entity: a bitmap of
-fixed size holds their hashes, false hits fall away in the join.
+patterns below define them. Protected entities are every distinct base value and, since most values
+stand in one document only, its class: the domain of an address, the network (first three parts)
+of an IP, the issuer (six digits) of a card, the prefix (four digits) of a phone number.
+
+Terms are words and pairs of neighbouring words. Corpus co-occurrence, in documents, says how
+strongly a term discloses an entity: of N documents n_t hold the term, n_e the entity, and n_te
+have the term beside it (within ``REACH`` words). With p the lower bound of n_te / n_t
+(Wilson, ``Z`` deviations),
+
+    disclosure(term, entity) = log2(p N / n_e) / log2(N / n_e),
+
+the share of the entity's information content that the term tells for sure; few documents give a
+low bound. A term is disclosing if this reaches ``THRESHOLD`` for some entity and the words on the
+left and those on the right of the entity both differ between its documents, so that copies of a
+passage, edited on one side or not at all, are no evidence. Disclosing terms are spans of kind
+``term`` wherever they stand, in every document, unless they touch a base span; sanitising removes
+them and generalises base spans to the name of their kind.
+
+All counts are over all documents, repeated rows included. Words are compared by 64-bit hashes,
+A-Z as a-z. A bitmap keeps other terms from leaving their task; false hits fall away in a join.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from itertools import accumulate
 
 import numpy as np
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.arrays import (
     frame,
-    over_texts,
+    gram_hashes,
     slices,
     strings,
     word_bounds,
@@ -40,10 +45,12 @@ from palimpsest.llm.arrays import (
 from palimpsest.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+NEAR = ("entity", "term", "left", "right")
 REACH = 6  # words on either side of a base span
-SUPPORT = 3
+Z = 1.0  # deviations of the lower bound
 THRESHOLD = 0.9
-BITMAP_WORDS = 1 << 14  # 64-bit words of the bitmap of terms, whatever the input
+BITMAP_WORDS = 1 << 14, 1 << 20  # 64-bit words of the bitmap of terms, least and most
+BROADCAST_TERMS = 1 << 20  # terms (16 bytes each) sent to all executors at most
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -111,46 +118,72 @@ def span_text(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def _entity(text: str, span: Span) -> int:
-    """Signed 64-bit hash of a protected value."""
-    value = f"{span[2]}:{text[span[0] : span[1]]}".encode("utf-8", "replace")
-    return int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little", signed=True)
-
+def _hashed(value: str) -> int:
+    """Signed 64-bit hash of a protected value or class."""
+    digest = hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
 
-def _beside(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, start, end, surroundings) of the words within REACH of each base span.
 
-    Words that touch a base span are no terms. Terms and surroundings are hashes.
-    """
-    data = text.encode("utf-8", "replace")
-    raw = np.frombuffer(data, dtype=np.uint8)
-    starts, ends = word_bounds(raw, np.array([0, len(raw)]))
-    # code points before every byte
-    if len(data) == len(text):
-        first, last = starts, ends
+def protected(kind: str, value: str) -> tuple[str, str]:
+    """Names of the two entities of a base value: itself and its class."""
+    if kind == "email":
+        group = value[value.index("@") + 1 :].lower()
+    elif kind == "ip":
+        group = value[: value.rindex(".")]
     else:
-        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        first, last = points[starts], points[ends]
-    begin = [x for x, _, _ in spans]
-    top = list(accumulate((y for _, y, _ in spans), max))
-    found = []
-    for span in spans:
-        a, b = int(np.searchsorted(last, span[0], "right")), int(np.searchsorted(first, span[1], "left"))
-        near = np.r_[max(0, a - REACH) : a, b : min(len(first), b + REACH)]
-        hashed = word_hashes(raw, starts[near], ends[near]).view(np.int64).tolist()
-        around, entity = hash(tuple(hashed)), _entity(text, span)
-        for k, term in zip(near, hashed, strict=True):
-            s, e = int(first[k]), int(last[k])
-            before = bisect_left(begin, e)
-            if not before or top[before - 1] <= s:
-                found.append((entity, term, s, e, around))
-    return found
+        group = re.sub("[^0-9]", "", value)[: 6 if kind == "card" else 4]
+    return f"{kind}:{value}", f"{kind} class:{group}"
+
+
+class Words:
+    """Words of a text: places in code points, hashes, and which touch no base span."""
+
+    def __init__(self, text: str, spans: list[Span]):
+        data = text.encode("utf-8", "replace")
+        raw = np.frombuffer(data, dtype=np.uint8)
+        self.first, self.last = starts, ends = word_bounds(raw, np.array([0, len(raw)]))
+        if len(data) != len(text):  # code points before every byte
+            points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            self.first, self.last = points[starts], points[ends]
+        self.hashes = word_hashes(raw, starts, ends)
+        begin = np.array([x for x, _, _ in spans], dtype=np.int64)
+        top = np.array([0, *accumulate((y for _, y, _ in spans), max)], dtype=np.int64)
+        self.free = top[np.searchsorted(begin, self.last, "left")] <= self.first
+
+    def terms(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, end) of the free words and pairs of free words among words a to b."""
+        one = a + np.flatnonzero(self.free[a:b])
+        two = a + np.flatnonzero(self.free[a : b - 1] & self.free[a + 1 : b]) if b - a > 1 else one[:0]
+        pairs = gram_hashes(self.hashes[a:b], 2)[two - a] if len(two) else self.hashes[:0]
+        return (
+            np.concatenate([self.hashes[one], pairs]).view(np.int64),
+            np.concatenate([self.first[one], self.first[two]]),
+            np.concatenate([self.last[one], self.last[two + 1]]),
+        )
+
+
+def _beside(text: str, spans: list[Span]) -> list[tuple[int, int, int, int]]:
+    """(entity, term, left, right) of the terms within REACH of each base span, each pair once.
+
+    ``left`` and ``right`` are hashes of the words on either side.
+    """
+    words, found = Words(text, spans), {}
+    for x, y, kind in spans:
+        a, b = int(np.searchsorted(words.last, x, "right")), int(np.searchsorted(words.first, y, "left"))
+        low, high = max(0, a - REACH), min(len(words.first), b + REACH)
+        sides = [hash(tuple(words.hashes[p:q].tolist())) for p, q in ((low, a), (b, high))]
+        near = np.concatenate([words.terms(low, a)[0], words.terms(b, high)[0]]).tolist()
+        for name in protected(kind, text[x:y]):
+            entity = _hashed(name)
+            for term in near:
+                found.setdefault((entity, term), (entity, term, *sides))
+    return list(found.values())
 
 
 def base_pass(docs: DataFrame) -> DataFrame:
     """Base spans of every row, its protected entities, and the words beside them."""
     near = pa.list_(
-        pa.struct([(n, pa.int64()) for n in ("entity", "term", "s", "e", "around")])
+        pa.struct([(n, pa.int64()) for n in NEAR])
     )
     schema = pa.schema(
         [("doc_id", pa.int64()), ("text_hash", pa.int64())]
@@ -172,12 +205,10 @@ def base_pass(docs: DataFrame) -> DataFrame:
                         rows[f"n_{k}"].append(kinds.count(k))
                     rows["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
                     rows["base"].append(base)
-                    rows["entities"].append(sorted({_entity(text, s) for s in spans}))
-                    rows["near"].append(
-                        [dict(zip(("entity", "term", "s", "e", "around"), x, strict=True)) for x in _beside(text, spans)]
-                        if spans
-                        else []
-                    )
+                    names = {n for a, b, k in spans for n in protected(k, text[a:b])}
+                    rows["entities"].append([_hashed(n) for n in names])
+                    near_terms = _beside(text, spans) if spans else []
+                    rows["near"].append([dict(zip(NEAR, x, strict=True)) for x in near_terms])
                 rows["doc_id"], rows["text_hash"] = ids, hashes[at : at + len(texts)]
                 at += len(texts)
                 yield frame(schema, **rows)
@@ -189,33 +220,47 @@ def base_pass(docs: DataFrame) -> DataFrame:
         fn,
         "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
         "base string, entities array<long>, "
-        "near array<struct<entity: long, term: long, s: long, e: long, around: long>>",
+        "near array<struct<entity: long, term: long, left: long, right: long>>",
     )
 
 
-def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, n_t): documents that hold each wanted term, over all documents.
-
-    A bitmap of fixed size keeps other words from leaving their task; its false hits are dropped
-    by the caller's join.
-    """
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """Bits of the terms in ``wanted``; its size follows their number between fixed bounds."""
+    least, most = BITMAP_WORDS
+    size = min(most, max(least, 1 << (wanted.count() // 8).bit_length()))
     bits = (
-        wanted.select("term").distinct()
-        .groupBy(F.pmod("term", F.lit(BITMAP_WORDS)).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(term, 16), 64) as int))")).alias("bits"))
+        wanted.groupBy(F.pmod("term", F.lit(size)).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(term, 32), 64) as int))")).alias("bits"))
         .collect()
-    )
-    table = np.zeros(BITMAP_WORDS, dtype=np.int64)
+    )
+    table = np.zeros(size, dtype=np.int64)
     for row in bits:
         table[row["word"]] = row["bits"]
+    return table
+
+
+def _in_bitmap(table: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    return (table[terms % len(table)] >> ((terms >> 32) % 64)) & 1 == 1
+
+
+def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): documents that hold each wanted term, over all documents.
+
+    The bitmap lets some other terms through; they are dropped by the caller's join. A pair of
+    words counts within one document only; words that touch a base span count here.
+    """
+    table = _bitmap(wanted)
     schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
     def fn(batches):
         for _, raw, off in slices(batches):
             starts, ends = word_bounds(raw, off)
-            hashed = word_hashes(raw, starts, ends).view(np.int64)
+            words = word_hashes(raw, starts, ends)
             doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
-            held = (table[hashed % BITMAP_WORDS] >> ((hashed >> 16) % 64)) & 1 == 1
+            inner = doc[1:] == doc[:-1]
+            hashed = np.concatenate([words, gram_hashes(words, 2)[inner] if len(words) > 1 else words[:0]]).view(np.int64)
+            doc = np.concatenate([doc, doc[1:][inner]])
+            held = _in_bitmap(table, hashed)
             hashed, doc = hashed[held], doc[held]
             order = np.lexsort((doc, hashed))
             hashed, doc = hashed[order], doc[order]
@@ -224,42 +269,67 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             terms, counts = np.unique(hashed[fresh], return_counts=True)
             yield frame(schema, term=terms, n=counts)
 
-    return over_texts(docs, fn, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    texts = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string"))
+    return texts.mapInArrow(fn, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term, disclosure) of the words that give a protected value away.
-
-    Support is counted in different surroundings, so copies of one passage count once.
-    """
+    """(entity, term, n_te, n_t, n_e, disclosure) of the terms that give a protected value away."""
     total = base.count()
-    per_doc = base.select("near").select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x.entity.alias("entity"), x.term.alias("term"), x.around.alias("around"))))).alias("x")).select("x.*")
     pairs = (
-        per_doc.groupBy("entity", "term", "around")
-        .agg(F.count("*").alias("n"))
+        base.select(F.explode("near").alias("x")).select("x.*")
         .groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
-        .filter(F.col("support") >= SUPPORT)
-    )
+        .agg(
+            F.count("*").alias("n_te"),
+            (F.min("left") < F.max("left")).alias("lefts"),
+            (F.min("right") < F.max("right")).alias("rights"),
+        )
+        .filter("lefts and rights")
+        .select("entity", "term", "n_te")
+    )
     entities = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    strong = materialize(pairs.join(entities, "entity").filter(2 * F.col("n_te") >= F.col("n_e")))
-    counts = term_counts(docs, strong)
-    gain = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    strong = materialize(pairs.join(entities, "entity"))
+    counts = term_counts(docs, strong.select("term").distinct())
+    n, k, z = F.col("n_t").cast("double"), F.least("n_te", "n_t").cast("double"), Z * Z
+    low = (k + z / 2 - Z * F.sqrt(k * (n - k) / n + z / 4)) / (n + z)
     content = F.log2(F.lit(total) / F.col("n_e"))
+    share = F.log2(low * total / F.col("n_e")) / content
     return (
         strong.join(counts, "term")
-        .withColumn("disclosure", F.when(content > 0, gain / content))
+        .withColumn("disclosure", F.when(content > 0, share))
         .filter(F.col("disclosure") >= threshold)
-        .select("entity", "term", "disclosure")
+        .select("entity", "term", "n_te", "n_t", "n_e", "disclosure")
     )
 
 
-def _term_spans(docs: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
-    """(text_hash, terms): distinct spans of disclosing words per text."""
-    near = base.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.term", "x.s", "x.e")
+def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text_hash, terms): places of the terms in ``terms`` in every distinct text that holds one."""
+    wanted = materialize(terms.select("term").distinct())
+    few = wanted.count() <= BROADCAST_TERMS
+    table = _bitmap(wanted)
+    schema = pa.schema([(n, pa.int64()) for n in ("text_hash", "term", "s", "e")])
+
+    def fn(batches):
+        for hashes, raw, off in slices(batches, id_name="text_hash"):
+            starts, ends = word_bounds(raw, off)
+            words = word_hashes(raw, starts, ends).view(np.int64)
+            held = _in_bitmap(table, words)
+            if len(words) > 1:
+                held[:-1] |= _in_bitmap(table, gram_hashes(words.view(np.uint64), 2).view(np.int64))
+            for i in np.unique(np.searchsorted(off, starts[held], "right") - 1):
+                text = raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
+                found = Words(text, base_spans(text))
+                term, s, e = found.terms(0, len(found.first))
+                hit = _in_bitmap(table, term)
+                yield frame(
+                    schema, text_hash=[hashes[int(i)].as_py()] * int(hit.sum()), term=term[hit], s=s[hit], e=e[hit]
+                )
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    hits = texts.mapInArrow(fn, "text_hash long, term long, s long, e long")
     return (
-        near.join(disclosing(docs, base, threshold).select("entity", "term"), ["entity", "term"])
-        .groupBy("text_hash", "s", "e").agg(F.lit(1).alias("one"))
+        hits.join(F.broadcast(wanted) if few else wanted, "term")
+        .select("text_hash", "s", "e").distinct()
         .groupBy("text_hash")
         .agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("terms"))
     )
@@ -269,11 +339,11 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of ``docs``.
 
     Offsets count code points, ends are exclusive; spans holds base and ``term`` spans by start,
-    then kind. A null text is empty and has no spans. Repeated rows are reported each. Other
-    columns are not read.
+    then kind; term spans may overlap each other. A null text is empty and has no spans. Repeated
+    rows are reported each. Other columns are not read.
     """
     base = materialize(base_pass(docs))
-    terms = _term_spans(docs, base, threshold)
+    terms = term_spans(docs, disclosing(docs, base, threshold))
     parsed = F.transform(
         F.filter(F.split("base", ","), lambda x: x != ""),
         lambda x: F.struct(
@@ -303,7 +373,7 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     the length of the new text. All columns and rows stay.
     """
     base = materialize(base_pass(docs))
-    terms = _term_spans(docs, base, threshold)
+    terms = term_spans(docs, disclosing(docs, base, threshold))
     named = docs.withColumn("_hash", F.xxhash64("text")).join(
         terms.select(F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms")), "_hash", "left"
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -69,6 +71,80 @@ def test_disclosing_terms(table):
     assert all(r["n_chars"] == len(r["text"]) for r in clean.values())
 
 
+def plain_disclosing(texts, threshold):
+    """Term spans of every text by nested loops over words and entities."""
+
+    def words(text):
+        spans = plain_personal(text)
+        for m in re.finditer("[^\\x20\\x09-\\x0D]+", text):
+            low = re.sub("[A-Z]", lambda c: c.group().lower(), m.group())
+            yield m.start(), m.end(), low, all(b <= m.start() or a >= m.end() for a, b, _ in spans)
+
+    def terms(found):
+        one = [(w, a, b) for a, b, w, free in found if free]
+        return one + [((x[2], y[2]), x[0], y[1]) for x, y in zip(found, found[1:]) if x[3] and y[3]]
+
+    n_t, n_e, seen = Counter(), Counter(), {}
+    for text in texts:
+        found, pairs, names = list(words(text)), {}, set()
+        held = [w for _, _, w, _ in found]
+        n_t.update({*held, *zip(held, held[1:])})
+        for a, b, kind in plain_personal(text):
+            left = [x for x in found if x[1] <= a][-P.REACH :]
+            right = [x for x in found if x[0] >= b][: P.REACH]
+            for name in P.protected(kind, text[a:b]):
+                names.add(name)
+                for term, _, _ in terms(left) + terms(right):
+                    pairs.setdefault((name, term), (str([x[2] for x in left]), str([x[2] for x in right])))
+        n_e.update(names)
+        for pair, sides in pairs.items():
+            seen.setdefault(pair, []).append(sides)
+    chosen = set()
+    for (name, term), sides in seen.items():
+        if min(len({x for x, _ in sides}), len({y for _, y in sides})) < 2:
+            continue
+        n, k, z = n_t[term], min(len(sides), n_t[term]), P.Z**2
+        p = (k + z / 2 - P.Z * math.sqrt(k * (n - k) / n + z / 4)) / (n + z)
+        content = math.log2(len(texts) / n_e[name])
+        if content > 0 and math.log2(p * len(texts) / n_e[name]) / content >= threshold:
+            chosen.add(term)
+    return [[f"term:{a}:{b}" for t, a, b in terms(list(words(x))) if t in chosen] for x in texts]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_disclosing_terms_against_plain_loops(table, seed):
+    draw = random.Random(seed)
+    common = [f"w{k}" for k in range(12)] + ["Été", "日本"]
+    hosts = ["alpha.example", "beta.example", "Gamma.example"]
+    code = {h: f"Code{k}" for k, h in enumerate(hosts)}
+    texts = []
+    for k in range(90):
+        parts = draw.choices(common, k=draw.randint(0, 14))
+        if k % 3 == 0:
+            host = draw.choice(hosts)
+            beside = [f"p{draw.randint(0, 9)}@{host}", f"10.0.{draw.randint(0, 3)}.{k}", "+1 (555) 010-9999"]
+            at = draw.randint(0, len(parts))
+            parts[at:at] = [draw.choice([code[host], "the " + code[host], ""]), draw.choice(beside[:1] * 3 + beside)]
+        if k % 20 == 1:
+            parts.append(code[draw.choice(hosts)].upper())  # far from any base value
+        texts.append(" ".join(parts))
+    texts += texts[:3]
+    docs = table(list(enumerate(texts)))
+    for threshold in (0.2, 0.6):
+        found = {r["doc_id"]: r["spans"] for r in P.find_personal_data(docs, threshold).collect()}
+        expected = plain_disclosing(texts, threshold)
+        assert sum(map(len, expected)) > 10
+        for k, own in enumerate(expected):
+            assert sorted(x for x in found[k].split(",") if x.startswith("term")) == sorted(own), texts[k]
+
+
+def test_edited_copies_are_no_evidence(table):
+    rows = [(k, f"ask Zorblax at boss@corp.example today {k}") for k in range(8)]
+    rows += [(k, f"nothing here {k}") for k in range(8, 80)]
+    found = P.find_personal_data(table(rows)).collect()
+    assert not any("term" in r["spans"] for r in found)
+
+
 def test_personal_data_of_odd_rows(odd, empty):
     found = P.find_personal_data(odd)
     assert found.count() == odd.count() and found.filter("spans <> ''").count() == 0
