@@ -31,7 +31,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrays import (
@@ -274,11 +274,15 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term, n_te, n_t, n_e, disclosure) of the terms that give a protected value away."""
+    """(entity, term, n_te, n_t, n_e, disclosure) of the terms that give a protected value away.
+
+    Documents are counted only for terms that could still reach the threshold: n_t is at least the
+    number of documents that have the term beside any base value, and disclosure falls with n_t.
+    """
     total = base.count()
+    near = base.select(F.explode("near").alias("x")).select("x.*")
     pairs = (
-        base.select(F.explode("near").alias("x")).select("x.*")
-        .groupBy("entity", "term")
+        near.groupBy("entity", "term")
         .agg(
             F.count("*").alias("n_te"),
             (F.min("left") < F.max("left")).alias("lefts"),
@@ -286,22 +290,33 @@ def disclosing(docs: DataFrame, base: DataFrame, threshold: float = THRESHOLD) -
         )
         .filter("lefts and rights")
         .select("entity", "term", "n_te")
-    )
+    )
+    beside = (
+        base.select(F.explode(F.array_distinct(F.col("near.term"))).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("n_t"))
+    )
     entities = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    strong = materialize(pairs.join(entities, "entity"))
+    strong = materialize(
+        pairs.join(entities, "entity").join(beside, "term").filter(_share(total) >= threshold).drop("n_t")
+    )
     counts = term_counts(docs, strong.select("term").distinct())
-    n, k, z = F.col("n_t").cast("double"), F.least("n_te", "n_t").cast("double"), Z * Z
-    low = (k + z / 2 - Z * F.sqrt(k * (n - k) / n + z / 4)) / (n + z)
-    content = F.log2(F.lit(total) / F.col("n_e"))
-    share = F.log2(low * total / F.col("n_e")) / content
     return (
         strong.join(counts, "term")
-        .withColumn("disclosure", F.when(content > 0, share))
+        .withColumn("disclosure", _share(total))
         .filter(F.col("disclosure") >= threshold)
         .select("entity", "term", "n_te", "n_t", "n_e", "disclosure")
     )
 
 
+def _share(total: int) -> Column:
+    """disclosure(term, entity) from n_te, n_t and n_e; null for an entity in every document."""
+    n, k, z = F.col("n_t").cast("double"), F.least("n_te", "n_t").cast("double"), Z * Z
+    low = (k + z / 2 - Z * F.sqrt(k * (n - k) / n + z / 4)) / (n + z)
+    content = F.log2(F.lit(total) / F.col("n_e"))
+    return F.when(content > 0, F.log2(low * total / F.col("n_e")) / content)
+
+
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_hash, terms): places of the terms in ``terms`` in every distinct text that holds one."""
     wanted = materialize(terms.select("term").distinct())
