@@ -1,26 +1,27 @@
-"""N-gram Jaccard join: near-duplicate documents by prefix filter and trie traversal.
+"""N-gram Jaccard join: near-duplicate documents by one global order, prefixes and tries.
 
 A document's set holds its distinct n-word shingles as 64-bit hashes (words are lower-cased A-Z).
 The job, whose shuffles carry shingle hashes and never texts:
 
 1. ``profiles``: set size and set hash of every document, and a fixed-size count sketch of all
    shingles. Documents with equal set hashes form one class; only classes are compared.
-2. ``shared_prefixes``: shingles are ordered by (sketch count, hash), rare first. Similar sets
-   share a shingle among their first n - ceil(t n) + 1. Rows (shingle, class) are dealt by shingle;
-   those with one class fall away. A shingle whose count stands out is dealt by (shingle, class).
-3. First round: every class meets one centre, the smallest class among its shingles, if they share
-   a good part of their prefixes. This connects large groups of near copies.
-4. Second round: shingles whose classes are all connected by now fall away; the others make one
-   block per distinct list of classes. Lists above the block size are cut into blocks and every
-   two blocks of a list meet, so no pair is left out. A block carries the shared prefix shingles of
-   its classes; pairs of unconnected classes pass if they share as many of them as a similar pair
-   must (``least_shared``).
-5. Classes that meet in the first round or pass in the second are stored with their sets in a trie
-   per centre and joined by traversal (``trie.similar``).
-6. Links become components by repeated minimum labels.
+2. ``candidates``: in the order (sketch level, hash) similar sets share a shingle among their first
+   n - ceil(t n) + 1. Rows (shingle, class) are dealt by shingle; classes that share none fall away.
+3. ``ordered_sets``: the shingles of the remaining classes are counted exactly and get one global
+   order, by the level of their number of classes, then by hash. Shingles of one class alone count
+   in the size of a set only. A class with fewer than ceil(t n) shared shingles falls away: documents
+   that share a passage and have enough text of their own end here.
+4. First round: every class meets one centre, the class it has most prefix shingles in common with
+   among the first ones of their lists. This connects large groups of near copies.
+5. Second round: lists (the classes of one prefix shingle) that are connected by now fall away, and
+   equal lists count once. The others become blocks: the largest component of a list is cut into
+   parts, and the classes outside of it go to every part. A list that is too large for this is first
+   dealt by its next shingle, as similar sets share two or more.
+6. Each block is a trie of sets in the global order, most frequent shingles first, and is joined by
+   traversal (``trie.similar``). Links become components by repeated minimum labels.
 
 Only links that join different components are emitted; every pair at or above the threshold is
-connected. Two shingle hashes collide with probability 2^-64 each; set hashes likewise.
+connected. Two shingles collide with probability 2^-57, set hashes with 2^-64.
 """
 
 from __future__ import annotations
@@ -37,18 +38,20 @@ from palimpsest.llm.arrays import frame, gram_hashes, mix, over_texts, slices, w
 from palimpsest.llm.trie import similar
 from palimpsest.session import materialize
 
-SKETCH_CELLS = 1 << 20  # counters of the shingle sketch, whatever the input
-SKETCH_BLOCK = 1 << 14  # counters in one row on their way to the sum
-FILTER_WORDS = 1 << 16  # 64-bit words of the candidate bitmap, whatever the input
+SKETCH_CELLS = 1 << 22  # counters of the shingle sketch, whatever the input
+SKETCH_BLOCK = 1 << 16  # counters in one row on their way to the sum
+SKETCH_ROWS = 1 << 21  # shingles counted at once
+FILTER_WORDS = 1 << 18  # 64-bit words of the candidate bitmap, whatever the input
 BLOCK_SETS = 256  # sets of one side of a block
 HOT = np.uint64(1)  # bit of a token whose count stands out
+TOP_LEVEL = 31  # of hot shingles in the global order; levels stand in the bits from 58 on
 
 _PROFILE = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("part", pa.int64()),
      ("cells", pa.binary())]
 )
 _ENTRY = pa.schema([("token", pa.int64()), ("sig", pa.int64())])
-_SET = pa.schema([("sig", pa.int64()), ("grams", pa.binary())])
+_SET = pa.schema([("sig", pa.int64()), ("keys", pa.binary())])
 
 
 def document_sets(
@@ -84,8 +87,16 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
     def fn(batches):
         sketch = np.zeros(SKETCH_CELLS, dtype=np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            np.add(sketch, np.bincount(_cells(np.concatenate(waiting)), minlength=SKETCH_CELLS), out=sketch, casting="unsafe")
+            waiting.clear()
+
         for ids, sets in document_sets(batches, words):
-            sketch += np.bincount(_cells(np.concatenate(sets)), minlength=SKETCH_CELLS).astype("u4")
+            waiting.extend(sets)
+            if sum(map(len, waiting)) > SKETCH_ROWS:
+                count()
             yield frame(
                 _PROFILE,
                 doc_id=ids,
@@ -94,6 +105,8 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                 part=[None] * len(sets),
                 cells=[None] * len(sets),
             )
+        if waiting:
+            count()
         held = [k for k in range(SKETCH_CELLS // SKETCH_BLOCK) if sketch[_span(k)].any()]
         packer = zstandard.ZstdCompressor(level=1)
         none = [None] * len(held)
@@ -136,12 +149,22 @@ def gather_sketch(rows: DataFrame) -> np.ndarray:
     return sketch
 
 
-def prefix_entries(docs: DataFrame, sketch: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """(token, sig): the rarest shingles of every set; equal sets once per task.
+def sketch_levels(sketch: np.ndarray) -> np.ndarray:
+    """A byte per cell: how far its count stands above the mean (0: within its spread), and HOT.
+
+    HOT is the lowest bit; a shingle of a cell without it has at most 2 * mean + 1000 classes.
+    """
+    mean = float(sketch.mean())
+    usual = mean + 4 * mean**0.5 + 8
+    level = np.floor(np.log2(np.maximum(sketch / usual, 0.5))).astype(np.int64) + 1
+    return (np.minimum(level, 100) * 2 + (sketch > 2 * mean + 1000)).astype(np.uint8)
+
+
+def prefix_entries(docs: DataFrame, levels: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+    """(token, sig): the first shingles of every set by (level, hash); equal sets once per task.
 
     The lowest bit of a token tells whether its count stands out (``HOT``), the others are its hash.
     """
-    hot_from = int(2 * sketch.mean()) + 1000
 
     def fn(batches):
         seen: set[int] = set()
@@ -151,10 +174,10 @@ def prefix_entries(docs: DataFrame, sketch: np.ndarray, words: int, num: int, de
                 if not len(grams) or (sig := set_hash(grams)) in seen:
                     continue
                 seen.add(sig)
-                counts = sketch[_cells(grams)]
+                level = levels[_cells(grams)]
                 need = -(-num * len(grams) // den)
-                order = np.lexsort((grams, counts))[: len(grams) - need + 1]
-                tokens.append(grams[order] & ~HOT | (counts[order] > hot_from).astype(np.uint64))
+                order = np.argsort(level, kind="stable")[: len(grams) - need + 1]
+                tokens.append(grams[order] & ~HOT | (level[order] & 1))
                 sigs.append(np.full(len(order), sig, dtype=np.int64))
             if tokens:
                 yield frame(
@@ -229,177 +252,256 @@ def _shared(rows: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
     return rows[: turn[-1]][held[: turn[-1]]], tail
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sig, grams) of every class in ``wanted``, found by a fixed-size bitmap of class hashes."""
-    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(sig, 16), 64) as int))")
-    bits = (
-        wanted.groupBy(F.pmod("sig", F.lit(FILTER_WORDS)).alias("word"))
-        .agg(F.bit_or(bit).alias("bits"))
-        .collect()
-    )
+def candidate_bits(rows: DataFrame, shared: DataFrame) -> np.ndarray:
+    """A fixed-size bitmap of one document of each class in ``shared``."""
+    key = F.coalesce("doc_id", "sig")
+    first = rows.join(shared.select("sig").distinct(), "sig").groupBy("sig").agg(F.min(key).alias("key"))
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(key, 18), 64) as int))")
+    bits = first.groupBy(F.pmod("key", F.lit(FILTER_WORDS)).alias("word")).agg(F.bit_or(bit).alias("bits"))
     table = np.zeros(FILTER_WORDS, dtype=np.int64)
-    for row in bits:
+    for row in bits.collect():
         table[row["word"]] = row["bits"]
+    return table
+
+
+def set_entries(docs: DataFrame, table: np.ndarray, levels: np.ndarray, words: int) -> DataFrame:
+    """(token, sig): all shingles of the documents in the bitmap, tokens as in ``prefix_entries``.
+
+    The bitmap may let other documents through; they are compared as well and change no result.
+    """
 
     def fn(batches):
-        seen: set[int] = set()
-        for _, sets in document_sets(batches, words):
-            sigs, grams = [], []
-            for own in sets:
-                if not len(own) or (sig := set_hash(own)) in seen:
+        for ids, sets in document_sets(batches, words):
+            tokens, sigs = [], []
+            for own_id, grams in zip(ids, sets, strict=True):
+                if not len(grams):
                     continue
-                if int(table[sig % FILTER_WORDS]) >> ((sig >> 16) % 64) & 1:
-                    seen.add(sig)
-                    sigs.append(sig)
-                    grams.append(own.tobytes())
-            if sigs:
-                yield frame(_SET, sig=sigs, grams=grams)
+                sig = set_hash(grams)
+                key = sig if own_id is None else own_id
+                if int(table[key % FILTER_WORDS]) >> ((key >> 18) % 64) & 1:
+                    tokens.append(grams & ~HOT | (levels[_cells(grams)] & 1))
+                    sigs.append(np.full(len(grams), sig, dtype=np.int64))
+            if tokens:
+                yield frame(
+                    _ENTRY, token=np.concatenate(tokens).view(np.int64), sig=np.concatenate(sigs)
+                )
 
-    found = over_texts(docs, fn, "sig long, grams binary").join(wanted.select("sig").distinct(), "sig", "left_semi")
-    return found.groupBy("sig").agg(F.first("grams").alias("grams"))
+    return over_texts(docs, fn, "token long, sig long")
 
 
-def block_links(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) found inside each block of (bucket, part, sig)."""
-
-    def fn(table: pa.Table) -> pa.Table:
-        sigs = table.column("sig").to_pylist()
-        grams = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
-        links = similar(grams, list(range(len(sigs))), num, den) if len(sigs) > 1 else []
-        return pa.table(
-            {"a": pa.array([sigs[x] for x, _ in links], pa.int64()),
-             "b": pa.array([sigs[y] for _, y in links], pa.int64())}
-        )
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: int = 1) -> Iterator[pa.Table]:
+    """Tables in which all rows with equal first ``columns`` stand together; rows come sorted."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in range(columns)]
+        turn = np.zeros(batch.num_rows, dtype=bool)
+        turn[0] = last is not None and tuple(k[0] for k in keys) != last
+        for k in keys:
+            turn[1:] |= k[1:] != k[:-1]
+        at = np.flatnonzero(turn)
+        if len(at):
+            cut = int(at[-1])
+            whole = [*waiting, batch.slice(0, cut)]
+            if sum(w.num_rows for w in whole):
+                yield pa.Table.from_batches(whole)
+            waiting = [batch.slice(cut)]
+        else:
+            waiting.append(batch)
+        last = tuple(k[-1] for k in keys)
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """First row of every run of equal keys."""
+    turn = np.ones(len(keys[0]), dtype=bool)
+    turn[1:] = False
+    for k in keys:
+        turn[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(turn)
+
+
+def ordered_sets(entries: DataFrame) -> DataFrame:
+    """(sig, keys): the shared shingles of every class as ascending keys of the global order.
+
+    A key is the level of the shingle's number of classes (its binary logarithm; hot shingles have
+    the highest) above 57 bits of its hash; its lowest bit is ``HOT``.
+    """
 
-    return blocks.join(sets, "sig").groupBy("bucket", "part").applyInArrow(fn, "a long, b long")
+    def keyed(batches):
+        for table in whole_runs(batches):
+            token, sig = table.column(0).to_numpy(), table.column(1).to_numpy()
+            fresh = _starts(token, sig)
+            token, sig = token[fresh], sig[fresh]
+            at = _starts(token)
+            sizes = np.diff(np.r_[at, len(token)])
+            hot = token[at] & 1 == 1
+            level = np.where(hot, TOP_LEVEL, np.minimum(np.log2(sizes).astype(np.int64), TOP_LEVEL - 1))
+            hashed = (token[at].view(np.uint64) >> np.uint64(7)) << np.uint64(1)
+            key = (level.astype(np.uint64) << np.uint64(58)) | hashed | hot.astype(np.uint64)
+            held = np.repeat((sizes > 1) | hot, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sig[held]), pa.array(np.repeat(key.view(np.int64), sizes)[held])], ["sig", "key"]
+            )
+
+    def listed(batches):
+        for table in whole_runs(batches):
+            sig, key = table.column(0).to_numpy(), table.column(1).to_numpy()
+            fresh = _starts(sig, key)
+            sig, key = sig[fresh], key[fresh]
+            at = _starts(sig)
+            ends = np.r_[at[1:], len(sig)]
+            blobs = [key[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+            yield frame(_SET, sig=sig[at], keys=blobs)
+
+    hot = F.col("token").bitwiseAND(F.lit(int(HOT))) == 1
+    return (
+        entries.repartition(F.when(hot, F.xxhash64("token", "sig")).otherwise(F.col("token")))
+        .sortWithinPartitions("token", "sig")
+        .mapInArrow(keyed, "sig long, key long")
+        .repartition("sig")
+        .sortWithinPartitions("sig", "key")
+        .mapInArrow(listed, "sig long, keys binary")
+    )
 
 
-def _sized(rows: DataFrame, limit: int) -> DataFrame:
-    """Add ``parts``, the blocks of each bucket, and ``part``, the block of each row."""
-    counts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("parts"))
-    return rows.join(counts, "bucket").withColumn("part", _part())
+def key_prefixes(sets: DataFrame, num: int, den: int, more: int = 0) -> DataFrame:
+    """(token, sig) of the keys in the prefix of every set, ``more`` keys longer if asked for."""
 
+    def fn(batches):
+        for batch in batches:
+            tokens, sigs = [], []
+            for sig, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = np.frombuffer(blob, dtype=np.int64)
+                own = keys[: len(keys) + num * n // -den + 1 + more]
+                tokens.append(own)
+                sigs.append(np.full(len(own), sig, dtype=np.int64))
+            if tokens:
+                yield frame(_ENTRY, token=np.concatenate(tokens), sig=np.concatenate(sigs))
 
-def _part() -> Column:
-    """The block of a class among the ``parts`` of its bucket."""
-    return F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int")
+    return sets.select("sig", "n", "keys").mapInArrow(fn, "token long, sig long")
 
 
-def first_round(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """(centre, sig): each class with the smallest centre of its tokens.
+def block_links(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) found inside each block of (bucket, next, part, sig, comp)."""
+
+    def fn(batches):
+        for table in whole_runs(batches, columns=3):
+            names = ["bucket", "next", "part", "sig", "n", "comp"]
+            *where, sig, n, comp = (table.column(c).to_numpy() for c in names)
+            blobs = table.column("keys")
+            at = _starts(*where)
+            left, right = [], []
+            for a, b in zip(at, np.r_[at[1:], len(sig)], strict=True):
+                if (comp[a:b] == comp[a]).all():
+                    continue
+                keys = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in blobs[a:b]]
+                for x, y in similar(keys, comp[a:b].tolist(), num, den, n[a:b]):
+                    left.append(sig[a + x])
+                    right.append(sig[a + y])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"]
+            )
 
-    Pairs that share under a third of the prefix are left to the second round.
-    """
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     return (
+        blocks.join(sets, "sig")
+        .select("bucket", "next", "part", "sig", "n", "comp", "keys")
+        .repartition("bucket", "next", "part")
+        .sortWithinPartitions("bucket", "next", "part", "n", "sig")
+        .mapInArrow(fn, "a long, b long")
+    )
+
+
+def _part(parts: Column) -> Column:
+    """The block of a class among the ``parts`` of its list."""
+    return F.pmod(F.xxhash64("sig", F.lit(7)), parts).cast("int")
+
+
+def first_round(shared: DataFrame, limit: int = BLOCK_SETS) -> DataFrame:
+    """Blocks of each centre with the classes that have most prefix shingles in common with it."""
+    pairs = (
         shared.filter(F.col("centre") != F.col("sig"))
         .groupBy("sig", "centre")
         .agg(F.count("*").alias("common"))
-        .join(sizes, "sig")
-        .filter(3 * F.col("common") >= prefix)
         .groupBy("sig")
-        .agg(F.min("centre").alias("centre"))
+        .agg(F.min(F.struct(-F.col("common"), "centre")).alias("best"))
+        .select(F.col("best.centre").alias("bucket"), "sig")
+    )
+    pairs = materialize(pairs)
+    parts = pairs.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(limit)).alias("parts"))
+    sized = pairs.join(parts, "bucket").select("bucket", _part(F.col("parts")).alias("part"), "sig")
+    centres = sized.select("bucket", "part").distinct().select("bucket", "part", F.col("bucket").alias("sig"))
+    return sized.unionByName(centres).select(
+        "bucket", F.lit(0).cast("long").alias("next"), "part", "sig", F.col("sig").alias("comp")
     )
 
 
-def centre_blocks(pairs: DataFrame, limit: int = BLOCK_SETS) -> DataFrame:
-    """Blocks (bucket, part, sig) of each centre with its partners; the centre is in every part."""
-    sized = _sized(pairs.select(F.col("centre").alias("bucket"), "sig"), limit)
-    centres = sized.groupBy("bucket", "part").agg(F.min("bucket").alias("sig"))
-    return sized.select("bucket", "part", "sig").unionByName(centres)
-
-
-def least_shared(small: np.ndarray, large: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Prefix shingles that two similar sets of these sizes have in common at least.
+def _lists(held: DataFrame) -> DataFrame:
+    """One row for every distinct list of classes that is not connected: its name and its base.
 
-    Of the set whose prefix ends first in the order, all common prefix shingles lie in both
-    prefixes; its other ceil(t n) - 1 shingles can add no more than their number to the overlap.
+    ``held`` has (token, next, sig, comp). ``base`` is the largest component, ``others`` the number
+    of classes outside of it.
     """
-    overlap = -(-num * (small + large) // (num + den))
-    return np.maximum(1, overlap - (-(-num * large // den) - 1))
-
+    by_comp = held.groupBy("token", "next", "comp").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("sig")).alias("x"),
+        F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"),
+    )
+    return (
+        by_comp.groupBy("token", "next")
+        .agg(
+            F.count("*").alias("comps"),
+            F.sum("n").alias("n"),
+            F.max(F.struct("n", "comp")).alias("top"),
+            F.bit_xor("x").alias("x"),
+            F.bit_xor("y").alias("y"),
+        )
+        .filter("comps > 1")
+        .groupBy("n", "x", "y")
+        .agg(F.min(F.struct("token", "next", "top")).alias("one"))
+        .select("one.token", "one.next", "n", F.col("one.top.comp").alias("base"), (F.col("n") - F.col("one.top.n")).alias("others"))
+    )
 
-def passing(shared: DataFrame, sizes: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """(centre, sig) pairs of unconnected classes that share enough prefix shingles, each once.
 
-    A pair is reported by the list of its smallest common shingle only. That shingle names its
-    list: all shingles with the same classes are common to the pair as well.
-    """
-    held = (
-        shared.groupBy("sig")
-        .agg(F.collect_list("token").alias("tokens"))
-        .join(sizes, "sig")
-    )
+def second_round(
+    shared: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, limit: int = BLOCK_SETS
+) -> DataFrame:
+    """Blocks of every list of classes that is not connected yet.
 
-    def fn(table: pa.Table) -> pa.Table:
-        sigs, n = table.column("sig").to_numpy(), table.column("n").to_numpy()
-        comps, parts = table.column("comp").to_numpy(), table.column("part").to_numpy()
-        bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-        lists = table.column("tokens").combine_chunks()
-        counts = np.diff(lists.offsets.to_numpy())
-        tokens = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-        distinct, place = np.unique(tokens, return_inverse=True)
-        row = np.repeat(np.arange(len(sigs)), counts)
-        common = np.zeros((len(sigs), len(sigs)), dtype=np.float32)
-        earlier = np.zeros_like(common)  # common shingles below the bucket
-        below = int(np.searchsorted(distinct, bucket))
-        for at in range(0, int(place.max()) + 1, 4096):
-            inside = (place >= at) & (place < at + 4096)
-            part = np.zeros((len(sigs), 4096), dtype=np.float32)
-            part[row[inside], place[inside] - at] = 1
-            common += part @ part.T
-            if at < below:
-                part[:, below - at :] = 0
-                earlier += part @ part.T
-        small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-        found = (common >= least_shared(small, large, num, den)) & (den * small >= num * large)
-        found &= (earlier == 0) & ((i == j) | (parts[:, None] != parts[None, :]))
-        x, y = np.nonzero(found & (comps[:, None] != comps[None, :]) & (sigs[:, None] < sigs[None, :]))
-        return pa.table({"centre": pa.array(sigs[x]), "sig": pa.array(sigs[y])})
-
-    return blocks.join(held, "sig").groupBy("bucket", "i", "j").applyInArrow(fn, "centre long, sig long")
-
-
-def second_round(shared: DataFrame, comps: DataFrame, limit: int = BLOCK_SETS) -> DataFrame:
-    """Blocks of every list of classes that is not connected yet; every two parts of a list meet.
-
-    A list is named by the smallest token (``bucket``) that has exactly these classes.
+    Lists with more than ``limit`` classes outside their largest component are dealt by the next
+    shingle their classes have in common: of a similar pair the first two common shingles lie in
+    prefixes that are one longer.
     """
-    held = shared.select("token", "sig")
     comp = F.coalesce("comp", "sig").alias("comp")
-    lists = (
-        held.join(comps, "sig", "left")
-        .select("token", "sig", comp)
-        .groupBy("token")
-        .agg(
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-            F.count("*").alias("n"),
-            F.bit_xor(F.xxhash64("sig")).alias("x"),
-            F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"),
-        )
-        .filter(F.col("lo") < F.col("hi"))
-        .groupBy("n", "x", "y")
-        .agg(F.min("token").alias("token"))
-        .select("token", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("parts"))
+    held = materialize(
+        shared.join(comps, "sig", "left").select("token", F.lit(0).cast("long").alias("next"), "sig", comp)
     )
-    rows = (
-        held.join(lists, "token")
-        .join(comps, "sig", "left")
-        .select(F.col("token").alias("bucket"), "sig", comp, "parts", _part().alias("part"))
+    lists = materialize(_lists(held))
+    small = _blocks(held, lists.filter(F.col("others") <= limit), limit)
+    large = lists.filter(F.col("others") > limit).select("token")
+    if large.isEmpty():
+        return small
+    longer = key_prefixes(sets, num, den, more=1).select(F.col("token").alias("later"), "sig")
+    deeper = materialize(
+        held.join(large, "token")
+        .join(longer, "sig")
+        .filter(F.col("later") > F.col("token"))
+        .select("token", F.col("later").alias("next"), "sig", "comp")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return (
-        rows.select("bucket", "sig", "comp", "part", other)
-        .select(
-            "bucket",
-            F.least("part", "other").alias("i"),
-            F.greatest("part", "other").alias("j"),
-            "part",
-            "sig",
-            "comp",
-        )
+    return small.unionByName(_blocks(deeper, _lists(deeper), limit))
+
+
+def _blocks(held: DataFrame, lists: DataFrame, limit: int) -> DataFrame:
+    """(bucket, next, part, sig, comp): parts of each list's base, with all other classes each."""
+    parts = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("others")) / F.lit(limit))).cast("int")
+    rows = held.join(lists, ["token", "next"])
+    spread = F.when(F.col("comp") == F.col("base"), F.array(_part(parts))).otherwise(
+        F.sequence(F.lit(0), parts - 1)
     )
+    return rows.select(F.col("token").alias("bucket"), "next", F.explode(spread).alias("part"), "sig", "comp")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -444,19 +546,22 @@ def jaccard_components(
     unless no member has an id. Columns other than doc_id and text are not read.
     """
     rows = materialize(profiles(docs, words))
-    sketch = gather_sketch(rows)
+    levels = sketch_levels(gather_sketch(rows))
     rows = rows.filter(F.col("part").isNull()).select("doc_id", "n", "sig")
-    shared = materialize(shared_prefixes(prefix_entries(docs, sketch, words, num, den)))
     sizes = rows.filter("sig is not null").groupBy("sig").agg(F.first("n").alias("n"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        blocks = centre_blocks(materialize(pairs), block)
-        return materialize(block_links(blocks, candidate_sets(docs, blocks, words), num, den))
-
-    near = verified(first_round(shared, sizes, num, den))
-    blocks = second_round(shared, components(near), block)
-    far = verified(passing(shared, sizes, blocks, num, den))
-    comps = components(near.unionByName(far))
+    near = shared_prefixes(prefix_entries(docs, levels, words, num, den))
+    table = candidate_bits(rows, near)
+    sets = materialize(
+        ordered_sets(set_entries(docs, table, levels, words))
+        .join(sizes, "sig")
+        .filter(F.octet_length("keys") / 8 >= F.ceil(F.col("n") * num / den))
+        .select("sig", "n", "keys")
+    )
+    shared = materialize(shared_prefixes(key_prefixes(sets, num, den)))
+    first = materialize(block_links(first_round(shared, block), sets, num, den))
+    blocks = second_round(shared, components(first), sets, num, den, block)
+    second = materialize(block_links(blocks, sets, num, den))
+    comps = components(first.unionByName(second))
     placed = rows.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     lowest = placed.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
     return placed.join(lowest, "comp", "left").select(

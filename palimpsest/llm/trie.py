@@ -1,9 +1,9 @@
 """A radix trie over ordered n-gram sets, and the similarity join inside one block of sets.
 
-Sets are written as ascending ranks of one order shared by the block: n-grams held by more sets
-first, so that similar sets share long paths. A probe walks the trie once; the overlap counted
-along a shared path serves every set below it. A subtree is left as soon as the n-grams that are
-left on either side cannot lift the overlap to what the smallest set below it needs.
+Sets are written in one global order, whose most frequent n-grams come first in the trie, so that
+similar sets share long paths. A probe walks the trie once; the overlap counted along a shared path
+serves every set below it. A subtree is left as soon as the n-grams that are left on either side
+cannot lift the overlap to what the smallest set below it needs.
 """
 
 from __future__ import annotations
@@ -42,16 +42,15 @@ class Node:
 
 
 def ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """The sets as ascending ranks in the block's order: most shared first, then by value."""
+    """The sets as ascending ranks from the end of the global order, in which integers ascend."""
     every = np.concatenate(sets)
-    values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), dtype=np.int64)
-    rank[np.lexsort((values, -counts))] = np.arange(len(values))
+    values, inverse = np.unique(every, return_inverse=True)
+    rank = len(values) - 1 - inverse.ravel()
     marks = np.cumsum([len(s) for s in sets])[:-1]
-    return [np.sort(x) for x in np.split(rank[inverse.ravel()], marks)], len(values)
+    return [np.sort(x) for x in np.split(rank, marks)], len(values)
 
 
-def build(sets: list[np.ndarray]) -> Node:
+def build(sets: list[np.ndarray], sizes: np.ndarray) -> Node:
     """Insert the sets in lexicographic order, so only the last path is ever split."""
     root = Node(np.empty(0, np.int64), 0)
     path = [root]
@@ -85,27 +84,44 @@ def build(sets: list[np.ndarray]) -> Node:
     for node in reversed(order):
         below = node.children
         own = [node.depth] if node.ends else []
-        node.shortest = min(own + [c.shortest for c in below], default=0)
+        node.shortest = min([int(sizes[i]) for i in node.ends] + [c.shortest for c in below], default=0)
         node.deepest = max(own + [c.deepest for c in below], default=0)
     return root
 
 
 def similar(
-    sets: list[np.ndarray], groups: list[int], num: int = 75, den: int = 100
+    sets: list[np.ndarray],
+    groups: list[int],
+    num: int = 75,
+    den: int = 100,
+    sizes: np.ndarray | None = None,
 ) -> list[tuple[int, int]]:
     """Links that join sets of different groups, enough to connect every similar pair.
 
-    Two sets are similar when den * intersection >= num * union. A pair that is connected
-    already, by ``groups`` or by earlier links, is not reported.
+    Two sets are similar when den * intersection >= num * union. ``sizes`` tells their sizes if they
+    have n-grams of their own that are not listed. A pair that is connected already, by ``groups``
+    or by earlier links, is not reported. Sets connected with the largest group are not probed: the
+    probes of all others meet them.
     """
-    ranks, size = ranked(sets)
-    root, forest, links = build(ranks), Forest(len(sets)), []
-    first: dict[int, int] = {}
+    sizes = np.array([len(s) for s in sets]) if sizes is None else sizes
+    forest, links = Forest(len(sets)), []
+    members: dict[int, list[int]] = {}
     for i, g in enumerate(groups):
-        forest.union(first.setdefault(g, i), i)
+        members.setdefault(g, []).append(i)
+        forest.union(members[g][0], i)
+    if len(sets) == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        alike = (den + num) * common >= num * int(sizes.sum())
+        return [(0, 1)] if alike and len(members) > 1 else []
+    ranks, size = ranked(sets)
+    root = build(ranks, sizes)
+    base = max(members.values(), key=len)[0]
+    whole = len(members[groups[base]]) > 1  # its members are met by the probes of the others
     held = np.zeros(size, dtype=bool)
-    for i in sorted(range(len(sets)), key=lambda k: len(ranks[k])):
-        own = ranks[i]
+    for i in range(len(sets)) if whole else [base, *range(len(sets))]:
+        if forest.root(i) == forest.root(base) and (whole or links or i != base):
+            continue
+        own, n = ranks[i], int(sizes[i])
         held[own] = True
         todo = [(root, 0)]
         while todo:
@@ -114,11 +130,11 @@ def similar(
                 overlap += int(np.count_nonzero(held[node.grams]))
                 left = len(own) - int(np.searchsorted(own, node.grams[-1], "right"))
                 most = overlap + min(left, node.deepest - node.depth)
-                # overlap / (own + other - overlap) >= num / den, at best for the shortest other
-                if (den + num) * most < num * (len(own) + max(node.shortest, most)):
+                # overlap / (own + other - overlap) >= num / den, at best for the smallest other
+                if (den + num) * most < num * (n + max(node.shortest, most)):
                     continue
             for j in node.ends:
-                if (den + num) * overlap >= num * (len(own) + len(ranks[j])):
+                if (den + num) * overlap >= num * (n + int(sizes[j])):
                     if forest.root(i) != forest.root(j):
                         forest.union(i, j)
                         links.append((i, j))
