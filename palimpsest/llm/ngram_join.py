@@ -5,8 +5,9 @@ The job, whose shuffles carry shingle hashes and never texts:
 
 1. ``profiles``: set size and set hash of every document, and a fixed-size count sketch of all
    shingles. Documents with equal set hashes form one class; only classes are compared.
-2. ``candidates``: in the order (sketch level, hash) similar sets share a shingle among their first
-   n - ceil(t n) + 1. Rows (shingle, class) are dealt by shingle; classes that share none fall away.
+2. ``candidates``: in the order (sketch level, hash) similar sets share k shingles among their first
+   n - ceil(t n) + k. Rows (shingle, class) are dealt by shingle; k is a twelfth of the size, and
+   classes with fewer shared shingles than any similar set would give them fall away.
 3. ``ordered_sets``: the shingles of the remaining classes are counted exactly and get one global
    order, by the level of their number of classes, then by hash. Shingles of one class alone count
    in the size of a set only. A class with fewer than ceil(t n) shared shingles falls away: documents
@@ -43,6 +44,7 @@ SKETCH_BLOCK = 1 << 16  # counters in one row on their way to the sum
 SKETCH_ROWS = 1 << 21  # shingles counted at once
 FILTER_WORDS = 1 << 18  # 64-bit words of the candidate bitmap, whatever the input
 BLOCK_SETS = 256  # sets of one side of a block
+LONGER = 12  # the first prefixes are longer than needed by this part of a set
 HOT = np.uint64(1)  # bit of a token whose count stands out
 TOP_LEVEL = 31  # of hot shingles in the global order; levels stand in the bits from 58 on
 
@@ -176,7 +178,8 @@ def prefix_entries(docs: DataFrame, levels: np.ndarray, words: int, num: int, de
                 seen.add(sig)
                 level = levels[_cells(grams)]
                 need = -(-num * len(grams) // den)
-                order = np.argsort(level, kind="stable")[: len(grams) - need + 1]
+                more = max(1, len(grams) // LONGER)
+                order = np.argsort(level, kind="stable")[: len(grams) - need + more]
                 tokens.append(grams[order] & ~HOT | (level[order] & 1))
                 sigs.append(np.full(len(order), sig, dtype=np.int64))
             if tokens:
@@ -252,10 +255,26 @@ def _shared(rows: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
     return rows[: turn[-1]][held[: turn[-1]]], tail
 
 
-def candidate_bits(rows: DataFrame, shared: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap of one document of each class in ``shared``."""
+def candidates(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig): the classes that share as many prefix shingles as any similar set would give them.
+
+    Prefixes are n - need + k long with k = max(1, n // LONGER), so the first min(k, k') common
+    shingles of a similar pair lie in both; the other set has need = ceil(t n) shingles at least.
+    """
+    need = F.ceil(F.col("n") * num / den)
+    return (
+        shared.groupBy("sig")
+        .agg(F.count("*").alias("common"))
+        .join(sizes, "sig")
+        .filter(F.col("common") >= F.greatest(F.lit(1), F.floor(need / LONGER)))
+        .select("sig")
+    )
+
+
+def candidate_bits(rows: DataFrame, wanted: DataFrame) -> np.ndarray:
+    """A fixed-size bitmap of one document of each class in ``wanted``."""
     key = F.coalesce("doc_id", "sig")
-    first = rows.join(shared.select("sig").distinct(), "sig").groupBy("sig").agg(F.min(key).alias("key"))
+    first = rows.join(wanted, "sig").groupBy("sig").agg(F.min(key).alias("key"))
     bit = F.expr("shiftleft(1L, cast(pmod(shiftright(key, 18), 64) as int))")
     bits = first.groupBy(F.pmod("key", F.lit(FILTER_WORDS)).alias("word")).agg(F.bit_or(bit).alias("bits"))
     table = np.zeros(FILTER_WORDS, dtype=np.int64)
@@ -549,8 +568,8 @@ def jaccard_components(
     levels = sketch_levels(gather_sketch(rows))
     rows = rows.filter(F.col("part").isNull()).select("doc_id", "n", "sig")
     sizes = rows.filter("sig is not null").groupBy("sig").agg(F.first("n").alias("n"))
-    near = shared_prefixes(prefix_entries(docs, levels, words, num, den))
-    table = candidate_bits(rows, near)
+    found = shared_prefixes(prefix_entries(docs, levels, words, num, den))
+    table = candidate_bits(rows, candidates(found, sizes, num, den))
     sets = materialize(
         ordered_sets(set_entries(docs, table, levels, words))
         .join(sizes, "sig")
