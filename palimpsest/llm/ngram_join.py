@@ -14,10 +14,11 @@ The job, whose shuffles carry shingle hashes and never texts:
    that share a passage and have enough text of their own end here.
 4. First round: every class meets one centre, the class it has most prefix shingles in common with
    among the first ones of their lists. This connects large groups of near copies.
-5. Second round: lists (the classes of one prefix shingle) that are connected by now fall away, and
-   equal lists count once. The others become blocks: the largest component of a list is cut into
-   parts, and the classes outside of it go to every part. A list that is too large for this is first
-   dealt by its next shingle, as similar sets share two or more.
+5. Second round: lists (the classes of one prefix shingle) that are connected by now fall away.
+   Classes that meet in the others, at once or through others, are a family and become blocks: the
+   largest component of a family is cut into parts, and the classes outside of it go to every part.
+   A family with too many of those is dealt by its lists instead (equal lists count once), and a
+   list by its next shingle, as similar sets share two or more.
 6. Each block is a trie of sets in the global order, most frequent shingles first, and is joined by
    traversal (``trie.similar``). Links become components by repeated minimum labels.
 
@@ -488,21 +489,42 @@ def _lists(held: DataFrame) -> DataFrame:
 def second_round(
     shared: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, limit: int = BLOCK_SETS
 ) -> DataFrame:
-    """Blocks of every list of classes that is not connected yet.
+    """Blocks of all classes that may be similar to a class they are not connected with.
 
-    Lists with more than ``limit`` classes outside their largest component are dealt by the next
-    shingle their classes have in common: of a similar pair the first two common shingles lie in
-    prefixes that are one longer.
+    Lists that are connected hold no such pair. The others make families of classes that meet.
+    Where more than ``limit`` classes of a family are outside its largest component, its lists are
+    taken one by one; where that holds for a list too, it is dealt by the next shingle its classes
+    have in common: of a similar pair the first two common shingles lie in prefixes that are one
+    longer.
     """
-    comp = F.coalesce("comp", "sig").alias("comp")
-    held = materialize(
-        shared.join(comps, "sig", "left").select("token", F.lit(0).cast("long").alias("next"), "sig", comp)
+    none, comp = F.lit(0).cast("long").alias("next"), F.coalesce("comp", "sig").alias("comp")
+    held = materialize(shared.join(comps, "sig", "left").select("token", none, "sig", comp))
+    open_lists = (
+        held.groupBy("token")
+        .agg(F.min("sig").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .filter("lo < hi")
+        .select("token", "low")
     )
+    held = materialize(held.join(open_lists, "token"))
+    meeting = components(held.select(F.col("low").alias("a"), F.col("sig").alias("b")))
+    family = (
+        held.select("sig", "comp")
+        .distinct()
+        .join(meeting.withColumnRenamed("comp", "token"), "sig")
+        .select("token", none, "sig", "comp")
+    )
+    family = materialize(family)
+    families = materialize(_lists(family))
+    blocks = _blocks(family, families.filter(F.col("others") <= limit), limit)
+    wide = families.filter(F.col("others") > limit).select("token")
+    if wide.isEmpty():
+        return blocks
+    held = materialize(held.drop("low").join(family.join(wide, "token").select("sig"), "sig"))
     lists = materialize(_lists(held))
-    small = _blocks(held, lists.filter(F.col("others") <= limit), limit)
+    blocks = blocks.unionByName(_blocks(held, lists.filter(F.col("others") <= limit), limit))
     large = lists.filter(F.col("others") > limit).select("token")
     if large.isEmpty():
-        return small
+        return blocks
     longer = key_prefixes(sets, num, den, more=1).select(F.col("token").alias("later"), "sig")
     deeper = materialize(
         held.join(large, "token")
@@ -510,7 +532,7 @@ def second_round(
         .filter(F.col("later") > F.col("token"))
         .select("token", F.col("later").alias("next"), "sig", "comp")
     )
-    return small.unionByName(_blocks(deeper, _lists(deeper), limit))
+    return blocks.unionByName(_blocks(deeper, _lists(deeper), limit))
 
 
 def _blocks(held: DataFrame, lists: DataFrame, limit: int) -> DataFrame:
