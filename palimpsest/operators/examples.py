@@ -245,7 +245,8 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
     """One row of totals from capped, labelled examples (see ``labelled_examples``).
 
     Every row becomes a few (tag, key, value) entries which fold map-side; one final row is
-    built from the folded entries. Copies folded into an example count as duplicates.
+    built from the folded entries. Copies folded into an example count as duplicates. Times are
+    only compared: their sum would pass a long.
     """
     kept = F.col("skip_reason").isNull()
     capped = F.coalesce(F.col("skip_reason") == "conversation_cap", F.lit(False))
@@ -272,7 +273,7 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
         examples.select(F.explode_outer(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
         .filter("e is not null")
         .groupBy("e.tag", "e.key")
-        .agg(F.sum("e.v").alias("total"), F.max("e.v").alias("top"))
+        .agg(F.sum(F.when(F.col("e.tag") != "ts", F.col("e.v"))).alias("total"), F.max("e.v").alias("top"))
     )
 
     def as_map(tag: str) -> Column:

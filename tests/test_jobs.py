@@ -243,3 +243,15 @@ def test_sync_returns_every_change(spark):
     cap = spark.range(450).select(uid, stamp.alias("received_at"), F.lit(None).cast("timestamp").alias("processed_at"))
     assert [x.count() for x in sync(mem, cap, "2000-01-01 00:00:00")] == [450, 450]
     assert [x.count() for x in sync(mem, cap, "2000-01-01 00:00:00", limit=200)] == [200, 200]
+
+
+def test_statistics_of_more_examples_than_the_sum_of_times_holds(spark):
+    """The times of 10 000 examples, in microseconds, add up to more than a long."""
+    rows = spark.range(0, 10_000, 1, 1).select(
+        F.lit(None).cast("string").alias("skip_reason"), F.lit(False).alias("is_holdout"), F.lit(1).alias("n"),
+        F.lit("text").alias("register"), F.lit("en").alias("lang"), (F.col("id") % 10).alias("conversation_id"),
+        F.lit(3).alias("n_words"), F.timestamp_seconds(1_704_067_200 + F.col("id")).alias("ts"),
+    )
+    row = examples.dataset_stats(rows).first()
+    assert (row["n_examples"], row["n_words"], row["conversations"]) == (10_000, 30_000, 10)
+    assert row["data_cutoff"] == dt.datetime(2024, 1, 1) + dt.timedelta(seconds=9_999)
