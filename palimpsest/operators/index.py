@@ -33,6 +33,7 @@ from palimpsest.session import materialize
 BLOCK = 256
 BUCKETS = 64
 SLICE_DOCS = 250_000  # documents of a slice, about
+SENT_WORDS = 200_000  # query words that go to every task; more are joined by key
 
 _POSTINGS = (
     "term string, slice int, block bigint, n int, max_tf int, min_dl int, ids array<bigint>, "
@@ -97,11 +98,10 @@ def _impact(tf: Column, dl: Column, average) -> Column:
 
 
 def _term_rows(docs: DataFrame) -> DataFrame:
-    """(id, hit, dl, term, tf, positions) of documents (id, text[, hit]); dealt by id."""
+    """(id, hit, dl, term, tf, positions) of documents (id, text[, hit]); rows that lie by id stay there."""
     hit = F.col("hit") if "hit" in docs.columns else F.lit(True)
     return (
         docs.select(F.col("id").cast("long").alias("id"), hit.alias("hit"), "text")
-        .repartition("id")
         .select("id", "hit", search_tokens(F.col("text")).alias("tokens"))
         .select("id", "hit", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("pos", "term"))
         .filter("term is not null")
@@ -116,15 +116,18 @@ def _term_rows(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(index: KeywordIndex, rows: DataFrame, n_docs: int, average: float) -> DataFrame:
+    """Blocks of term rows; what is dealt by (bucket, slice) is ranked, blocked and written there."""
     slices = max(1, -(-n_docs // SLICE_DOCS))
-    best = Window.partitionBy("term", "slice").orderBy(
+    best = Window.partitionBy("bucket", "slice", "term").orderBy(
         _impact(F.col("tf"), F.col("dl"), F.lit(max(average, 1.0))).desc(), "id"
     )
     entry = F.struct("id", "tf", "dl", "hit", "positions")
     return (
         rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+        .withColumn("bucket", index.bucket(F.col("term")))
+        .repartition("bucket", "slice")
         .withColumn("block", F.floor((F.row_number().over(best) - 1) / F.lit(BLOCK)))
-        .groupBy("term", "slice", "block")
+        .groupBy("bucket", "slice", "term", "block")
         .agg(
             F.count("*").cast("int").alias("n"),
             F.max("tf").alias("max_tf"),
@@ -134,7 +137,7 @@ def _blocks(index: KeywordIndex, rows: DataFrame, n_docs: int, average: float) -
         .select(
             "term", "slice", "block", "n", "max_tf", "min_dl", F.col("e.id").alias("ids"),
             F.col("e.tf").alias("tfs"), F.col("e.dl").alias("dls"), F.col("e.hit").alias("hits"),
-            F.col("e.positions").alias("positions"), index.bucket(F.col("term")).alias("bucket"),
+            F.col("e.positions").alias("positions"), "bucket",
         )
     )
 
@@ -150,7 +153,7 @@ def _write(
     docs.write.mode("overwrite").parquet(at("docs"))
     if rows is not None:
         average = size["t"] / max(1, size["n"])
-        blocks = _blocks(index, rows, size["n"], average).repartition("bucket", "slice")
+        blocks = _blocks(index, rows, size["n"], average)
         blocks.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     if removed is not None:
         removed.select("id").write.mode("overwrite").parquet(at("removed"))
@@ -238,21 +241,36 @@ def query_units(queries: DataFrame) -> DataFrame:
     )
 
 
-def _phrase_rows(placed: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(unit, id, tf, dl, hit) of the documents in which the words of a phrase follow each other."""
-    steps = phrases.select("unit", F.size("words").alias("m"), F.posexplode("words").alias("step", "term"))
-    met = (
-        placed.join(steps, "term")
-        .select("unit", "m", "id", "dl", "hit", F.struct("step", "positions").alias("s"))
-        .groupBy("unit", "m", "id")
-        .agg(F.first("dl").alias("dl"), F.first("hit").alias("hit"), F.sort_array(F.collect_list("s")).alias("s"))
-        .filter(F.size("s") == F.col("m"))
+def _phrase_rows(placed: DataFrame, phrases: DataFrame, send) -> DataFrame:
+    """(unit, id, tf, dl, hit) of the documents in which the words of a phrase follow each other.
+
+    The postings of the asked words go by document, once whatever the number of phrases; there,
+    each pair of neighbouring words is a step of the phrases that hold it.
+    """
+    m = F.size("words")
+    pairs = F.arrays_zip(F.slice("words", F.lit(1), m - 1).alias("a"), F.slice("words", F.lit(2), m - 1).alias("b"))
+    steps = phrases.select("unit", m.alias("m"), F.posexplode(pairs).alias("step", "w")).select(
+        "unit", "m", "step", F.col("w.a").alias("term"), F.col("w.b").alias("after")
     )
-    starts = F.expr(
-        "aggregate(slice(s, 2, m - 1), s[0].positions, (found, x) -> "
-        "array_intersect(found, transform(x.positions, p -> p - x.step)))"
+    asked = phrases.select(F.explode("words").alias("term")).distinct()
+    order = Window.partitionBy("id").orderBy("pos")
+    neighbours = (
+        placed.join(send(asked), "term", "left_semi")
+        .select("id", "dl", "hit", "term", "positions")
+        .repartition("id")
+        .select("id", "dl", "hit", "term", F.explode("positions").alias("pos"))
+        .select("id", "dl", "hit", "term", "pos", F.lead("term").over(order).alias("after"), F.lead("pos").over(order).alias("at"))
+        .filter("at = pos + 1")
+    )
+    return (
+        neighbours.join(send(steps), ["term", "after"])
+        .groupBy("id", "unit", "m", (F.col("pos") - F.col("step")).alias("start"))
+        .agg(F.count("*").alias("n"), F.first("dl").alias("dl"), F.first("hit").alias("hit"))
+        .filter("n = m - 1")
+        .groupBy("id", "unit")
+        .agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.first("hit").alias("hit"))
+        .select("unit", "id", "tf", "dl", "hit")
     )
-    return met.select("unit", "id", F.size(starts).alias("tf"), "dl", "hit").filter("tf > 0")
 
 
 def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -265,9 +283,11 @@ def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = 20) -> Data
     n_docs, n_tokens = sum(r["n_docs"] for r in size), sum(r["n_tokens"] for r in size)
     average = F.lit(n_tokens / n_docs if n_docs and n_tokens else 1.0)
     units = materialize(query_units(queries))
+    words = units.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+    send = F.broadcast if words <= SENT_WORDS else (lambda rows: rows)
     terms = units.select(F.explode("words").alias("term")).distinct().withColumn("_b", index.bucket(F.col("term")))
     asked = [r["_b"] for r in terms.select("_b").distinct().collect()]  # bucket numbers
-    blocks = index.postings(spark).filter(F.col("bucket").isin(asked)).join(terms.select("term"), "term", "left_semi")
+    blocks = index.postings(spark).filter(F.col("bucket").isin(asked)).join(send(terms.select("term")), "term", "left_semi")
     removed = index.removed(spark)
     whole = removed.isEmpty()
 
@@ -280,14 +300,17 @@ def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = 20) -> Data
     # phrases: their few postings are scored at once
     long = units.filter(F.size("words") > 1)
     phrases = materialize(
-        _phrase_rows(live(_placed(blocks, "segment", "term")), long.select("unit", "words").distinct())
+        _phrase_rows(live(_placed(blocks, "segment", "term")), long.select("unit", "words").distinct(), send)
     )
     df = phrases.groupBy("unit").agg(F.count("*").alias("df"))
-    scored = (
-        long.join(df, "unit")
-        .join(phrases, "unit")
-        .filter("hit")
-        .select("query_id", "unit", "id", (F.col("qtf") * weighed(F.col("df")) * _impact(F.col("tf"), F.col("dl"), average)).alias("part"))
+    weight = (F.col("qtf") * weighed(F.col("df"))).alias("w")
+    phrase_weights = long.join(df, "unit").select("query_id", F.col("unit").alias("term"), weight)
+    phrase_rows = phrases.filter("hit").select("id", F.col("unit").alias("term"), "tf", "dl")
+    phrase_most = (
+        phrase_rows.groupBy("term")
+        .agg(F.max(_impact(F.col("tf"), F.col("dl"), average)).alias("top"))
+        .join(phrase_weights, "term")
+        .select("query_id", (F.col("w") * F.col("top")).alias("most"))
     )
 
     # single words: block bounds first
@@ -296,26 +319,33 @@ def keyword_search(index: KeywordIndex, queries: DataFrame, k: int = 20) -> Data
     else:
         df = live(_entries(blocks, "segment", "term")).groupBy("term").agg(F.count("*").alias("df"))
     wanted = units.filter(F.size("words") == 1).select("query_id", F.col("unit").alias("term"), "qtf")
-    weights = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * weighed(F.col("df"))).alias("w"))
+    weights = materialize(wanted.join(df, "term").select("query_id", "term", weight))
+    every_weight = materialize(weights.unionByName(phrase_weights))
     bounds = materialize(
         blocks.select(*_KEY, _impact(F.col("max_tf"), F.col("min_dl"), average).alias("top"))
-        .join(weights, "term")
-        .select("query_id", "w", *_KEY, (F.col("w") * F.col("top")).alias("bound"))
+        .join(send(weights), "term")
+        .select("query_id", *_KEY, (F.col("w") * F.col("top")).alias("bound"))
     )
     most = bounds.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
-    parts = most.select("query_id", "most").unionByName(
-        scored.groupBy("query_id", "unit").agg(F.max("part").alias("most")).select("query_id", "most")
-    )
+    parts = most.select("query_id", "most").unionByName(phrase_most)
     total = parts.groupBy("query_id").agg(F.sum("most").alias("total"))
 
-    def parts_of(chosen: DataFrame) -> DataFrame:
-        rows = blocks.join(chosen.select("query_id", "w", *_KEY), _KEY)
-        rows = live(_entries(rows, "segment", "query_id", "w")).filter("hit")
-        part = F.col("w") * _impact(F.col("tf"), F.col("dl"), average)
-        return rows.select("query_id", "id", part.alias("part")).unionByName(scored.select("query_id", "id", "part"))
-
     def summed(chosen: DataFrame) -> DataFrame:
-        return parts_of(chosen).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+        """Scores (query_id, id) from the blocks that some query chose, for all queries with their terms.
+
+        What travels is one row for each posting, by document, not one for each posting and query.
+        Parts that a query did not choose lift no document to its hits and change none of them.
+        """
+        rows = blocks.join(chosen.select(*_KEY).distinct(), _KEY, "left_semi")
+        rows = live(_entries(rows, "segment", "term")).filter("hit").select("id", "term", "tf", "dl")
+        part = F.col("w") * _impact(F.col("tf"), F.col("dl"), average)
+        return (
+            rows.unionByName(phrase_rows)
+            .repartition("id")
+            .join(send(every_weight), "term")
+            .groupBy("id", "query_id")
+            .agg(F.sum(part).alias("score"))
+        )
 
     few = 1 + k // BLOCK
     first = top_per_group(bounds, ["query_id", "term"], [F.col("bound").desc(), *map(F.col, _KEY)], few)
