@@ -98,10 +98,11 @@ def _impact(tf: Column, dl: Column, average) -> Column:
 
 
 def _term_rows(docs: DataFrame) -> DataFrame:
-    """(id, hit, dl, term, tf, positions) of documents (id, text[, hit]); rows that lie by id stay there."""
+    """(id, hit, dl, term, tf, positions) of documents (id, text[, hit]); dealt by id."""
     hit = F.col("hit") if "hit" in docs.columns else F.lit(True)
     return (
         docs.select(F.col("id").cast("long").alias("id"), hit.alias("hit"), "text")
+        .repartition("id")
         .select("id", "hit", search_tokens(F.col("text")).alias("tokens"))
         .select("id", "hit", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("pos", "term"))
         .filter("term is not null")

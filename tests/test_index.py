@@ -153,3 +153,12 @@ def test_candidates_come_one_by_one(spark):
             kept.append(k)
     assert sorted(r["id"] for r in suppress_similar(frame, memories).collect()) == kept
     assert kept == [1, 4, 5, 6, 9]
+
+
+def test_postings_are_dealt_once(spark):
+    """Ranking, blocking and writing share one shuffle by bucket and slice."""
+    rows = spark.createDataFrame(
+        [(1, "a", 1, 1, True, [0])], "id long, term string, tf int, dl int, hit boolean, positions array<int>"
+    )
+    plan = ix._blocks(ix.KeywordIndex("nowhere", 4), rows, 1, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(bucket" in plan
