@@ -92,6 +92,18 @@ def test_hot_tokens_and_large_groups(table):
     assert found == {r[0]: c for r, c in zip(sorted(rows), [x[2] for x in sorted(brute_components(rows), key=lambda x: x[0])])}
 
 
+def test_a_block_links_its_components_as_a_star(spark):
+    """Sets of a chain, each like its neighbours only, are one step from the smallest label."""
+    sets = [np.arange(40 + 4 * k, 80 + 4 * k, dtype=np.int64) for k in range(12)]
+    labels = [7, 3, 11, 5, 2, 9, 12, 1, 8, 4, 10, 6]
+    held = spark.createDataFrame(
+        [(s, 40, bytearray(keys.tobytes())) for s, keys in zip(labels, sets)], "sig long, n long, keys binary"
+    )
+    blocks = spark.createDataFrame([(1, 0, 0, s, s) for s in labels], "bucket long, next long, part int, sig long, comp long")
+    found = sorted((r["a"], r["b"]) for r in J.block_links(blocks, held, 75, 100).collect())
+    assert found == [(1, s) for s in range(2, 13)]
+
+
 def test_trie_links_equal_pairs():
     rnd = np.random.default_rng(3)
     for _ in range(30):
