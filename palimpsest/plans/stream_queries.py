@@ -23,28 +23,38 @@ from palimpsest.streaming import turns as tn
 from palimpsest.streaming.tables import BucketedTable
 
 
+ROWS_PER_FILE = 100_000  # of an arriving file
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(spark: SparkSession, rows: DataFrame, path: str, files: int = 4, by: str | None = None) -> DataFrame:
-    """Write a table as arriving files and read them as a stream, two files per micro-batch.
+def as_stream(
+    spark: SparkSession, rows: DataFrame, path: str, n_rows: int, files: int = 4, by: str | None = None
+) -> DataFrame:
+    """Write a table of ``n_rows`` rows as arriving files and read them as a stream.
 
+    Small tables come as ``files`` files, two of them per micro-batch. Where a file would hold more
+    than ``ROWS_PER_FILE`` rows, all files are cut into as many as that takes, and a micro-batch
+    reads all parts of two: a task has a bounded number of rows, the number of micro-batches stays.
     The rows are dealt to the files by a hash of ``by``, or in turn.
     """
-    dealt = rows.repartition(files) if by is None else rows.repartition(files, F.xxhash64(by, F.lit(3)))
+    parts = max(1, -(-n_rows // (files * ROWS_PER_FILE)))
+    number = files * parts
+    dealt = rows.repartition(number) if by is None else rows.repartition(number, F.xxhash64(by, F.lit(3)))
     dealt.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * parts).parquet(path)
 
 
-def _arrived(spark, sf, files: int = 4):
-    """Captures with voice vectors, every one sent twice."""
+def _arrived(spark, sf):
+    """Captures with voice vectors, every one sent twice, and their number."""
     vec = vectors(spark, sf).select(F.col("id").alias("user_id"), F.col("vec").alias("speaker_vec"))
     rows = captures(spark, sf).join(vec, "user_id", "left").select(
         "uid", "device_uid", "kind", "origin", "client_ts", "received_at", "text", "duration_s", "speaker_vec"
     )
-    return rows.unionByName(rows)
+    return rows.unionByName(rows), 2 * captures(spark, sf).count()
 
 
 @query(
@@ -54,7 +64,8 @@ def _arrived(spark, sf, files: int = 4):
 def stream_capture_dedup(spark, sf):
     """Captures that arrive twice come out once."""
     home = work_dir(spark, "dedup")
-    stream = as_stream(spark, _arrived(spark, sf), f"{home}/in")
+    rows, n_rows = _arrived(spark, sf)
+    stream = as_stream(spark, rows, f"{home}/in", n_rows)
     seen = BucketedTable(f"{home}/seen", "uid string", "uid", 16)
     tables = cs.CaptureTables(f"{home}/tables")
     writer = cs.guarded(seen, lambda batch, number: tables.write(batch, "captures", number))
@@ -72,7 +83,8 @@ def stream_capture_corpus(spark, sf):
     """Routing and writing in one streaming query. Audio of the few enrolled clips' neighbours
     varies with arrival order, so only what does not depend on it is counted."""
     home = work_dir(spark, "captures")
-    stream = as_stream(spark, _arrived(spark, sf), f"{home}/in")
+    rows, n_rows = _arrived(spark, sf)
+    stream = as_stream(spark, rows, f"{home}/in", n_rows)
     tables = cs.CaptureTables(f"{home}/tables")
     cs.run_available(
         cs.dedup_captures(stream), cs.capture_writer(tables, SALT, embedder=hash_embedder(16)), f"{home}/ckpt"
@@ -93,7 +105,7 @@ def stream_embeddings(spark, sf):
 
     home = work_dir(spark, "embed")
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    stream = as_stream(spark, rows.unionByName(rows), f"{home}/in")
+    stream = as_stream(spark, rows.unionByName(rows), f"{home}/in", 2 * rows.count())
     table_ = cs.embedding_table(f"{home}/embeddings", 16)
     cs.run_available(stream, cs.embed_writer(table_, hash_embedder(16), compact_every=2), f"{home}/ckpt")
     return table_.read(spark).select("owner_id", "dim")
@@ -116,7 +128,7 @@ def stream_retention(spark, sf):
         F.col("ts").cast("timestamp").alias("ts"),
         F.round(F.col("value") * 100).cast("long").alias("size"),
     )
-    stream = as_stream(spark, entries, f"{home}/in", 6, "uid")
+    stream = as_stream(spark, entries, f"{home}/in", entries.count(), 6, "uid")
     cs.write_available(rt.stream_retention(stream, 40_000), f"{home}/out", f"{home}/ckpt")
     return rt.kept_entries(spark.read.parquet(f"{home}/out")).select("device", "uid")
 
@@ -189,7 +201,7 @@ def stream_turns(spark, sf):
     rows = training_rows(chat_messages(spark, sf)).join(
         turn_conversations(spark, sf).select("conversation_id", "is_group"), "conversation_id"
     ).select("conversation_id", "id", "ts", "is_me", "is_group", "sender_name", "text")
-    stream = as_stream(spark, rows, f"{home}/in", 6, "id")
+    stream = as_stream(spark, rows, f"{home}/in", rows.count(), 6, "id")
     cs.write_available(tn.stream_turns(stream), f"{home}/out", f"{home}/ckpt")
     return tn.current_turns(spark.read.parquet(f"{home}/out")).select(
         "conversation_id", "turn_no", "role", F.md5("text").alias("text_md5"), "n_messages"

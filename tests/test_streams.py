@@ -199,3 +199,19 @@ def test_embeddings_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
     want = {r["owner_id"]: r["vec"] for r in embed_rows(rows.distinct(), embedder, "message").collect()}
     assert found == want and table.read(spark).count() == 30
     assert table.read(spark).filter(F.col("dim") != 8).isEmpty()
+
+
+def test_large_tables_arrive_in_more_files_and_as_many_batches(spark, tmp_path, monkeypatch):
+    from palimpsest.plans import stream_queries as module
+
+    monkeypatch.setattr(module, "ROWS_PER_FILE", 10, raising=False)
+    batches = []
+    for n, files in ((30, 4), (400, 40)):
+        rows, home, sizes = spark.range(n), f"{tmp_path}/{n}", []
+        stream = module.as_stream(spark, rows, f"{home}/in", rows.count())
+        cs.run_available(stream, lambda batch, number: sizes.append(batch.count()), f"{home}/ckpt")
+        parts = spark.read.parquet(f"{home}/in").groupBy(F.input_file_name()).count().collect()
+        assert len(parts) == files and max(r["count"] for r in parts) <= 12
+        assert sum(sizes) == n
+        batches.append(len(sizes))
+    assert batches == [2, 2]
