@@ -23,6 +23,7 @@ VECTORS_PER_BLOCK = 4096
 QUERY_BYTES = 64 << 20  # of the query matrix that a worker holds
 BROADCAST_CHARS = 32_000_000
 TERM_SALTS = 32
+PAIRS_PER_TASK = 1_000_000  # (document, query) scores that a task may have to sum
 
 
 # explode_outer, not explode: Spark would test "size(tokens) > 0" in a filter of its own below the
@@ -67,6 +68,9 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     size the weights are broadcast, scores are summed inside the document's partition, and each
     task keeps ``k`` documents per query: what travels does not grow with the number of
     (query, document) matches. Larger query tables go through a join salted by document.
+
+    Documents are dealt to a number of tasks set by documents times queries, not by bytes: few bytes
+    of tokens can match every query, and the scores of a task are held in its memory.
     """
     small = _broadcastable(queries)
     send = F.broadcast if small else (lambda df: df)
@@ -74,13 +78,13 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     asked = send(terms.select("term").distinct())
     hit = F.col("hit") if "hit" in docs.columns else F.lit(True)
     tokens = docs.select("id", hit.alias("hit"), search_tokens(F.col("text")).alias("tokens"))
-    size = tokens.agg(
-        F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl")
-    )  # one row
+    size = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl")).first()
+    n_docs, avg_dl = F.lit(size["n_docs"]), F.lit(size["avg_dl"]).cast("double")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size["n_docs"] * queries.count() // PAIRS_PER_TASK))
     matched = (
         tokens.select("id", "hit", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
         .join(asked, "term", "left_semi")
-        .repartition("id")
+        .repartition(tasks, "id")
         .groupBy("id", "term")
         .agg(F.first("dl").alias("dl"), F.first("hit").alias("hit"), F.count("*").alias("tf"))
     )
@@ -90,17 +94,9 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
         .agg(F.count("*").alias("df"), F.max(F.col("dl") + F.col("hit").cast("int") + F.col("tf")).alias("used"))
         .filter("used > 0")
     )
-    idf = (
-        df.withColumn("_one", F.lit(1))
-        .join(F.broadcast(size.withColumn("_one", F.lit(1))), "_one")
-        .select(
-            "term",
-            "avg_dl",
-            F.greatest(
-                F.lit(MIN_IDF),
-                F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)),
-            ).alias("idf"),
-        )
+    idf = df.select(
+        "term",
+        F.greatest(F.lit(MIN_IDF), F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"),
     )
     weights = terms.join(idf, "term")
     key = ["term"]
@@ -112,7 +108,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
         weights = weights.withColumn(
             "_salt", F.explode(F.expr(f"sequence(0L, {TERM_SALTS - 1}L)"))
         )
-    length = 1 - BM25_B + BM25_B * F.col("dl") / F.col("avg_dl")
+    length = 1 - BM25_B + BM25_B * F.col("dl") / avg_dl
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * length)
     scored = matched.filter("hit").join(weights, key).groupBy("id", "query_id").agg(F.sum(part).alias("score"))
     return top_per_group(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k).select(

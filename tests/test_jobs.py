@@ -163,6 +163,18 @@ def test_large_query_table_gives_the_same_hits(spark, monkeypatch):
     assert sorted(map(tuple, search.keyword_search(docs, asked, 5).collect())) == want
 
 
+def test_tasks_follow_documents_times_queries(spark, monkeypatch):
+    """Few bytes of tokens that match every query are dealt to as many tasks as their scores need."""
+    docs = spark.range(200).select("id", F.concat(F.lit("red green w"), "id").alias("text"))
+    queries = spark.range(10).select(F.col("id").alias("query_id"), F.concat(F.lit("red w"), "id").alias("text"))
+    monkeypatch.setattr(search, "PAIRS_PER_TASK", 50, raising=False)
+    hits = search.keyword_search(docs, queries, 3)
+    best = {(r["query_id"], r["id"]) for r in hits.collect() if r["rank"] == 1}
+    assert best == {(n, n) for n in range(10)}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan and "], 40" in plan
+
+
 def test_latency_of_a_hot_name(spark):
     values = spark.range(60_000).select(F.lit("x").alias("name"), (F.col("id") * 7919 % 60_000).cast("double").alias("seconds"), F.lit(True).alias("ok"))
     row = evaluation.latency_summary(values).first()
