@@ -248,3 +248,23 @@ def test_candidate_pairs_come_once(spark):
         blocks = J.second_round(shared, comps, limit)
         found = [(r["centre"], r["sig"]) for r in J.passing(shared, sizes, blocks, 75, 100).collect()]
         assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_wide_families_meet_in_bounded_blocks(spark):
+    """Many near copies that the first round left apart: parts of them meet, each pair somewhere."""
+    rnd = np.random.default_rng(5)
+    keys = {s: np.sort(rnd.choice(24, 20, replace=False)).astype(np.int64) for s in range(1, 121)}
+    sets = spark.createDataFrame([(s, 20, k.tobytes()) for s, k in keys.items()], "sig long, n long, keys binary")
+    shared = spark.createDataFrame([(int(t), s) for s, k in keys.items() for t in k[:6]], "token long, sig long")
+    comps = spark.createDataFrame([(s, 1) for s in range(1, 31)], "sig long, comp long")
+    rows = J.second_round(shared, comps, sets, 75, 100, 8).collect()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r["bucket"], r["next"], r["part"]), set()).add(r["sig"])
+    assert max(map(len, blocks.values())) <= 40
+    met = {(a, b) for held in blocks.values() for a in held for b in held}
+    similar = {
+        (a, b) for a in keys for b in keys
+        if a < b and b > 30 and 100 * len(np.intersect1d(keys[a], keys[b])) >= 75 * len(np.union1d(keys[a], keys[b]))
+    }
+    assert similar and similar <= met
