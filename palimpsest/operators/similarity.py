@@ -2,52 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import jaccard
 from palimpsest.session import materialize
 
 
-def _prefixes(sets: DataFrame, ranks: DataFrame, threshold: float, *keep: str) -> DataFrame:
-    """(keep, n, token): the rarest tokens of every set, one of which each similar set shares."""
-    rows = sets.select(*keep, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+BITMAP_WORDS = 4  # 64-bit words of the bitmap of a set
+PAIRED = 24  # sets of up to so many tokens are joined by two prefix tokens at once
+
+
+def _least(n: Column, threshold: float) -> Column:
+    """Tokens that a set of ``n`` shares with any similar set, at least."""
+    return F.ceil(n * threshold - 1e-9).cast("int")
+
+
+def _two(n: Column, threshold: float) -> Column:
+    return (n <= PAIRED) & (_least(n, threshold) >= 2)
+
+
+def _prefixes(sets: DataFrame, ranks: DataFrame, threshold: float, key: str) -> DataFrame:
+    """(key, n, bits, t, u): the rarest tokens of every set, some of which each similar set shares.
+
+    One token ``t``, or two of them for sets that ``_two`` takes; ``bits`` is a bitmap of all tokens.
+    """
+    rows = sets.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    word, bit = F.pmod(F.col("spot"), F.lit(BITMAP_WORDS)), F.pmod(F.shiftright("spot", 8), F.lit(64))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
     ordered = (
         rows.join(ranks, "token")
-        .groupBy(*keep, "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+        .groupBy(key, "n")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("df", "t"))).alias("t"),
+            F.array(
+                *[F.coalesce(F.bit_or(F.when(word == w, one)), F.lit(0).cast("long")) for w in range(BITMAP_WORDS)]
+            ).alias("bits"),
+        )
+        .withColumn("t", F.col("t.t"))
+    )
+    n, none = F.col("n"), F.lit(-1).cast("long")
+    single = F.transform(
+        F.slice("t", F.lit(1), n - _least(n, threshold) + 1), lambda x: F.struct(x.alias("t"), none.alias("u"))
+    )
+    longer = F.slice(F.col("t"), F.lit(1), n - _least(n, threshold) + 2)
+    double = F.flatten(
+        F.transform(
+            longer,
+            lambda x, i: F.transform(
+                F.slice(longer, i + 2, F.size(longer)), lambda y: F.struct(x.alias("t"), y.alias("u"))
+            ),
+        )
     )
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    return ordered.select(*keep, "n", F.explode(F.slice(F.col("t.token"), F.lit(1), length)).alias("token"))
+    nothing = F.slice(single, 1, 0)
+    # partners that are not joined by two tokens have more than PAIRED, or next to none
+    alone = ~_two(n, threshold) | (n >= PAIRED * threshold - 1e-9) | (n * threshold**2 <= 1 + 1e-9)
+    keys = F.concat(F.when(alone, single).otherwise(nothing), F.when(_two(n, threshold), double).otherwise(nothing))
+    return ordered.select(key, "n", "bits", F.inline(keys))
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left_id, right_id) of all sets (id, tokens) with a Jaccard similarity of ``threshold`` or more.
 
     Tokens are ordered by their number of sets, rare first; two similar sets share one of the
-    first n - ceil(threshold n) + 1 tokens of both, and their sizes are within the threshold. So
-    frequent tokens are joined only for sets that hold little else. Equal sets of one side stand
-    for one another: the smallest id of each is joined. Empty sets are like nothing.
+    first n - ceil(threshold n) + 1 tokens of both, and two of one token more if they share two at
+    all; their sizes are within the threshold. Short sets are joined by two tokens, so that frequent
+    ones are joined only for sets that hold little else. What meets must differ in no more bits of
+    a bitmap than similar sets differ in tokens, before it is moved and compared. Equal sets of one
+    side stand for one another: the smallest id of each is joined. Empty sets are like nothing.
     """
 
     def classes(side: DataFrame, name: str) -> DataFrame:
         sets = side.select("id", F.array_sort("tokens").alias("tokens")).filter(F.size("tokens") > 0)
         return sets.groupBy("tokens").agg(F.min("id").alias(name))
 
-    a, b = materialize(classes(left, "left_id")), materialize(classes(right, "right_id"))
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        return materialize(rows.withColumn(name, F.monotonically_increasing_id()))
+
+    a, b = keyed(classes(left, "left_id"), "i"), keyed(classes(right, "right_id"), "j")
     every = a.select("tokens").unionByName(b.select("tokens"))
-    ranks = every.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    near = F.col("n") * threshold - 1e-9 <= F.col("m")
+    counted = every.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranks = keyed(counted.withColumn("spot", F.xxhash64("token")), "t")
+    n, m = F.col("n"), F.col("m")
+    near = (n * threshold - 1e-9 <= m) & (m * threshold - 1e-9 <= n)
+    shared = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+    differ = sum(
+        (F.bit_count(F.get("bits", F.lit(w)).bitwiseXOR(F.get("others", F.lit(w)))) for w in range(BITMAP_WORDS)),
+        F.lit(0),
+    )
+    once = (F.col("u") >= 0) | ~(_two(n, threshold) & _two(m, threshold))
     pairs = (
-        _prefixes(a, ranks, threshold, "left_id")
-        .join(_prefixes(b, ranks, threshold, "right_id").withColumnRenamed("n", "m"), "token")
-        .filter(near & (F.col("m") * threshold - 1e-9 <= F.col("n")))
-        .select("left_id", "right_id")
+        _prefixes(a, ranks, threshold, "i")
+        .join(_prefixes(b, ranks, threshold, "j").withColumnsRenamed({"n": "m", "bits": "others"}), ["t", "u"])
+        .filter(near & once & (differ <= n + m - 2 * shared))
+        .select("i", "j")
         .distinct()
     )
     return (
-        pairs.join(a.withColumnRenamed("tokens", "_l"), "left_id")
-        .join(b.withColumnRenamed("tokens", "_r"), "right_id")
+        pairs.join(a.withColumnRenamed("tokens", "_l"), "i")
+        .join(b.withColumnRenamed("tokens", "_r"), "j")
         .filter(jaccard(F.col("_l"), F.col("_r")) >= threshold)
         .select("left_id", "right_id")
     )

@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import index as ix
@@ -162,3 +163,18 @@ def test_postings_are_dealt_once(spark):
     )
     plan = ix._blocks(ix.KeywordIndex("nowhere", 4), rows, 1, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(bucket" in plan
+
+
+def test_short_sets_of_frequent_tokens_meet_by_twos(spark):
+    from palimpsest.operators import similarity
+
+    rnd = random.Random(8)
+    sets = [(k, sorted({f"w{min(int(rnd.expovariate(0.2)), 60)}" for _ in range(8)})) for k in range(400)]
+    frame = spark.createDataFrame(sets, "i long, tokens array<string>")
+    tokens = frame.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranks = tokens.withColumn("spot", F.xxhash64("token")).withColumn("t", F.row_number().over(Window.orderBy("token")).cast("long"))
+    keys = similarity._prefixes(frame, ranks, 0.7, "i")
+    met = {tuple(r) for r in keys.alias("a").join(keys.withColumnRenamed("i", "j"), ["t", "u"]).select("i", "j").collect()}
+    alike = {(i, j) for i, a in sets for j, b in sets if len({*a} & {*b}) >= 0.7 * len({*a} | {*b})}
+    assert alike <= met
+    assert len(met) < 0.5 * len(sets) ** 2
