@@ -193,3 +193,16 @@ def test_mailbox_keeps_bytes_of_any_charset(spark, tmp_path):
     rows = split_mailbox(spark, str(tmp_path)).orderBy("seq").collect()
     assert [bytes(r["data"]).count(b"\xfc\xdf") for r in rows] == [1, 0]
     assert "Grüße".encode() in bytes(rows[1]["data"]) and rows[0]["envelope"] == "Mon Jan  1 10:00:00 2024"
+
+
+def test_headers_are_read_without_bodies(spark):
+    from palimpsest.sources import mail
+
+    heads = [b"From: a@x.de\r\nSubject: one\r\n\r\nSubject: no", b"From: a@x.de\nSubject: two\n\nSubject: no", b"Subject: three"]
+    raw = spark.createDataFrame(
+        [("p", k, bytearray(h), None, False) for k, h in enumerate(heads)],
+        "path string, seq long, data binary, envelope string, in_sent boolean",
+    )
+    parsed = mail.parse_headers(raw)
+    assert [r["subject"] for r in parsed.orderBy("seq").collect()] == ["one", "two", "three"]
+    assert "MapInPandas" not in parsed._jdf.queryExecution().toString()
