@@ -36,3 +36,18 @@ def test_newest_rows(spark, monkeypatch):
     for n in (0, 1, 17, 130, 199, 200, 500):
         want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]), reverse=True)[:n]
         assert sorted(r["id"] for r in selection.newest(frame, n).collect()) == sorted(r[0] for r in want)
+
+
+def test_newest_computes_its_rows_twice_at_most(spark):
+    from palimpsest.operators.selection import newest
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def number(x):
+        calls.add(1)
+        return x
+
+    made = F.udf(number, "long")
+    rows = spark.range(200).select(made("id").alias("id")).withColumn("ts", F.timestamp_seconds(F.col("id") % 50))
+    assert newest(rows, 30).count() == 30
+    assert 200 <= calls.value <= 1000
