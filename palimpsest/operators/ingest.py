@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -28,6 +29,7 @@ MESSAGE_COLUMNS = [
     "meta",
     "seq",
 ]
+REPORT_FIELDS = ("is_me", "word_count")  # what ``import_report`` reads of a message
 SOURCES_DDL = (
     "id bigint, kind string, label string, locator string, device_uid string, "
     "created_at timestamp, last_import_at timestamp"
@@ -104,9 +106,12 @@ def classify_batch(
     device_uid: str = "",
     keep_names: bool = True,
     compose: bool = True,
+    fields: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per distinct accepted message (with ``n`` copies and ``is_new``) and one per
     skip reason. The parts of ``source`` are texts, or columns of a batch from several sources.
+    ``fields`` names the columns of a message that are asked for, all if not given; what isn't
+    asked for, such as texts where only a report is wanted, is not moved.
 
     Copies and skipped rows fold map-side, so neither a hot conversation nor a hot message
     crosses the network more than once per task. The stored keys are probed afterwards.
@@ -119,22 +124,17 @@ def classify_batch(
     conv = hash_long(src.cast("string"), F.col("conversation_external_id"))
     meta = F.when(F.size(F.coalesce(F.col("meta"), F.create_map())) > 0, F.to_json("meta"))
     seq = F.coalesce(F.col("seq"), F.lit(0)) if "seq" in batch.columns else F.lit(0)
-    payload = F.struct(
-        F.col("conversation_external_id").alias("conversation_external_id"),
-        "conversation_title",
-        F.coalesce(F.col("is_group"), F.lit(False)).alias("is_group"),
-        key.alias("contact_key"),
-        shown.alias("display_name"),
-        "is_me",
-        "ts",
-        "register",
-        "lang",
-        "text",
-        "word_count",
-        "external_id",
-        meta.alias("meta"),
-        seq.cast("long").alias("seq"),
-    )
+    made = {
+        "conversation_external_id": F.col("conversation_external_id"),
+        "conversation_title": F.col("conversation_title"),
+        "is_group": F.coalesce(F.col("is_group"), F.lit(False)),
+        "contact_key": key,
+        "display_name": shown,
+        **{c: F.col(c) for c in ("is_me", "ts", "register", "lang", "text", "word_count", "external_id")},
+        "meta": meta,
+        "seq": seq.cast("long"),
+    }
+    payload = F.struct(*[c.alias(name) for name, c in made.items() if fields is None or name in fields])
     kept = F.col("reason").isNull()
     # Keys that cannot be NULL: otherwise the join below would push an IS NOT NULL test, with the
     # whole cleaning and hashing inlined, under everything and run it twice.

@@ -23,6 +23,7 @@ from palimpsest.plans.adapters import (
     table,
 )
 from palimpsest.plans.registry import query
+from palimpsest.session import materialize
 
 _TOTALS = """CAST(coalesce(sum(CASE WHEN is_me THEN word_count END), 0) AS BIGINT)"""
 
@@ -162,10 +163,12 @@ def _corpus(spark, sf) -> ingest.Corpus:
 SOURCE = ingest.SourceRef("doc", "Documents", "/docs")
 
 
-def document_batch(spark, sf):
-    """Documents as canonical messages; time is per source, so exact copies collide."""
+def document_batch(spark, sf, lang=None):
+    """Documents, of one language if given, as canonical messages; time is per source, so exact
+    copies collide."""
     number = F.regexp_extract("source", r"(\d+)", 1).cast("long")
-    return table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents")
+    return (docs if lang is None else docs.filter(F.col("lang") == lang)).select(
         F.col("source").alias("conversation_external_id"),
         "text",
         F.timestamp_seconds(F.lit(BASE_S) + number * 3600).alias("ts"),
@@ -194,14 +197,8 @@ _CLASSES = """SELECT source, ch, min(doc_id) AS doc_id, count(*) AS n,
 
 def _stored(spark, sf):
     """The messages table after the English documents were loaded."""
-    first = document_batch(spark, sf).join(
-        table(spark, sf, "documents")
-        .filter("lang = 'en'")
-        .select(F.col("doc_id").alias("seq")),
-        "seq",
-        "left_semi",
-    )
     empty = ingest.Corpus.empty(spark)
+    first = document_batch(spark, sf, "en")
     return ingest.new_messages(ingest.classify_batch(first, empty.messages, SALT, SOURCE))
 
 
@@ -218,7 +215,9 @@ def _stored(spark, sf):
 )
 def import_report(spark, sf):
     report = ingest.import_report(
-        ingest.classify_batch(document_batch(spark, sf), _stored(spark, sf), SALT, SOURCE)
+        ingest.classify_batch(
+            document_batch(spark, sf), _stored(spark, sf), SALT, SOURCE, fields=ingest.REPORT_FIELDS
+        )
     )
     return report.withColumn("skipped_reasons", _map_text("skipped_reasons"))
 
@@ -240,7 +239,9 @@ def _map_text(column: str):
       FROM c WHERE NOT known""",
 )
 def ingested_messages(spark, sf):
-    classified = ingest.classify_batch(document_batch(spark, sf), _stored(spark, sf), SALT, SOURCE)
+    classified = materialize(
+        ingest.classify_batch(document_batch(spark, sf), _stored(spark, sf), SALT, SOURCE)
+    )
     names = classified.filter("is_new").select(
         "conversation_id", "content_hash", F.col("conversation_external_id").alias("source")
     )
@@ -262,17 +263,16 @@ def ingested_messages(spark, sf):
 )
 def merged_reports(spark, sf):
     """One report per language chunk, each against an empty corpus, merged."""
-    batch = document_batch(spark, sf).join(
-        table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "lang"), "seq"
-    )
     empty = ingest.Corpus.empty(spark).messages
     reports = None
     for chunk, lang in enumerate(("en", "fr", "de", "es")):
         part = ingest.import_report(
-            ingest.classify_batch(batch.filter(F.col("lang") == lang).drop("lang"), empty, SALT, SOURCE)
+            ingest.classify_batch(
+                document_batch(spark, sf, lang), empty, SALT, SOURCE, fields=ingest.REPORT_FIELDS
+            )
         ).withColumn("chunk", F.lit(chunk))
         reports = part if reports is None else reports.unionByName(part)
-    merged = ingest.merge_reports(reports, batch)
+    merged = ingest.merge_reports(reports, document_batch(spark, sf))
     return merged.withColumn("skipped_reasons", _map_text("skipped_reasons"))
 
 
