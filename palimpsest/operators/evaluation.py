@@ -251,13 +251,12 @@ def text_features(text: Column) -> Column:
     """Word 1-2-grams, character 3-5-grams and a length bucket."""
     folded = casefold(text)
     words = F.regexp_extract_all(folded, F.lit(rf"[{WORD}_]+|[^{WORD}_{WS}]"), F.lit(0))
-    chars = F.split(F.concat(F.lit(" "), folded, F.lit(" ")), "")
+    padded = F.concat(F.lit(" "), folded, F.lit(" "))
 
     def char_grams(c: Column, n: int) -> Column:
-        starts = F.slice(c, F.lit(1), F.greatest(F.lit(0), F.size(c) - n + 1))
-        return F.transform(
-            starts, lambda _, i: F.concat(F.lit(f"c{n}:"), *[F.get(c, i + j) for j in range(n)])
-        )
+        # one letter is taken at a time, what stands in front of it is looked at
+        found = F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
+        return F.transform(found, lambda g: F.concat(F.lit(f"c{n}:"), g))
 
     def grams(x: Column) -> Column:
         w, c = x["w"], x["c"]
@@ -274,7 +273,7 @@ def text_features(text: Column) -> Column:
         )
 
     # Bound once per row: inside a lambda a plain expression would run for every element.
-    both = F.array(F.struct(words.alias("w"), chars.alias("c")))
+    both = F.array(F.struct(words.alias("w"), padded.alias("c")))
     return F.get(F.transform(both, grams), F.lit(0))
 
 
