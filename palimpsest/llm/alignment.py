@@ -272,7 +272,7 @@ def documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
         "links binary, pair long, count long"
     )
-    return over_texts(docs, fn, schema)
+    return over_texts(docs, fn, schema, keeps=True)
 
 
 def pair_counts(found: DataFrame, width: int) -> DataFrame:
@@ -350,4 +350,5 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 b_ids=[b[p:q].tolist() for p, q in zip(np.r_[0, j[:-1]], j, strict=False)],
             )
 
-    return over_texts(docs, fn, "doc_id long, start long, end long, a_ids array<int>, b_ids array<int>")
+    spelled = "doc_id long, start long, end long, a_ids array<int>, b_ids array<int>"
+    return over_texts(docs, fn, spelled, keeps=True)

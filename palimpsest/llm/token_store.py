@@ -164,7 +164,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID) -> bytes:
         for doc_id, made in encoded(batches, path, end_id):
             yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "ids": [made[: DICTIONARY_IDS * width]]})
 
-    rows = over_texts(sample, fn, "doc_id long, ids binary").collect()
+    rows = over_texts(sample, fn, "doc_id long, ids binary", keeps=True).collect()
     samples = [bytes(r["ids"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["ids"]))]
     if len(samples) < 8 or sum(map(len, samples)) < 8 * DICTIONARY_BYTES // 10:
         return b""
@@ -252,7 +252,8 @@ def write_store(
     texts = docs.select("doc_id", "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = texts.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    over_texts(dealt, fn, "part long, shard long, ids long, blob binary").write.mode("overwrite").parquet(f"{folder}/shards")
+    stored = over_texts(dealt, fn, "part long, shard long, ids long, blob binary", keeps=True)
+    stored.write.mode("overwrite").parquet(f"{folder}/shards")
     one = spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary")
     one.write.mode("overwrite").parquet(f"{folder}/dictionary")
 

@@ -401,7 +401,7 @@ def score(docs: DataFrame, model: Model | None, cutoff: float = CUTOFF) -> DataF
                 s = np.zeros(len(ids))
             yield frame(schema, doc_id=ids, score=s, predicted=(s >= cutoff).astype(np.int32))
 
-    return over_texts(docs, fn, "doc_id long, score double, predicted int")
+    return over_texts(docs, fn, "doc_id long, score double, predicted int", keeps=True)
 
 
 def clean_documents(docs: DataFrame, model: Model | None, cutoff: float = CUTOFF) -> DataFrame:

@@ -7,12 +7,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from palimpsest.llm import arrays as A
 from palimpsest.llm import language as G
 from palimpsest.llm import pieces as S
 from palimpsest.llm import token_store as B
@@ -157,6 +160,39 @@ def test_pieces_of_odd_rows(odd, empty):
     assert S.segment(empty, PIECES).count() == 0
 
 
+def test_operators_that_keep_nothing_forget_what_others_kept(spark, odd):
+    def kept(batches):
+        held = len(A._KEPT)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([held] * batch.num_rows)], ["held"])
+
+    S.segment(odd, PIECES).count()
+    S.segment(odd, PIECES).agg(F.sum("n_pieces")).collect()
+    assert {r["held"] for r in A.over_texts(odd, kept, "held long").collect()} == {0}
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long text "), 10_000).alias("text"))
+    found = A.over_texts(docs.coalesce(1), sizes, "size long, n long").collect()
+    assert sum(r["n"] for r in found) == 400 and max(r["size"] for r in found) < A.BATCH_BYTES + 200_000
+
+
+def test_remembered_stretches_keep_their_arrays():
+    table = A.UnitTable(np.dtype("<i4"), 10_000)
+    rnd = random.Random(5)
+    for _ in range(30):
+        words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(50)]
+        ends = np.cumsum([len(w) for w in words])
+        raw = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+        rows = table.rows(raw, ends - [len(w) for w in words], ends, lambda u: [np.frombuffer(x, "u1") for x in u])
+        flat, done = table.gather(rows)
+        assert flat.tolist() == raw.tolist() and done.tolist() == ends.tolist()
+
+
 def test_pieces_of_the_smoke_data(spark):
     assert QUERIES["op5_nbest_pieces"](spark, SF).filter("lossless").count() == 200
 
