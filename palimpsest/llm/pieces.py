@@ -17,9 +17,12 @@ back, byte for byte, but for a literal word-start mark, which becomes a space.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush, nsmallest
+from math import inf
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,7 @@ from palimpsest.llm.arrays import SLICE_BYTES, UnitTable, frame, kept, over_text
 
 NBEST = 3
 CACHED_UNITS = 600_000  # a worker forgets its stretches beyond that
+CACHED_WAYS = 5_000  # the same for the ids of all N segmentations of a stretch
 MARK = "▁"
 
 # byte classes: 0 other (never cut beside it), 1 space, 2 letter, 3 digit, 4 ASCII sign, 5 control
@@ -84,12 +88,13 @@ class Lattice:
         self.size = np.array([len(s) for s in spelled], dtype=np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.spelled = np.frombuffer(b"".join(spelled), dtype=np.uint8)
-        self.units = UnitTable(np.dtype("<i8"), CACHED_UNITS)
+        self.units = UnitTable(np.dtype("<i4"), CACHED_UNITS)
+        self.ways: dict[bytes, list[np.ndarray]] = {}
 
     def search(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best (score, ids) of a stretch in which spaces are word-start marks."""
         end, get = len(text), self.pieces.get
-        best = [0.0] + [-np.inf] * end
+        best = [0.0] + [-inf] * end
         into: list[list] = [[] for _ in range(end + 1)]  # (minus score reached, from, ids)
         for i in range(end):
             here = best[i]
@@ -100,14 +105,15 @@ class Lattice:
                 into[j].append((-(here + self.unknown), i, ids))
                 best[j] = max(best[j], here + self.unknown)
             while found is not None:
-                if found[0] is not None:
-                    reached = here + found[1]
-                    into[j].append((-reached, i, found[0]))
+                ids, gain = found
+                if ids is not None:
+                    reached = here + gain
+                    into[j].append((-reached, i, ids))
                     if reached > best[j]:
                         best[j] = reached
-                j += 1
-                if j > end:
+                if j == end:
                     break
+                j += 1
                 found = get(text[i:j])
         # an entry is a way into a position: its rank there, what lies behind, and its total score;
         # the best total of a way is known, so entries leave the heap in final order
@@ -117,7 +123,7 @@ class Lattice:
         while heap and len(out) < self.n:
             cost, at, _, rank, done, path = heappop(heap)
             arcs = into[at]
-            if rank == 0:
+            if rank == 0 and len(arcs) > 1:
                 arcs.sort()
             lost, i, ids = arcs[rank]
             if rank + 1 < len(arcs):
@@ -137,22 +143,23 @@ class Lattice:
     def make(self, units: list[bytes]) -> list[np.ndarray]:
         """Records: score, number of others, length and ids, then the loss of each other one.
 
-        Scores and losses are the bits of 64-bit floats.
+        Scores and losses are the bits of 64-bit floats, two numbers each.
         """
         out = []
         for unit in units:
             found = self.search(unit.decode().replace(" ", MARK))
             score, ids = found[0]
-            record = np.zeros(2 + len(ids) + len(found), dtype="<i8")
-            record[0:1].view("<f8")[:] = score
-            record[1:3] = len(found) - 1, len(ids)
-            record[3 : 3 + len(ids)] = ids
-            record[3 + len(ids) :].view("<f8")[:] = [max(0.0, score - s) for s, _ in found[1:]]
-            out.append(record)
+            lost = [max(0.0, score - s) for s, _ in found[1:]]
+            packed = struct.pack(f"<d{2 + len(ids)}i{len(lost)}d", score, len(lost), len(ids), *ids, *lost)
+            out.append(np.frombuffer(packed, dtype="<i4"))
         return out
 
     def encode(self, raw: np.ndarray, off: np.ndarray):
         """Per document: ids, best score and the losses of the other N - 1 best segmentations."""
+        return [(ids, score, losses) for ids, score, losses, _ in self.segmentations(raw, off)]
+
+    def segmentations(self, raw: np.ndarray, off: np.ndarray):
+        """Per document: ids, score, and the losses and ids of the other N - 1 best, best first."""
         # a mark in front of every document that holds something
         full = np.flatnonzero(np.diff(off) > 0)
         raw = np.insert(raw, off[:-1][full], 32)
@@ -160,41 +167,69 @@ class Lattice:
         shift[full + 1] = 1
         off = off + np.cumsum(shift)
         if not len(raw):
-            return [(np.empty(0, np.int64), 0.0, [])] * (len(off) - 1)
+            return [(np.empty(0, np.int64), 0.0, [], [])] * (len(off) - 1)
         classes = byte_classes(raw)
         cut = np.zeros(len(raw), dtype=bool)
         cut[1:] = ~self.joined[classes[:-1], classes[1:]]
         cut[off[:-1][off[:-1] < len(raw)]] = True
         starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(raw))
         table = self.units
-        rows = table.rows(raw, starts, np.append(starts[1:], len(raw)), self.make)
+        rows = table.rows(raw, starts, ends, self.make)
         at = table.start[rows]
-        scores, length = table.flat[at].view("<f8"), table.flat[at + 2].astype(np.int64)
-        others = table.flat[at + 1]
-        loss = np.where(others > 0, table.flat[np.minimum(at + 3 + length, len(table.flat) - 1)].view("<f8"), np.inf)
+        scores, length = self._floats(at), table.flat[at + 3].astype(np.int64)
+        last = len(table.flat) - 2
+        loss = np.where(table.flat[at + 2] > 0, self._floats(np.minimum(at + 4 + length, last)), np.inf)
         done = np.cumsum(length)
-        index = np.arange(int(done[-1])) + np.repeat(at + 3 - (done - length), length)
+        index = np.arange(int(done[-1])) + np.repeat(at + 4 - (done - length), length)
         ids = table.flat[index].astype(np.int64)
         edge = np.searchsorted(starts, off)
-        marks = np.concatenate([[0], done])[edge]
+        marks = np.concatenate([[0], done])
         out = []
         for k in range(len(off) - 1):
             a, b = edge[k], edge[k + 1]
-            out.append(
-                (ids[marks[k] : marks[k + 1]], float(scores[a:b].sum()), self._losses(at[a:b], loss[a:b]))
-            )
+            own, others = ids[marks[a] : marks[b]], self._others(at[a:b], loss[a:b])
+            ways = []
+            for _, changed in others:
+                parts, here = [], marks[a]
+                for unit, rank in sorted(changed):
+                    u = a + unit
+                    parts += [ids[here : marks[u]], self.way(raw[starts[u] : ends[u]].tobytes(), rank)]
+                    here = marks[u + 1]
+                ways.append(np.concatenate([*parts, ids[here : marks[b]]]))
+            out.append((own, float(scores[a:b].sum()), [lost for lost, _ in others], ways))
         return out
 
-    def _losses(self, at: np.ndarray, loss: np.ndarray) -> list[float]:
-        """Smallest losses of whole-text segmentations; only the N - 1 cheapest stretches count."""
+    def way(self, unit: bytes, rank: int) -> np.ndarray:
+        """The ids of one of the N best segmentations of a stretch; short stretches are remembered."""
+        if unit not in self.ways:
+            found = self.search(unit.decode().replace(" ", MARK))
+            made = [np.array(ids, dtype=np.int64) for _, ids in found]
+            if len(unit) > 64:
+                return made[rank]
+            if len(self.ways) >= CACHED_WAYS:
+                self.ways.clear()
+            self.ways[unit] = made
+        return self.ways[unit][rank]
+
+    def _floats(self, at: np.ndarray) -> np.ndarray:
+        """The 64-bit floats that stand at ``at`` of the table."""
+        return self.units.flat[at[:, None] + np.arange(2)].view("<f8").ravel()
+
+    def _others(self, at: np.ndarray, loss: np.ndarray) -> list[tuple[float, tuple]]:
+        """Smallest losses of whole-text segmentations, each with its (stretch, rank) that differ.
+
+        Only the N - 1 cheapest stretches count.
+        """
         want = self.n - 1
         cheap = np.argpartition(loss, want - 1)[:want] if len(loss) > want else np.arange(len(loss))
-        sums = [0.0]
-        for k in cheap:
+        sums: list[tuple[float, tuple]] = [(0.0, ())]
+        for k in cheap.tolist():
             flat, p = self.units.flat, int(at[k])
-            q = p + 3 + int(flat[p + 2])
-            choices = [0.0, *flat[q : q + int(flat[p + 1])].view("<f8").tolist()]
-            sums = nsmallest(self.n, (s + c for s in sums for c in choices))
+            q = p + 4 + int(flat[p + 3])
+            lost = flat[q : q + 2 * int(flat[p + 2])].view("<f8").tolist()
+            more = [(s + c, (*way, (k, r))) for s, way in sums for r, c in enumerate(lost, 1)]
+            sums = nsmallest(self.n, [*sums, *more], key=itemgetter(0))
         return sums[1:]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -205,6 +240,11 @@ class Lattice:
         index = np.arange(total) + np.repeat(self.first[ids] - (end - size), size)
         return self.spelled[index].tobytes()[1:]
 
+    def gives_back(self, ways: list[np.ndarray], text: bytes) -> bool:
+        """Whether each of the id sequences decodes to the text."""
+        joined = b" ".join([text] * len(ways)) if text else b""
+        return self.decode(np.concatenate(ways)) == joined
+
 
 def lattice(path: str, n: int) -> Lattice:
     """The worker's lattice for a model file; it keeps its stretches from task to task."""
@@ -214,34 +254,47 @@ def lattice(path: str, n: int) -> Lattice:
 def segment(docs: DataFrame, path: str, n: int = NBEST, with_ids: bool = False) -> DataFrame:
     """N-best segmentation of whole texts, and the text that the ids decode to.
 
-    (doc_id, n_pieces, ids_crc32, nbest_scores, lossless) and, if asked for, ids. ids_crc32 is over
-    the best ids as little-endian unsigned 32-bit integers; nbest_scores has up to N scores, best
-    first; lossless says that decoding gave the text back. A null or empty text has no pieces, the
-    single score 0 and is lossless. Repeated rows are segmented each; other columns are not read.
+    (doc_id, n_pieces, ids_crc32, nbest_scores, lossless, nbest_crc32) and, if asked for, ids,
+    nbest_ids and text. n_pieces, ids_crc32 and ids are of the best segmentation; a crc32 is over ids
+    as little-endian unsigned 32-bit integers. nbest_scores, nbest_crc32 and nbest_ids have up to N
+    segmentations, best first. text is what the best ids decode to; lossless says that all N decode
+    to the given text. A null or empty text has one segmentation, without pieces and with score 0, and is
+    lossless. Repeated rows are segmented each; other columns are not read.
     """
     fields = [
         ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()),
         ("nbest_scores", pa.list_(pa.float64())), ("lossless", pa.bool_()),
+        ("nbest_crc32", pa.list_(pa.int64())),
     ]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
+    ids = [("ids", pa.list_(pa.int32())), ("nbest_ids", pa.list_(pa.list_(pa.int32()))), ("text", pa.string())]
+    schema = pa.schema(fields + ids * with_ids)
 
     def fn(batches: Iterator[pa.RecordBatch]):
         search = lattice(path, n)
         mark = MARK.encode()
         for ids, raw, off in slices(batches, size=SLICE_BYTES // 2):
-            made = search.encode(raw, off)
+            made = search.segmentations(raw, off)
             data = raw.tobytes()
             texts = [data[a:b].replace(mark, b" ") for a, b in zip(off[:-1], off[1:], strict=True)]
+            ways = [[m[0], *m[3]] for m in made]
+            crcs = [[zlib.crc32(w.astype("<u4")) for w in own] for own in ways]
             columns = {
                 "doc_id": ids,
                 "n_pieces": [len(m[0]) for m in made],
-                "ids_crc32": [zlib.crc32(m[0].astype("<u4")) for m in made],
+                "ids_crc32": [c[0] for c in crcs],
                 "nbest_scores": [[m[1], *(m[1] - x for x in m[2])] for m in made],
-                "lossless": [search.decode(m[0]) == t for m, t in zip(made, texts, strict=True)],
+                "lossless": [search.gives_back(w, t) for w, t in zip(ways, texts, strict=True)],
+                "nbest_crc32": crcs,
             }
             if with_ids:
                 columns["ids"] = [m[0].astype(np.int32) for m in made]
+                columns["nbest_ids"] = [[w.astype(np.int32) for w in own] for own in ways]
+                columns["text"] = [search.decode(m[0]).decode("utf-8", "replace") for m in made]
             yield frame(schema, **columns)
 
-    spelled = "doc_id long, n_pieces long, ids_crc32 long, nbest_scores array<double>, lossless boolean"
-    return over_texts(docs, fn, spelled + ", ids array<int>" * with_ids)
+    spelled = (
+        "doc_id long, n_pieces long, ids_crc32 long, nbest_scores array<double>, lossless boolean, "
+        "nbest_crc32 array<long>"
+    )
+    spelled += ", ids array<int>, nbest_ids array<array<int>>, text string" * with_ids
+    return over_texts(docs, fn, spelled, keeps=True)

@@ -160,6 +160,42 @@ def test_pieces_of_odd_rows(odd, empty):
     assert S.segment(empty, PIECES).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="thera. ñ\n1", max_size=8), min_size=1, max_size=3))
+def test_all_n_segmentations_of_whole_texts(texts):
+    lattice = S.lattice(PIECES, 4)
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found = lattice.segmentations(np.frombuffer("".join(texts).encode(), dtype=np.uint8), off)
+    for text, (ids, score, losses, others) in zip(texts, found, strict=True):
+        ways = [ids, *others]
+        assert len({tuple(w.tolist()) for w in ways}) == len(ways) == 1 + len(losses)
+        assert lattice.gives_back(ways, text.encode())
+        if text:
+            every = brute_segmentations(lattice, "▁" + text.replace(" ", "▁"), 10**6)
+            scores = {tuple(i): s for s, i in every}
+            assert [scores[tuple(w.tolist())] for w in ways] == [score, *(score - x for x in losses)]
+            assert len(ways) == min(4, len(every))
+
+
+def test_segmentations_that_do_not_give_the_text_back_are_told():
+    lattice = S.lattice(PIECES, 3)
+    raw = np.frombuffer(b"some text", dtype=np.uint8)
+    ((ids, _, _, others),) = lattice.segmentations(raw, np.array([0, 9]))
+    assert lattice.gives_back([ids, *others], b"some text")
+    assert not lattice.gives_back([ids, others[0][:-1], others[1]], b"some text")
+
+
+def test_nbest_rows_hold_every_segmentation(table):
+    docs = table([(1, "the small house. 12\tß"), (2, None), (3, "a▁b " + "x" * 100)])
+    rows = {r["doc_id"]: r for r in S.segment(docs, PIECES, with_ids=True).collect()}
+    for r in rows.values():
+        assert len(r["nbest_ids"]) == len(r["nbest_scores"]) == len(r["nbest_crc32"]) and r["lossless"]
+        assert r["nbest_ids"][0] == r["ids"] and r["nbest_crc32"][0] == r["ids_crc32"]
+        assert r["nbest_crc32"] == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in r["nbest_ids"]]
+    assert [rows[k]["text"] for k in (1, 2, 3)] == ["the small house. 12\tß", "", "a b " + "x" * 100]
+    assert [len(rows[k]["nbest_ids"]) for k in (1, 2, 3)] == [3, 1, 3]
+
+
 def test_operators_that_keep_nothing_forget_what_others_kept(spark, odd):
     def kept(batches):
         held = len(A._KEPT)
