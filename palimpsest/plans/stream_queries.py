@@ -15,7 +15,7 @@ from palimpsest.plans.adapters import SALT, captures, chat_messages, frames, tur
 from palimpsest.plans.evaluation_queries import RULES
 from palimpsest.plans.registry import ORACLES, query
 from palimpsest.plans.training_queries import _TURN_SQL
-from palimpsest.session import checkpoint_dir
+from palimpsest.session import checkpoint_dir, free_shuffles
 from palimpsest.streaming import captures as cs
 from palimpsest.streaming import retention as rt
 from palimpsest.streaming import state as st
@@ -24,6 +24,7 @@ from palimpsest.streaming.tables import BucketedTable
 
 
 ROWS_PER_FILE = 100_000  # of an arriving file
+ROWS_PER_BATCH = 4_000_000  # of a micro-batch of captures, about
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -57,6 +58,19 @@ def _arrived(spark, sf):
     return rows.unionByName(rows), 2 * captures(spark, sf).count()
 
 
+def as_sent(spark: SparkSession, rows: DataFrame, path: str, n_rows: int, per_batch: int = ROWS_PER_BATCH) -> DataFrame:
+    """Write ``n_rows`` rows as arriving files, from the tasks that have them, and read them as a stream.
+
+    Rows with long vectors are not moved to be dealt. A file has at most ``ROWS_PER_FILE`` rows, a
+    micro-batch about ``per_batch`` of them and at most half of the files, so what a batch moves
+    and frees stays the same as the table grows.
+    """
+    rows.write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "zstd").parquet(path)
+    batches = max(2, -(-n_rows // per_batch))
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
+
+
 @query(
     "stream_capture_dedup",
     q.with_tables("cap") + f"SELECT uid, {q.iso('client_ts')} AS at FROM cap",
@@ -65,7 +79,8 @@ def stream_capture_dedup(spark, sf):
     """Captures that arrive twice come out once."""
     home = work_dir(spark, "dedup")
     rows, n_rows = _arrived(spark, sf)
-    stream = as_stream(spark, rows, f"{home}/in", n_rows)
+    stream = as_sent(spark, rows, f"{home}/in", n_rows)
+    free_shuffles(spark)
     seen = BucketedTable(f"{home}/seen", "uid string", "uid", 16)
     tables = cs.CaptureTables(f"{home}/tables")
     writer = cs.guarded(seen, lambda batch, number: tables.write(batch, "captures", number))
@@ -84,7 +99,8 @@ def stream_capture_corpus(spark, sf):
     varies with arrival order, so only what does not depend on it is counted."""
     home = work_dir(spark, "captures")
     rows, n_rows = _arrived(spark, sf)
-    stream = as_stream(spark, rows, f"{home}/in", n_rows)
+    stream = as_sent(spark, rows, f"{home}/in", n_rows)
+    free_shuffles(spark)
     tables = cs.CaptureTables(f"{home}/tables")
     cs.run_available(
         cs.dedup_captures(stream), cs.capture_writer(tables, SALT, embedder=hash_embedder(16)), f"{home}/ckpt"

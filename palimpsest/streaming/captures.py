@@ -16,7 +16,7 @@ from palimpsest.operators.ingest import MESSAGES_DDL, SourceRef, classify_batch,
 from palimpsest.operators.memories import extract_memories
 from palimpsest.operators.voice import MIN_ENROLL_SAMPLES, enroll
 from palimpsest.schema import PROFILE
-from palimpsest.session import materialize
+from palimpsest.session import free_shuffles, materialize
 from palimpsest.streaming.tables import BucketedTable
 
 CAPTURE_SOURCE = SourceRef("capture", "Captures", "captures")
@@ -36,22 +36,36 @@ def guarded(seen: BucketedTable, writer):
 
     ``seen`` keeps the uids; a batch reads the buckets of its own ones, so a repeat is found however
     late it comes and the stream itself holds no state. The uids are written last: a batch that
-    failed before comes again as it was.
+    failed before comes again as it was. The rows are moved once, by uid, and not stored besides: of
+    rows with one uid the same is taken whenever they are read, so a writer may read them again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = materialize(seen.unseen(batch.dropDuplicates([seen.key]), batch_id))
-        writer(fresh, batch_id)
-        seen.write(fresh.select(seen.key), batch_id)
+        stored = seen.stored_keys(batch, batch_id)
+        writer(one_per_key(batch, seen.key).join(stored, seen.key, "left_anti"), batch_id)
+        seen.write(batch.select(seen.key).distinct().join(stored, seen.key, "left_anti"), batch_id)
+        free_shuffles(batch.sparkSession)
 
     return write
 
 
+def one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each value of ``key``, the same one in whatever order the rows are read."""
+    rest = [c for c in rows.columns if c != key]
+    if not rest:
+        return rows.distinct()
+    told = [f.name for f in rows.schema.fields if f.name != key and "map<" not in f.dataType.simpleString()]
+    one = F.min_by(F.struct(*rest), F.xxhash64(*told) if told else F.lit(0))
+    return rows.groupBy(key).agg(one.alias("_one")).select(*[F.col(c if c == key else f"_one.{c}") for c in rows.columns])
+
+
 @dataclass(frozen=True)
 class CaptureTables:
     """Append-only parquet tables under one path, one folder per micro-batch.
 
-    A batch that is run again overwrites its own folders, so retries change nothing.
+    A batch that is run again overwrites its own folders, so retries change nothing. In a file the
+    captures of a device lie together, and files are packed with zstd: hashes, texts and vectors
+    take most of the disk.
     """
 
     path: str
@@ -70,7 +84,15 @@ class CaptureTables:
         return rows.drop("batch")
 
     def write(self, rows: DataFrame, table: str, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
+        if "device_uid" in rows.columns:
+            rows = rows.sortWithinPartitions("device_uid")
+        folder = f"{self.path}/{table}/batch={batch}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+
+    def put(self, rows: DataFrame, table: str, batch: int) -> DataFrame:
+        """Write the rows of a batch and give back what was written, for the tables made of it."""
+        self.write(rows, table, batch)
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{self.path}/{table}/batch={batch}")
 
 
 def bootstrap_profile(
@@ -114,18 +136,17 @@ def capture_writer(
         seen = tables.read(spark, "captures", "uid string, status string", batch_id).select("uid")
         fresh = batch.dropDuplicates(["uid"]).join(seen, "uid", "left_anti")
         profile = _latest_profile(tables.read(spark, "profile", _profile_schema(), batch_id))
-        routed = materialize(route_captures(fresh, profile, policy))
+        routed = tables.put(route_captures(fresh, profile, policy), "captures", batch_id)
         stored = tables.read(spark, "messages", MESSAGES_DDL, batch_id)
         classified = classify_batch(as_messages(routed), stored, salt, CAPTURE_SOURCE)
-        messages = materialize(new_messages(classified))
+        messages = tables.put(new_messages(classified), "messages", batch_id)
         mine = routed.filter(F.col("route") == "corpus")
-        tables.write(routed, "captures", batch_id)
-        tables.write(messages, "messages", batch_id)
         tables.write(extract_memories(mine.select("uid", "text")), "memories", batch_id)
         tables.write(embed_rows(messages.select("id", "text"), embedder, "message"), "embeddings", batch_id)
         unsure = mine.filter(F.col("speaker_is_me").isNull())
         updated = bootstrap_profile(unsure, profile).withColumn("seq", F.lit(batch_id).cast("long"))
         tables.write(updated, "profile", batch_id)
+        free_shuffles(spark)
 
     return write
 

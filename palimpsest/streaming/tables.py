@@ -47,13 +47,15 @@ class BucketedTable:
             rows = rows.filter(F.col("batch") < before)
         return rows.drop("gen", "batch")
 
+    def stored_keys(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Keys that earlier batches wrote to the buckets of ``rows``; other buckets are not read."""
+        own = rows.select(self.bucket(F.col(self.key)).alias("_bucket")).distinct()
+        asked = [r["_bucket"] for r in own.collect()]  # bucket numbers
+        return self.read(rows.sparkSession, batch).filter(F.col("bucket").isin(asked)).select(self.key)
+
     def unseen(self, rows: DataFrame, batch: int) -> DataFrame:
         """Rows whose key no earlier batch wrote; only the buckets of these rows are read."""
-        spark = rows.sparkSession
-        own = rows.withColumn("_bucket", self.bucket(F.col(self.key)))
-        asked = [r["_bucket"] for r in own.select("_bucket").distinct().collect()]  # bucket numbers
-        stored = self.read(spark, batch).filter(F.col("bucket").isin(asked)).select(self.key)
-        return rows.join(stored, self.key, "left_anti")
+        return rows.join(self.stored_keys(rows, batch), self.key, "left_anti")
 
     def write(self, rows: DataFrame, batch: int, gen: int | None = None) -> None:
         spark = rows.sparkSession
