@@ -134,9 +134,11 @@ def capture_writer(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = tables.read(spark, "captures", "uid string, status string", batch_id).select("uid")
-        fresh = batch.dropDuplicates(["uid"]).join(seen, "uid", "left_anti")
         profile = _latest_profile(tables.read(spark, "profile", _profile_schema(), batch_id))
+        fresh = batch.dropDuplicates(["uid"]).join(seen, "uid", "left_anti")
         routed = tables.put(route_captures(fresh, profile, policy), "captures", batch_id)
+        del fresh  # and its shuffle, the widest
+        free_shuffles(spark)
         stored = tables.read(spark, "messages", MESSAGES_DDL, batch_id)
         classified = classify_batch(as_messages(routed), stored, salt, CAPTURE_SOURCE)
         messages = tables.put(new_messages(classified), "messages", batch_id)
