@@ -361,8 +361,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .filter((F.col("n1") >= MIN_TOXIC) | (F.col("cell") == FEATURE_CELLS))
     )
-    for row in sums.collect():  # at most FEATURE_CELLS rows
-        counts[row["cell"]] = row["n0"], row["n1"]
+    found = sums.toArrow()  # at most FEATURE_CELLS rows
+    counts[found.column("cell").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in ("n0", "n1")])
     totals = counts[FEATURE_CELLS]
     if not totals.all():
         return None
@@ -375,9 +375,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         for toxic, raw, off in slices(batches, "toxic"):
             yield frame(kind, toxic=toxic.cast(pa.int64()), cells=reader.documents(raw, off))
 
-    rows = sample.mapInArrow(designed, "toxic long, cells array<int>").collect()
-    x = [np.array(r["cells"], dtype=np.int32) for r in rows]
-    y = np.array([r["toxic"] for r in rows], dtype=float)
+    rows = sample.mapInArrow(designed, "toxic long, cells array<int>").toArrow().combine_chunks()
+    x = [r.values.to_numpy() for r in rows.column("cells")]
+    y = rows.column("toxic").to_numpy().astype(float)
     model.weights, model.bias = regress(x, y, len(model.cells), RIDGE)
     return model
 
